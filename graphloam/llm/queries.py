@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: name -> module that defines the function of that name and, in ORACLES, its SQL
 _MODULES = {
+    "op1_language_id": "language_id",
     "op2_token_counts": "token_counts",
+    "op3_license_scan": "license_scan",
     "op8_sharding": "sharding",
 }
 
