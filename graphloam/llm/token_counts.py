@@ -31,8 +31,8 @@ PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p
 
 #: Characters of a chunk.
 CHUNK = 1 << 16
-#: Entries of a worker's memo of pretokens, of pairs and of transitions; when full, it starts anew.
-MEMO = 300_000
+#: Entries of a worker's memo of pretokens, and of its transitions or pairs; what is full starts anew.
+MEMO, TRANSITIONS = 1_200_000, 800_000
 LIMIT = 1024
 
 
@@ -107,7 +107,7 @@ class Transducer:
         return to, delta
 
     def count_pretoken(self, word: str) -> int:
-        if len(self.next) > MEMO or len(self.apart) > MEMO:
+        if len(self.next) > TRANSITIONS or len(self.apart) > TRANSITIONS:
             self._restart()
         state = total = 0
         known = self.next.get
@@ -119,21 +119,12 @@ class Transducer:
     def count_plain(self, text: str) -> int:
         """The tokens of a text without special strings."""
         found, memo = self.find(text), self.memo
-        try:
-            return sum(map(memo.__getitem__, found))
-        except KeyError:
-            pass
         if len(memo) > MEMO:
             memo.clear()
-        total = 0
-        for word in found:
-            n = memo.get(word)
-            if n is None:
-                n = memo[word] = self.count_pretoken(word)
-                if len(memo) > 2 * MEMO:
-                    memo.clear()
-            total += n
-        return total
+        for word in set(found):
+            if word not in memo:
+                memo[word] = self.count_pretoken(word)
+        return sum(map(memo.__getitem__, found))
 
     def count(self, text: str) -> int:
         """The tokens of a text; each special string is one token, wherever it stands."""
