@@ -9,6 +9,7 @@ _MODULES = {
     "op1_language_id": "language_id",
     "op2_token_counts": "token_counts",
     "op3_license_scan": "license_scan",
+    "op4_quality": "quality",
     "op5_decontamination": "decontaminate",
     "op7_sentencepiece": "sentencepiece_codec",
     "op8_sharding": "sharding",
