@@ -117,16 +117,23 @@ class Words:
     def __init__(self, texts: list[bytes], separators: np.ndarray = SPACES) -> None:
         self.data = b" ".join(texts) + b" "
         raw = np.frombuffer(self.data, np.uint8)
-        n = len(raw)
         ends_of = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         apart = separators[raw]
         apart[ends_of - 1] = True
         edge = np.flatnonzero(np.diff(np.concatenate(([True], apart)).view(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
-        p, inv = _power(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inv[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = np.zeros(len(self.start), np.uint64)
+        at = 0
+        while at < len(self.start):  # some PASS_BYTES at a time, so that a long text needs no long arrays of integers
+            base = int(self.start[at])
+            to = max(at + 1, int(np.searchsorted(self.end, base + PASS_BYTES, side="right")))
+            s, e = self.start[at:to] - base, self.end[at:to] - base
+            n = int(e[-1])
+            p, inv = _power(n)
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((raw[base : base + n].astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
+            self.hash[at:to] = mix((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64))
+            at = to
         self.doc = np.searchsorted(ends_of, self.start, side="right")
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
@@ -165,3 +172,39 @@ def utf8(column: pa.Array) -> list[bytes]:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+# ---------------------------------------------------------------------------------------------------- packed exchanges
+
+
+def prime_from(n: int) -> int:
+    """The first prime that is at least n."""
+    while n < 2 or any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def buckets_for(spark: SparkSession) -> int:
+    """Buckets of a packed exchange: a prime, several for each shuffle partition, so that one holds a bounded share."""
+    return prime_from(max(509, 4 * partitions(spark)))
+
+
+def pack(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, kind, blob): for each bucket the columns' values one after the other, eight bytes each."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cut = np.flatnonzero(np.diff(bucket)) + 1
+    begins, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(bucket)]))
+    columns = [c[order].view(np.int64) for c in columns]
+    blobs = [b"".join(c[s:e].tobytes() for c in columns) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)] if len(bucket) else []
+    first = bucket[begins] if len(bucket) else bucket
+    return pa.RecordBatch.from_arrays([pa.array(first.astype(np.int32)), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+
+
+def unpack(blobs: list[bytes], width: int) -> list[np.ndarray]:
+    """The columns of the blobs of one bucket, as unsigned 64-bit integers."""
+    parts = [np.frombuffer(b, np.uint64).reshape(width, -1) for b in blobs]
+    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.uint64)] * width
+
+
+PACKED = "bucket int, kind int, blob binary"
