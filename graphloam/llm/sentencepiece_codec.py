@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from graphloam.llm.common import documents, mix, small_batches
 
 MARK = "▁"
 #: Words that a worker remembers; longer words are encoded one at a time, with the same lattice.
-MEMO, LONG_WORD = 500_000, 64
+MEMO, LONG_WORD = 800_000, 64
 #: Slots of the cache of pairs of pieces, and of the table that rules out most substrings before their hash is searched.
 PAIRS, MAYBE = 1 << 20, 1 << 21
 #: Characters that are encoded together.
@@ -59,7 +58,7 @@ class Codec:
         self.maybe = np.zeros(MAYBE, bool)
         self.maybe[self.keys & np.uint64(MAYBE - 1)] = True
         self.pair_key, self.pair_ok = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}  # word -> its ids, four bytes each
 
     @staticmethod
     def _hash_rows(codes: np.ndarray) -> np.ndarray:
@@ -105,8 +104,8 @@ class Codec:
         out[rows[same]] = self.key_ids[at[same]]
         return out
 
-    def viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Words of one length."""
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """The ids of words of one length, four bytes each."""
         n, length = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).reshape(n, length).astype(np.uint64)
         total = np.zeros((n, length + 1), np.uint64)
@@ -127,21 +126,32 @@ class Codec:
                     if not len(left := np.delete(left, lives)):
                         break
             last[:, i], step[:, i] = token, best
-        out = []
-        for r, (tokens, steps) in enumerate(zip(last.tolist(), step.tolist(), strict=True)):
-            i, found = length, []
-            while i > 0:
-                t = tokens[i]
-                found.extend([t] if t != self.none else self._spelled(words[r][i - 1]))
-                i -= max(1, steps[i])
-            out.append(tuple(reversed(found)))
+        # all words walk back together; ids fill a row from its end
+        ids, at, begin = np.zeros((n, length), np.int32), np.full(n, length), np.full(n, length)
+        live = np.arange(n)
+        while len(live):
+            begin[live] -= 1
+            ids[live, begin[live]] = last[live, at[live]]
+            at[live] -= np.maximum(1, step[live, at[live]])
+            live = live[at[live] > 0]
+        out = [row.tobytes()[4 * b :] for row, b in zip(ids, begin.tolist(), strict=True)]
+        for r in np.flatnonzero((ids == self.none).any(1)).tolist():
+            out[r] = self._with_bytes(words[r], ids[r, begin[r] :].tolist())
         return out
 
+    def _with_bytes(self, word: str, tokens: list[int]) -> bytes:
+        """The ids of a word's tokens, characters without a piece spelled in bytes."""
+        out, i = [], 0
+        for t in tokens:
+            out += self._spelled(word[i]) if t == self.none else [t]
+            i += 1 if t == self.none else len(self.text[t])
+        return np.array(out, np.int32).tobytes()
+
     def _spelled(self, char: str) -> list[int]:
-        """The ids of a character without a piece, last first."""
-        return [self.unknown_id] if self.bytes_at is None else [self.bytes_at + b for b in reversed(char.encode("utf-8", "replace"))]
+        """The ids of a character without a piece."""
+        return [self.unknown_id] if self.bytes_at is None else [self.bytes_at + b for b in char.encode("utf-8", "replace")]
 
-    def long_word(self, word: str) -> tuple[int, ...]:
+    def long_word(self, word: str) -> bytes:
         """The same lattice for one word."""
         last, step = [-1] * (len(word) + 1), [0] * (len(word) + 1)
         known: dict[tuple[int, int], bool] = {}
@@ -158,9 +168,9 @@ class Codec:
                     break
         i, found = len(word), []
         while i > 0:
-            found.extend([last[i]] if last[i] != self.none else self._spelled(word[i - 1]))
+            found.append(last[i])
             i -= max(1, step[i])
-        return tuple(reversed(found))
+        return self._with_bytes(word, found[::-1])
 
     def learn(self, words: set[str]) -> None:
         """Encodes the words that are new."""
@@ -175,10 +185,10 @@ class Codec:
                 part = group[i : i + 20_000]
                 self.memo.update(zip(part, self.viterbi(part) if length <= LONG_WORD else map(self.long_word, part), strict=True))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        return [list(chain.from_iterable(map(self.memo.__getitem__, words))) for words in split]
+        self.learn(set().union(*split))
+        return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -212,10 +222,10 @@ def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "t
                 if size > LOT or end == len(texts):
                     part = texts[begin:end]
                     ids = c.encode(part)
-                    flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+                    flat = np.concatenate(ids)
                     offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[begin:end], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([len(x) for x in ids], pa.int64()), pa.array([c.decode(x) == t for x, t in zip(ids, part, strict=True)], pa.bool_())],
+                        [batch.column(0)[begin:end], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([len(x) for x in ids], pa.int64()), pa.array([c.decode(x.tolist()) == t for x, t in zip(ids, part, strict=True)], pa.bool_())],
                         names=[key, "token_ids", "n_tokens", "round_trip"],
                     )
                     begin, size = end, 0
