@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: name -> module that defines the function of that name and, in ORACLES, its SQL
 _MODULES = {
+    "op9_vector_dedup": "vector_dedup",
     "op6_jaccard_join": "jaccard_join",
     "op10_substring_dedup": "substring_dedup",
     "op1_language_id": "language_id",
