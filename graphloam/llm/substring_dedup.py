@@ -12,12 +12,13 @@ reference text. The reference is cut into blocks by content and indexed there; a
    judged on its own, so a factor covers exactly the words that the windows cover.
 
 The answers travel as packed arrays. A task sends one entry for an anchor or window however many of its documents have it,
-and answers those itself; a block so holds an entry for each task at most, also for a passage that a third of all documents
+and answers those itself, runs of windows as ranges; a block so holds an entry for each task at most, also for a passage that a third of all documents
 share. Anchors and windows are 64-bit hashes: two different windows agree with a probability of 5e-20.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,6 +110,47 @@ class Answers:
             yield pack(np.mod(d[known], self.buckets), 1, ticket(h[known], d[known]))
 
 
+class Runs:
+    """Gathers windows with their documents; sends an entry for each window with its smallest key, and for windows that have a
+    smaller key here the runs of consecutive ones: (document's mark, first window, end), kind 1."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets, self.n = buckets, 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, hashes: np.ndarray, keys: np.ndarray, marks: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((hashes, keys, marks, at))
+        self.n += len(hashes)
+        if self.n > HELD:
+            yield from self.send()
+
+    def send(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        h, d, mark, at = (np.concatenate([x[i] for x in self.held]) for i in range(4))
+        self.held, self.n = [], 0
+        order = np.lexsort((d, h))
+        new = np.ones(len(h), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        first = order[new]
+        yield pack((h[first] % np.uint64(self.buckets)).astype(np.int64), 0, h[first], d[first])
+        known = np.zeros(len(h), bool)
+        known[order] = d[order] > d[first][np.cumsum(new) - 1]
+        if known.any():
+            d, mark, at = d[known], mark[known], at[known]
+            order = np.lexsort((at, mark))
+            d, mark, at = d[order], mark[order], at[order]
+            begin = np.ones(len(at), bool)
+            begin[1:] = (mark[1:] != mark[:-1]) | (at[1:] - at[:-1] > 1)
+            end = np.concatenate((np.flatnonzero(begin)[1:], [len(at)])) - 1
+            yield pack(np.mod(d[begin], self.buckets), 1, mark[begin], at[begin], at[end] + 1)
+
+
+def marks_of(texts: list[bytes], keys: np.ndarray) -> np.ndarray:
+    """A number for each (text, key)."""
+    return ticket(np.fromiter((int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts), np.uint64, len(texts)), keys)
+
+
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
     """(bucket, blobs of kind 0, blobs of kind 1) of a partition that is sorted by bucket."""
     now, zero, one = None, [], []
@@ -123,14 +165,15 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[by
         yield now, zero, one
 
 
-def _settle(entries: DataFrame, buckets: int, later_only: bool) -> DataFrame:
-    """The blocks: which entries others have too (or, later_only, a smaller key has). Rows (bucket of the key, 0, tickets)."""
+def _settle(entries: DataFrame, buckets: int, later_only: bool, forward: int = 0) -> DataFrame:
+    """The blocks: which entries others have too (or, later_only, a smaller key has). Rows (bucket of the key, 0, tickets);
+    what the tasks have answered themselves goes on as kind `forward`."""
     spark = entries.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, zero, one in _by_bucket(batches):
-            if one:
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([b"".join(one)], pa.binary())], names=["bucket", "kind", "blob"])
+            for blob in one:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([forward], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
             if zero:
                 h, d = unpack(zero, 2)
                 h, d = distinct(h, d.view(np.int64))
@@ -146,10 +189,10 @@ def _settle(entries: DataFrame, buckets: int, later_only: bool) -> DataFrame:
 
 
 def _meet(rows: DataFrame, tickets: DataFrame, schema: T.StructType, visit, finish) -> DataFrame:
-    """Brings rows (bucket, row) and the tickets of their bucket together; visit(sorted tickets, record batch of rows) and
-    finally finish() give record batches of the schema."""
+    """Brings rows (bucket, row) and the answers for their bucket together; visit(sorted tickets, record batch of rows, state)
+    and finally finish(state) give record batches of the schema. state["runs"] has the bucket's blobs of kind 1."""
     row_schema = rows.schema["row"].dataType
-    both = rows.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "row").unionByName(tickets.select("bucket", "kind", "blob", F.lit(None).cast(row_schema).alias("row")))
+    both = rows.select("bucket", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("blob"), "row").unionByName(tickets.select("bucket", "kind", "blob", F.lit(None).cast(row_schema).alias("row")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs, known, state = None, [], np.zeros(0, np.uint64), {}
@@ -161,8 +204,11 @@ def _meet(rows: DataFrame, tickets: DataFrame, schema: T.StructType, visit, fini
                     continue
                 if bucket[s] != now:
                     now, blobs, known = bucket[s], [], np.zeros(0, np.uint64)
+                    state["runs"], state["sorted"] = [], None
                 if kind[s] == 0:
                     blobs += batch.column(2)[s:e].to_pylist()
+                elif kind[s] == 1:
+                    state["runs"] += batch.column(2)[s:e].to_pylist()
                 else:
                     if blobs:
                         known, blobs = np.unique(unpack(blobs, 1)[0]), []
@@ -216,27 +262,34 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     shared_anchors = _settle(has_key.mapInArrow(anchors, PACKED), buckets, later_only=False)
 
     def candidates(known: np.ndarray, batch: pa.RecordBatch, state: dict) -> Iterator[pa.RecordBatch]:
-        out = state.setdefault("out", Answers(buckets, later_only=True))
+        out = state.setdefault("out", Runs(buckets))
         if len(known):
             keys = _keys(batch.column(0))
             for begin, texts in lots(utf8(batch.column(1))):
                 w = Windows(texts, window, k)
-                own = keys[begin + w.doc]
-                which = np.flatnonzero(member(ticket(w.anchor, own), known))
-                yield from out.add(w.hashes(which), own[which])
+                own = keys[begin : begin + len(texts)]
+                which = np.flatnonzero(member(ticket(w.anchor, own[w.doc]), known))
+                doc = w.doc[which]
+                if len(which):
+                    yield from out.add(w.hashes(which), own[doc], marks_of(texts, own)[doc], w.at[which] - w.words.first[doc])
 
     bucket_of = F.pmod(F.col("k"), F.lit(buckets)).cast("int")
     texts = has_key.select(bucket_of.alias("bucket"), F.struct("k", "t").alias("row"))
     packed = T._parse_datatype_string(PACKED)
-    windows = _meet(texts, shared_anchors, packed, candidates, lambda state: state["out"].send() if state else ())
-    repeated = _settle(windows, buckets, later_only=True)
+    windows = _meet(texts, shared_anchors, packed, candidates, lambda state: state["out"].send() if "out" in state else ())
+    repeated = _settle(windows, buckets, later_only=True, forward=1)
 
     spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__spans", spans), T.StructField("__kept", T.StringType())])
     arrow = to_arrow_schema(schema)
     key_at, text_at = docs.columns.index(key), docs.columns.index(text)
 
-    def cut(known: np.ndarray, batch: pa.RecordBatch, _: dict) -> Iterator[pa.RecordBatch]:
+    def cut(known: np.ndarray, batch: pa.RecordBatch, state: dict) -> Iterator[pa.RecordBatch]:
+        if state["sorted"] is None:
+            marks, starts, ends = unpack(state["runs"], 3)
+            order = np.argsort(marks, kind="stable")
+            state["sorted"] = marks[order], starts[order].astype(np.int64), ends[order].astype(np.int64)
+        marks, starts, ends = state["sorted"]
         null, keys = batch.column(key_at).is_null().to_numpy(zero_copy_only=False), batch.column(key_at).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
         n_words, n_removed, removed, kept = [], [], [], []
         for begin, part in lots(utf8(batch.column(text_at))):
@@ -248,6 +301,13 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             edge = np.zeros(len(w.words.hash) + 1, np.int64)
             np.add.at(edge, w.at[hit], 1)
             np.add.at(edge, w.at[hit] + window, -1)
+            if len(marks):
+                own = marks_of(part, keys[begin : begin + len(part)])
+                low, high = np.searchsorted(marks, own, "left"), np.searchsorted(marks, own, "right")
+                for d in np.flatnonzero((high > low) & ~null[begin : begin + len(part)]).tolist():
+                    at = w.words.first[d]
+                    np.add.at(edge, at + starts[low[d] : high[d]], 1)
+                    np.add.at(edge, at + ends[low[d] : high[d]] - 1 + window, -1)
             gone = np.cumsum(edge)[:-1] > 0
             for d in range(len(part)):
                 s, e = int(w.words.first[d]), int(w.words.first[d + 1])
