@@ -58,7 +58,7 @@ def force_layout(nodes: DataFrame, edges: DataFrame, ticks: int = TICKS) -> Data
     """(repositoryId, id, x, y), a layout for each repository. Self loops and dangling edges have no effect."""
     schema = "repositoryId string, id string, x double, y double"
     own = nodes.select("repositoryId", "id")
-    inside = edges.join(own.select(F.col("repositoryId"), F.col("id").alias("sourceId")), "sourceId").select("repositoryId", "sourceId", "targetId")
+    inside = edges.join(own.select(F.col("repositoryId").alias("repo"), F.col("id").alias("sourceId")), "sourceId").select("repo", "sourceId", "targetId")
 
     def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(n.id.unique())
@@ -67,4 +67,4 @@ def force_layout(nodes: DataFrame, edges: DataFrame, ticks: int = TICKS) -> Data
         at = relax(len(ids), links, ticks)
         return pd.DataFrame({"repositoryId": key[0], "id": ids, "x": at[:, 0], "y": at[:, 1]})
 
-    return own.groupBy("repositoryId").cogroup(inside.groupBy("repositoryId")).applyInPandas(run, schema)
+    return own.groupBy("repositoryId").cogroup(inside.groupBy("repo")).applyInPandas(run, schema)
