@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from graphloam.llm.common import PACKED, Words, buckets_for, documents, grams, lots, mix, pack, partitions, small_batches, unpack, utf8
+from graphloam.llm.common import PACKED, Words, buckets_for, documents, grams, lots, mix, pack, partitions, small_batches, squeeze, unpack, unsqueezed, utf8
 
 WINDOW, K = 13, 5
 #: Entries that a task gathers before it sends them.
@@ -265,7 +265,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         out = state.setdefault("out", Runs(buckets))
         if len(known):
             keys = _keys(batch.column(0))
-            for begin, texts in lots(utf8(batch.column(1))):
+            for begin, texts in lots(unsqueezed(batch.column(1))):
                 w = Windows(texts, window, k)
                 own = keys[begin : begin + len(texts)]
                 which = np.flatnonzero(member(ticket(w.anchor, own[w.doc]), known))
@@ -274,7 +274,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                     yield from out.add(w.hashes(which), own[doc], marks_of(texts, own)[doc], w.at[which] - w.words.first[doc])
 
     bucket_of = F.pmod(F.col("k"), F.lit(buckets)).cast("int")
-    texts = has_key.select(bucket_of.alias("bucket"), F.struct("k", "t").alias("row"))
+    texts = squeeze(has_key, "t").select(bucket_of.alias("bucket"), F.struct("k", "t").alias("row"))
     packed = T._parse_datatype_string(PACKED)
     windows = _meet(texts, shared_anchors, packed, candidates, lambda state: state["out"].send() if "out" in state else ())
     repeated = _settle(windows, buckets, later_only=True, forward=1)
@@ -292,7 +292,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         marks, starts, ends = state["sorted"]
         null, keys = batch.column(key_at).is_null().to_numpy(zero_copy_only=False), batch.column(key_at).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
         n_words, n_removed, removed, kept = [], [], [], []
-        for begin, part in lots(utf8(batch.column(text_at))):
+        bodies = unsqueezed(batch.column(text_at))
+        for begin, part in lots([b or b"" for b in bodies]):
             w = Windows(part, window, k)
             hit = np.zeros(len(w.at), bool)
             if len(known):
@@ -322,11 +323,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 removed.append([{"first": a, "end": b} for a, b in zip(change[0::2], change[1::2], strict=True)])
                 kept.append(b" ".join(w.words.word(s + i) for i in np.flatnonzero(~own_gone).tolist()))
         yield pa.RecordBatch.from_arrays(
-            [*(c.cast(f.type) for c, f in zip(batch.columns, arrow, strict=False)), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, arrow.field("__spans").type), pa.array(kept, pa.binary()).cast(pa.string())], schema=arrow,
+            [*(pa.array(bodies, pa.binary()).cast(f.type) if i == text_at else c.cast(f.type) for i, (c, f) in enumerate(zip(batch.columns, arrow, strict=False))), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, arrow.field("__spans").type), pa.array(kept, pa.binary()).cast(pa.string())], schema=arrow,
         )
 
     place = F.pmod(F.coalesce(F.col(key).cast("long"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))), F.lit(buckets)).cast("int")
-    whole = docs.select(place.alias("bucket"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    placed = squeeze(docs.select(*(docs[c] for c in docs.columns), place.alias("__bucket")), text)
+    whole = placed.select(F.col("__bucket").alias("bucket"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     return _meet(whole, repeated, schema, cut, lambda _: ())
 
 
