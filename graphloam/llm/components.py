@@ -8,16 +8,26 @@ from pyspark.sql import functions as F
 from graphloam.llm.common import Durable
 
 
+#: Parts that the edges of one node are dealt to in a join, so that a hub's edges don't meet in one task.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """edges (u, v) with m of their u; least: (u, m), a row for each u."""
+    salted = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = _with_least(down, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v")))
 
 
