@@ -6,8 +6,8 @@ and host (grouped aggregation); a host's rate is shrunk toward the global rate,
 whose strengths are estimated from the spread of the rates. Sparse sites so stay near the global prior. A document's own
 share is taken out of its site before it is used.
 
-The text classifier: shares of character classes, word repetition and the like, and a lexicon of hashed words with their
-log odds, in a logistic regression. It is fitted on a bounded sample: FIT_ROWS labelled rows with the smallest hash of
+The text classifier: shares of character classes, word repetition and the like, and two lexicons - of hashed words and of
+four bytes within words, so that stems count under any ending - with their log odds, in a logistic regression. It is fitted on a bounded sample: FIT_ROWS labelled rows with the smallest hash of
 their key; odd hashes fit the lexicon, even ones the regression.
 """
 
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import LOWER, Durable, Words, documents, lots, small_batches, utf8
+from graphloam.llm.common import LOWER, SPACES, Durable, Words, documents, lots, mix, small_batches, utf8
 
 FIT_ROWS = 24_000
-#: Buckets of the lexicon; documents with a label that a bucket needs before it counts as evidence.
-BUCKETS, SUPPORT = 1 << 17, 6
+#: Buckets of a lexicon; documents with a label that a bucket needs before it counts as evidence.
+BUCKETS, SUPPORT = 1 << 18, 6
 REJECT = 0.5
+#: Documents that a prior counts for at least.
+LEAST_STRENGTH = 20.0
 HEADS = ("low", "toxic")
 
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:'\"-()?", "!", "|", "%&$#*@^~<>=+{}[]\\/_`", " \t\r", "\n"]
@@ -35,8 +37,24 @@ for _k, _chars in enumerate(_CLASSES):
     _CLASS[[ord(c) for c in _chars]] = _k
 
 
-def text_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A row of numbers for each text, and the distinct (text, bucket of a word in lower case) pairs."""
+@dataclass
+class Features:
+    """Of several texts: a row of numbers each; distinct (text, bucket of a word) pairs; buckets of four-byte grams, those of
+    text i at begin[i]:begin[i + 1]."""
+
+    dense: np.ndarray
+    of: np.ndarray
+    bucket: np.ndarray
+    grams: np.ndarray
+    begin: np.ndarray
+
+    def presence(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (text, bucket) pairs of words, and of grams in the buckets behind those of words."""
+        key = np.unique(np.repeat(np.arange(len(self.dense)), np.diff(self.begin)) * BUCKETS + self.grams)
+        return np.concatenate([self.of, key // BUCKETS]), np.concatenate([self.bucket, key % BUCKETS + BUCKETS])
+
+
+def text_features(texts: list[bytes]) -> Features:
     n = len(texts)
     sizes = np.fromiter(map(len, texts), np.int64, n)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))
@@ -54,12 +72,27 @@ def text_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     longest = np.bincount(w.doc, w.end - w.start, minlength=n) / np.maximum(1, words)
     dense = np.column_stack([shares, np.log1p(words), np.log1p(longest), distinct / np.maximum(1, words), top / np.maximum(1, words)])
     key = np.unique(of * BUCKETS + (pairs & np.uint64(BUCKETS - 1)).astype(np.int64))
-    return dense, key // BUCKETS, key % BUCKETS
+    raw = np.frombuffer(w.data, np.uint8)
+    gap, four = SPACES[raw], raw[: max(0, len(raw) - 3)].astype(np.uint64)
+    apart = gap[: len(four)].copy()
+    for j in range(1, 4):
+        four |= raw[j : j + len(four)].astype(np.uint64) << np.uint64(8 * j)
+        apart |= gap[j : j + len(four)]
+    at = np.flatnonzero(~apart)
+    return Features(dense, key // BUCKETS, key % BUCKETS, (mix(four[at]) & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(at, begin))
+
+
+def _per_text(how: np.ufunc, values: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """how.reduce over each text's values, 0 for none."""
+    out, full = np.zeros(len(begin) - 1), np.flatnonzero(np.diff(begin))
+    if len(full):
+        out[full] = how.reduceat(values, begin[full])
+    return out
 
 
 @dataclass
 class Head:
-    """A logistic regression over the dense features, their squares, and the lexicon's largest and mean log odds."""
+    """A logistic regression over the dense features, their squares, and the lexicons' largest, smallest and mean log odds."""
 
     lexicon: np.ndarray
     mean: np.ndarray
@@ -67,16 +100,15 @@ class Head:
     weights: np.ndarray
 
     @staticmethod
-    def design(dense: np.ndarray, of: np.ndarray, bucket: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-        odds = lexicon[bucket]
-        top, low = np.zeros(len(dense)), np.zeros(len(dense))
-        np.maximum.at(top, of, odds)
-        np.minimum.at(low, of, odds)
-        total = np.bincount(of, odds, len(dense)) / np.maximum(1, np.bincount(of, minlength=len(dense)))
-        return np.column_stack([dense, dense**2, top, low, total])
-
-    def logit(self, dense: np.ndarray, of: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        x = (self.design(dense, of, bucket, self.lexicon) - self.mean) / self.scale
+    def design(f: Features, lexicon: np.ndarray) -> np.ndarray:
+        columns = [f.dense, f.dense**2]
+        ordered = np.searchsorted(f.of, np.arange(len(f.dense) + 1))
+        for odds, begin in ((lexicon[f.bucket], ordered), (lexicon[BUCKETS + f.grams], f.begin)):
+            columns += [_per_text(np.maximum, odds, begin), _per_text(np.minimum, odds, begin), _per_text(np.add, odds, begin) / np.maximum(1, np.diff(begin))]
+        return np.column_stack(columns)
+
+    def logit(self, f: Features) -> np.ndarray:
+        x = (self.design(f, self.lexicon) - self.mean) / self.scale
         return np.clip(self.weights[0] + np.clip(x, -12, 12) @ self.weights[1:], -30, 30)
 
 
@@ -86,20 +118,29 @@ def fit_lexicon(bad: np.ndarray, good: np.ndarray, n_bad: int, n_good: int, supp
     return np.where((bad >= support) | (good >= support * max(1.0, n_good / max(1, n_bad))), odds, 0.0)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
-    """Newton steps with a ridge; the intercept comes first and is not shrunk."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Newton steps with a ridge, each halved until it lowers the loss; the intercept comes first and is hardly shrunk."""
     x = np.column_stack([np.ones(len(x)), x])
     rate = (y.sum() + 0.5) / (len(y) + 1)
     w = np.zeros(x.shape[1])
     w[0] = np.log(rate / (1 - rate))
     penalty = np.full(x.shape[1], ridge)
-    penalty[0] = 1e-6
+    penalty[0] = 1e-3
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(np.logaddexp(0, z).sum() - y @ z + (penalty * v * v).sum() / 2)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max(initial=0) < 1e-6:
+        size = 1.0
+        while size > 1e-4 and (new := loss(w + size * step)) > now:
+            size /= 2
+        if size <= 1e-4 or now - new < 1e-8 * (1 + abs(now)):
             break
+        w, now = w + size * step, new
     return w
 
 
@@ -117,33 +158,32 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Durable, key: str = "doc_id",
     sample = keep.keep(_sample(docs, labels, key, text, fit_rows).repartition(8))
 
     def lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((4, BUCKETS), np.int64)
-        docs_of = np.zeros(4, np.int64)
+        held = np.zeros((4, 2 * BUCKETS + 1), np.int64)  # the last column counts documents
         for batch in batches:
             low, toxic, odd = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
             for begin, part in lots(utf8(batch.column(0))):
-                _, of, bucket = text_features(part)
+                of, bucket = text_features(part).presence()
                 label = (low * 2 + toxic)[begin : begin + len(part)]
                 use = odd[begin : begin + len(part)] == 1
                 for k in range(4):
-                    docs_of[k] += int((use & (label == k)).sum())
-                    held[k] += np.bincount(bucket[(use & (label == k))[of]], minlength=BUCKETS)
-        for k in range(4):
-            b = np.flatnonzero(held[k])
-            yield pa.RecordBatch.from_arrays([pa.array([k] * (len(b) + 1), pa.int32()), pa.array([*b.tolist(), -1], pa.int32()), pa.array([*held[k][b].tolist(), int(docs_of[k])], pa.int64())], names=["k", "b", "n"])
-
-    table = np.zeros((4, BUCKETS + 1), np.int64)
-    counts = sample.select("t", "low", "toxic", "odd").mapInArrow(lexicon, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n")).toPandas()  # 4 * BUCKETS rows at most
-    table[counts.k.to_numpy(int), counts.b.to_numpy(int)] = counts.n.to_numpy()
+                    held[k, -1] += int((use & (label == k)).sum())
+                    held[k] += np.bincount(bucket[(use & (label == k))[of]], minlength=2 * BUCKETS + 1)
+        b = np.flatnonzero(held.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), *(pa.array(held[k][b]) for k in range(4))], names=["b", "n0", "n1", "n2", "n3"])
+
+    sums = sample.select("t", "low", "toxic", "odd").mapInArrow(lexicon, "b int, n0 long, n1 long, n2 long, n3 long").groupBy("b").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(4)))
+    counts = sums.where((F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") >= SUPPORT) | (F.col("b") == 2 * BUCKETS)).toPandas()  # 2 * BUCKETS + 1 rows at most
+    table = np.zeros((4, 2 * BUCKETS + 1), np.int64)
+    table[:, counts.b.to_numpy(int)] = counts[["n0", "n1", "n2", "n3"]].to_numpy().T
     bad = {"low": table[2] + table[3], "toxic": table[1] + table[3]}
     lexicons = [fit_lexicon(bad[h][:-1], table.sum(0)[:-1] - bad[h][:-1], bad[h][-1], table.sum(0)[-1] - bad[h][-1]) for h in HEADS]
-    width = Head.design(*text_features([b"a"]), lexicons[0]).shape[1]
+    width = Head.design(text_features([b"a"]), lexicons[0]).shape[1]
 
     def designs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, part in lots(utf8(batch.column(0))):
                 f = text_features(part)
-                x = np.column_stack([Head.design(*f, lex) for lex in lexicons])
+                x = np.column_stack([Head.design(f, lex) for lex in lexicons])
                 yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), *(batch.column(i)[begin : begin + len(part)] for i in (1, 2))], names=["x", "low", "toxic"])
 
     rows = sample.where("odd = 0").select("t", "low", "toxic").mapInArrow(designs, "x array<double>, low int, toxic int").toPandas()  # half of fit_rows, some 60 numbers each
@@ -173,7 +213,7 @@ def _strength(level: DataFrame, rate: Column, n: Column, prior: Column) -> Colum
     noise = F.sum(prior * (1 - prior) / n * n) / F.sum(n)
     spread = F.sum(n * (rate - prior) * (rate - prior)) / F.sum(n) - noise
     unit = F.sum(n * prior * (1 - prior)) / F.sum(n)
-    return F.coalesce(F.greatest(F.lit(2.0), F.least(F.lit(1e4), F.try_divide(unit, F.greatest(spread, F.lit(1e-6))))), F.lit(100.0))
+    return F.coalesce(F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(1e4), F.try_divide(unit, F.greatest(spread, F.lit(1e-6))))), F.lit(100.0))
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: Column | None = None, fit_rows: int = FIT_ROWS, reject: float = REJECT, keep: Durable | None = None) -> DataFrame:
@@ -196,7 +236,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             found = [np.zeros((0, 2))]
             for _, part in lots(utf8(batch.column(3))):
                 f = text_features(part)
-                found.append(np.column_stack([h.logit(*f) for h in shared.value]))
+                found.append(np.column_stack([h.logit(f) for h in shared.value]))
             logits = np.concatenate(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(logits[:, 0]), pa.array(logits[:, 1])], names=["k", "host", "path", "e_low", "e_toxic"])
 
