@@ -19,15 +19,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Rows of one Arrow batch that is sent to Python; texts may be long.
-BATCH_ROWS = 1024
+#: Rows and bytes of one Arrow batch that is sent to Python; texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 #: Bytes of text that one numpy pass works on; arrays of some 60 times that size live at once.
 PASS_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows of an Arrow batch for the Python stages of this session."""
+    """Bounds the rows and bytes of an Arrow batch for the Python stages of this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
