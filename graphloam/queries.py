@@ -491,3 +491,66 @@ def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT url, regexp_replace(split_part(regexp_replace(url, '/+$', ''), '/', -1), '\\.git$', '') AS name FROM pages")
 def repo_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("url", text.repo_name(F.col("url")).alias("name"))
+
+
+# ------------------------------------------------------------------------------------------- scalar functions on tables
+
+
+@query("SELECT event_id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' ELSE (s // 3600) || 'h ago' END AS age FROM (SELECT event_id, epoch(TIMESTAMP '2024-03-01')::BIGINT - epoch(date_trunc('second', ts))::BIGINT AS s FROM events)")
+def age_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp")
+    return _read(spark, sf_dir, "events").select("event_id", text.age_label(F.col("ts").cast("timestamp"), now).alias("age"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN lang = 'en' THEN 'src/' || source || '/lib.ts' WHEN lang = 'de' THEN 'src/lib.ts' WHEN lang = 'fr' THEN 'lib.ts' ELSE '../lib.ts' END AS target FROM documents"""
+)
+def import_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spelled = F.when(F.col("lang") == "en", "./lib.ts").when(F.col("lang") == "de", "../lib.ts").when(F.col("lang") == "fr", ".././../lib.ts").otherwise("../../x/../../lib.ts")
+    here = F.concat(F.lit("src/"), "source", F.lit("/main.ts"))
+    return _read(spark, sf_dir, "documents").select("doc_id", text.resolve_import(here, spelled).alias("target"))
+
+
+@query("SELECT doc_id, left(text, 40) AS opened, true AS sealed FROM documents")
+def token_encryption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloam.functions import crypto
+
+    key = F.sha2(F.col("source"), 256)
+    rows = _read(spark, sf_dir, "documents").select("doc_id", key.alias("key"), crypto.encrypt(F.substring("text", 1, 40), key).alias("token"))
+    return rows.select("doc_id", crypto.decrypt(F.col("token"), F.col("key")).alias("opened"), F.col("token").startswith("v1:").alias("sealed"))
+
+
+@query("SELECT event_id, event_type <> 'click' AS ok FROM events")
+def webhook_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloam.functions import crypto
+
+    body = F.col("props").cast("binary")
+    secret = F.concat(F.lit("secret-"), F.col("user_id").cast("string"))
+    signed = F.concat(F.lit("sha256="), crypto.hmac_sha256(secret.cast("binary"), F.when(F.col("event_type") == "click", F.lit("other").cast("binary")).otherwise(body)))
+    return _read(spark, sf_dir, "events").select("event_id", crypto.signature_ok(secret, body, signed).alias("ok"))
+
+
+@query("SELECT page_id, regexp_extract(u, 'github\\.com/([^/]+)/', 1) AS owner, regexp_extract(u, '/pull/(\\d+)', 1)::INTEGER AS number FROM (SELECT page_id, 'https://github.com/o' || (page_id % 5) || '/r/pull/' || page_id AS u FROM pages)")
+def pr_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://github.com/o"), (F.col("page_id") % 5).cast("string"), F.lit("/r/pull/"), F.col("page_id").cast("string"))
+    return _read(spark, sf_dir, "pages").select("page_id", text.pr_parts(url).alias("p")).select("page_id", "p.owner", "p.number")
+
+
+@query("""SELECT id, "filePath" AS path FROM nodes""", graph=True)
+def metadata_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star_nodes(spark, sf_dir).select("id", text.metadata_path(F.col("metadataJson")).alias("path"))
+
+
+@query("SELECT c.* FROM conversations c ANTI JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system') s USING (conv_id)")
+def delete_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "conversations")
+    return mutate.delete_by_keys(c, c.where("role = 'system'").select("conv_id"))[0]
+
+
+@query("SELECT r.r_name, (count(*) FILTER (NOT contains(u.id, 'x')))::BIGINT AS nodes FROM region r JOIN (SELECT 'r' || r_regionkey AS id, r_regionkey AS k FROM region UNION ALL SELECT 'n' || n_nationkey, n_regionkey FROM nation) u ON u.k = r_regionkey GROUP BY r_name")
+def merge_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = star_nodes(spark, sf_dir)
+    top = nodes.where("type IN ('repository', 'module')")
+    merged = graph_query.merge_by_id(top, top.where("type = 'module'"))
+    names = _read(spark, sf_dir, "region").select("r_name", F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("repositoryId"))
+    return merged.join(names, "repositoryId").groupBy("r_name").agg(F.count(F.lit(1)).alias("nodes"))
