@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import PASS_BYTES, documents, lots, mix, small_batches
+from graphloam.llm.common import PASS_BYTES, documents, mix, small_batches
 
 PER_LANGUAGE, FREQUENT, SELDOM = 2000, 20_000, 0.05
 #: Slots of the filter (a power of two) and probes for an n-gram.
@@ -87,14 +87,37 @@ class Filters:
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """score: the decided language's share of all corrected counts. Ties, and texts without any known n-gram (score 0),
         go to the first language in alphabetical order; texts without a letter are undetermined."""
-        counts, n = self.popcounts(*trigrams(texts))
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        counts, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        owner, pieces = [], []
+        for i, t in enumerate(texts):
+            own = list(slices(t))
+            owner += [i] * len(own)
+            pieces += own
+        begin = size = 0
+        for end in range(1, len(pieces) + 1):
+            size += len(pieces[end - 1])
+            if size > PASS_BYTES or end == len(pieces):
+                c, m = self.popcounts(*trigrams(pieces[begin:end]))
+                np.add.at(counts, owner[begin:end], c)
+                np.add.at(n, owner[begin:end], m)
+                begin, size = end, 0
         best, total = counts.argmax(1), counts.sum(1)
         score = np.where(total > 0, counts[np.arange(len(texts)), best] / np.maximum(total, 1e-300), 0.0)
         return [self.languages[b] if m else UNDETERMINED for b, m in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, score, 0.0).tolist()
 
 
+def slices(text: str, most: int = PASS_BYTES) -> Iterator[str]:
+    """A long text in pieces, cut at a blank where one is near, so that the pieces' n-grams are the text's."""
+    begin = 0
+    while len(text) - begin > most:
+        cut = text.rfind(" ", begin + most // 2, begin + most) + 1 or begin + most
+        yield text[begin:cut]
+        begin = cut
+    yield text[begin:]
+
+
 def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE, frequent: int = FREQUENT, seldom: float = SELDOM) -> Filters:
     """Filters from rows with text and language. Without such rows there are no languages."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
@@ -111,8 +134,8 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int =
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(language, []).append(t)
             for language, texts in by.items():
-                g, n = np.unique(trigrams(texts)[0], return_counts=True)
-                held.setdefault(language, []).append((g, n))
+                for piece in (p for t in texts for p in slices(t)):
+                    held.setdefault(language, []).append(np.unique(trigrams([piece])[0], return_counts=True))
         for language, parts in held.items():
             g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(g)).astype(np.int64)
@@ -133,11 +156,7 @@ def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs, scores = [t or "" for t in batch.column(1).to_pylist()], [], []
-            for begin, part in lots([t.encode("utf-8", "replace") for t in texts], PASS_BYTES):
-                a, b = filters.predict(texts[begin : begin + len(part)])
-                langs += a
-                scores += b
+            langs, scores = filters.predict([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
 
     small_batches(docs.sparkSession)

@@ -152,3 +152,12 @@ def test_bloom_masks_hold_every_member():
     strange = rng.integers(0, 1 << 63, 20_000, dtype=np.int64).view(np.uint64)
     counts, n = f.popcounts(strange, np.array([0, len(strange)]))
     assert counts.max() < 0.01 * n[0]
+
+
+def test_long_texts_in_slices():
+    import numpy as np
+
+    text = " ".join(f"wort{i} ähnlich" for i in range(500))
+    whole = np.sort(language_id.trigrams([text])[0])
+    parts = np.sort(language_id.trigrams(list(language_id.slices(text, 200)))[0])
+    assert (whole == parts).all() and "".join(language_id.slices(text, 200)) == text and "".join(language_id.slices("x" * 1000, 64)) == "x" * 1000
