@@ -35,3 +35,13 @@ def chunk(parsed: DataFrame, files: DataFrame) -> DataFrame:
     four = whole.select("repositoryId", F.col("id").alias("nodeId"), F.col("path").alias("filePath"), F.lit("file").alias("nodeType"), text.basename(F.col("path")).alias("name"), head.alias("content"), F.lit(1).alias("startLine"), text.line_count(head).alias("endLine"), at(F.lit(0)).alias("position"))
     rows_out = one.unionByName(two).unionByName(three).unionByName(four)
     return rows_out.select(F.sha2(F.concat_ws("|", "repositoryId", "nodeId", F.array_join(F.col("position").cast("array<string>"), ".")), 256).alias("id"), *[c for c in rows_out.columns if c != "position"], F.lit(None).cast("array<float>").alias("embedding"))
+
+
+def chunk_counts(chunks: DataFrame) -> DataFrame:
+    """A4: (repositoryId, n)."""
+    return chunks.groupBy("repositoryId").agg(F.count(F.lit(1)).alias("n"))
+
+
+def store_chunks(chunks: DataFrame, path: str) -> None:
+    """Chunks and vectors in one write, by repository."""
+    chunks.write.mode("append").partitionBy("repositoryId").parquet(path)

@@ -100,3 +100,15 @@ def swap_in(spark: SparkSession, rows: DataFrame, path: str, partition_by: list[
         raise OSError(f"cannot move the new table to {path}")
     if had:
         fs.delete(old, True)
+
+
+def stable_id(*parts: Column) -> Column:
+    """F32: an id that is the same whenever the row is made again: a hash of what identifies it."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256)
+
+
+def insert(rows: DataFrame, path: str, id_of: list[str], partition_by: list[str] | None = None) -> None:
+    """M6: appends rows with ids from their identifying columns; what has an id keeps it."""
+    own = F.col("id") if "id" in rows.columns else F.lit(None).cast("string")
+    out = rows.withColumn("id", F.coalesce(own, stable_id(*map(F.col, id_of))))
+    (out.write.mode("append").partitionBy(*partition_by) if partition_by else out.write.mode("append")).parquet(path)

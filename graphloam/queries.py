@@ -554,3 +554,16 @@ def merge_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = graph_query.merge_by_id(top, top.where("type = 'module'"))
     names = _read(spark, sf_dir, "region").select("r_name", F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("repositoryId"))
     return merged.join(names, "repositoryId").groupBy("r_name").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("SELECT source AS \"repositoryId\", count(*)::BIGINT AS n FROM documents GROUP BY source")
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloam.operators import chunks
+
+    return chunks.chunk_counts(_read(spark, sf_dir, "documents").select(F.col("source").alias("repositoryId")))
+
+
+@query("SELECT conv_id, turn, sha256(conv_id || '|' || turn || '|' || role) AS id FROM conversations")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", mutate.stable_id(F.col("conv_id"), F.col("turn"), F.col("role")).alias("id"))

@@ -180,3 +180,12 @@ def test_layout(spark):
     xs, ys = [r["x"] for r in one], [r["y"] for r in one]
     assert all(abs(v) < 1e4 for v in xs + ys) and max(xs) - min(xs) > 1 and max(ys) - min(ys) > 1
     assert layout.force_layout(nodes.limit(0), edges, 5).count() == 0
+
+
+def test_stored_rows_and_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("r", "a", None), ("r", "b", "own"), ("q", "a", None)], "repositoryId string, name string, id string")
+    mutate.insert(rows, str(tmp_path / "t"), ["repositoryId", "name"], ["repositoryId"])
+    back = spark.read.parquet(str(tmp_path / "t")).collect()
+    assert len({r["id"] for r in back}) == 3 and "own" in {r["id"] for r in back}
+    chunks.store_chunks(rows, str(tmp_path / "c"))
+    assert {r["repositoryId"]: r["n"] for r in chunks.chunk_counts(spark.read.parquet(str(tmp_path / "c"))).collect()} == {"r": 2, "q": 1}
