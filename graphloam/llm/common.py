@@ -198,39 +198,3 @@ def squeeze(rows: DataFrame, text: str) -> DataFrame:
 def unsqueezed(column: pa.Array) -> list[bytes | None]:
     z = zstandard.ZstdDecompressor()
     return [None if x is None else z.decompress(x) for x in column.to_pylist()]
-
-
-# ---------------------------------------------------------------------------------------------------- packed exchanges
-
-
-def prime_from(n: int) -> int:
-    """The first prime that is at least n."""
-    while n < 2 or any(n % i == 0 for i in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
-
-
-def buckets_for(spark: SparkSession) -> int:
-    """Buckets of a packed exchange: a prime, several for each shuffle partition, so that one holds a bounded share."""
-    return prime_from(max(509, 4 * partitions(spark)))
-
-
-def pack(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """Rows (bucket, kind, blob): for each bucket the columns' values one after the other, eight bytes each."""
-    order = np.argsort(bucket, kind="stable")
-    bucket = bucket[order]
-    cut = np.flatnonzero(np.diff(bucket)) + 1
-    begins, ends = np.concatenate(([0], cut)), np.concatenate((cut, [len(bucket)]))
-    columns = [c[order].view(np.int64) for c in columns]
-    blobs = [b"".join(c[s:e].tobytes() for c in columns) for s, e in zip(begins.tolist(), ends.tolist(), strict=True)] if len(bucket) else []
-    first = bucket[begins] if len(bucket) else bucket
-    return pa.RecordBatch.from_arrays([pa.array(first.astype(np.int32)), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
-
-
-def unpack(blobs: list[bytes], width: int) -> list[np.ndarray]:
-    """The columns of the blobs of one bucket, as unsigned 64-bit integers."""
-    parts = [np.frombuffer(b, np.uint64).reshape(width, -1) for b in blobs]
-    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.uint64)] * width
-
-
-PACKED = "bucket int, kind int, blob binary"

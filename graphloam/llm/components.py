@@ -45,7 +45,7 @@ def components(edges: DataFrame, keep: Durable) -> DataFrame:
     now = keep.keep(tidy(edges.select("u", "v")))
     before = sign(now)
     while before[0]:
-        new = keep.keep(tidy(_small_star(tidy(_large_star(now)))))
+        new = keep.keep(tidy(_small_star(_large_star(now).where("u <> v"))))
         keep.drop(now)
         now, after = new, sign(new)
         if after == before:

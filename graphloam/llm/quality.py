@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import LOWER, SPACES, Durable, Words, documents, lots, mix, small_batches, utf8
+from graphloam.llm.common import LOWER, PASS_BYTES, SPACES, Durable, Words, documents, lots, mix, small_batches, utf8
 
 FIT_ROWS = 24_000
 #: Buckets of a lexicon; documents with a label that a bucket needs before it counts as evidence.
@@ -54,6 +54,21 @@ class Features:
         return np.concatenate([self.of, key // BUCKETS]), np.concatenate([self.bucket, key % BUCKETS + BUCKETS])
 
 
+def byte_grams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all four bytes within a word, and where each begins; some PASS_BYTES at a time."""
+    gap, buckets, places = SPACES[raw], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for begin in range(0, max(0, len(raw) - 3), PASS_BYTES):
+        n = min(PASS_BYTES, len(raw) - 3 - begin)
+        apart, four = np.zeros(n, bool), np.zeros(n, np.uint64)
+        for j in range(4):
+            apart |= gap[begin + j : begin + j + n]
+            four |= raw[begin + j : begin + j + n].astype(np.uint64) << np.uint64(8 * j)
+        at = np.flatnonzero(~apart)
+        buckets.append((mix(four[at]) & np.uint64(BUCKETS - 1)).astype(np.int32))
+        places.append(at + begin)
+    return np.concatenate(buckets), np.concatenate(places)
+
+
 def text_features(texts: list[bytes]) -> Features:
     n = len(texts)
     sizes = np.fromiter(map(len, texts), np.int64, n)
@@ -72,14 +87,8 @@ def text_features(texts: list[bytes]) -> Features:
     longest = np.bincount(w.doc, w.end - w.start, minlength=n) / np.maximum(1, words)
     dense = np.column_stack([shares, np.log1p(words), np.log1p(longest), distinct / np.maximum(1, words), top / np.maximum(1, words)])
     key = np.unique(of * BUCKETS + (pairs & np.uint64(BUCKETS - 1)).astype(np.int64))
-    raw = np.frombuffer(w.data, np.uint8)
-    gap, four = SPACES[raw], raw[: max(0, len(raw) - 3)].astype(np.uint64)
-    apart = gap[: len(four)].copy()
-    for j in range(1, 4):
-        four |= raw[j : j + len(four)].astype(np.uint64) << np.uint64(8 * j)
-        apart |= gap[j : j + len(four)]
-    at = np.flatnonzero(~apart)
-    return Features(dense, key // BUCKETS, key % BUCKETS, (mix(four[at]) & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(at, begin))
+    grams, at = byte_grams(np.frombuffer(w.data, np.uint8))
+    return Features(dense, key // BUCKETS, key % BUCKETS, grams, np.searchsorted(at, begin))
 
 
 def _per_text(how: np.ufunc, values: np.ndarray, begin: np.ndarray) -> np.ndarray:

@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from graphloam.llm.common import PACKED, Words, buckets_for, documents, grams, lots, mix, pack, partitions, small_batches, squeeze, unpack, unsqueezed, utf8
+from graphloam.llm.common import Words, documents, grams, lots, mix, small_batches, squeeze, unsqueezed, utf8
+from graphloam.llm.packed import HELD, PACKED, Answers, buckets_for, keys_of, meet, member, pack, settle, ticket, unpack
 
 WINDOW, K = 13, 5
-#: Entries that a task gathers before it sends them.
-HELD = 1 << 21
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -64,52 +63,6 @@ class Windows:
         return mix(out)
 
 
-def ticket(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """One number for (hash, document key)."""
-    return mix(hashes ^ mix(keys.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
-
-
-def distinct(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs, sorted by hash and then by key."""
-    order = np.lexsort((keys, hashes))
-    h, d = hashes[order], keys[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    return h[new], d[new]
-
-
-class Answers:
-    """Gathers (hash, key) pairs; sends an entry for each hash with its smallest key, and answers what is known here.
-
-    known(first): which pairs are answered here, from the mask of the pairs that come first for their hash.
-    """
-
-    def __init__(self, buckets: int, later_only: bool) -> None:
-        self.buckets, self.later_only = buckets, later_only
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
-        self.n = 0
-
-    def add(self, hashes: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((hashes, keys))
-        self.n += len(hashes)
-        if self.n > HELD:
-            yield from self.send()
-
-    def send(self) -> Iterator[pa.RecordBatch]:
-        if not self.n:
-            return
-        h, d = distinct(np.concatenate([x for x, _ in self.held]), np.concatenate([x for _, x in self.held]))
-        self.held, self.n = [], 0
-        first = np.ones(len(h), bool)
-        first[1:] = h[1:] != h[:-1]
-        yield pack((h[first] % np.uint64(self.buckets)).astype(np.int64), 0, h[first], d[first])
-        known = ~first
-        if not self.later_only:  # the first of several is told as well
-            known[:-1] |= first[:-1] & ~first[1:]
-        if known.any():
-            yield pack(np.mod(d[known], self.buckets), 1, ticket(h[known], d[known]))
-
-
 class Runs:
     """Gathers windows with their documents; sends an entry for each window with its smallest key, and for windows that have a
     smaller key here the runs of consecutive ones: (document's mark, first window, end), kind 1."""
@@ -151,91 +104,6 @@ def marks_of(texts: list[bytes], keys: np.ndarray) -> np.ndarray:
     return ticket(np.fromiter((int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts), np.uint64, len(texts)), keys)
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
-    """(bucket, blobs of kind 0, blobs of kind 1) of a partition that is sorted by bucket."""
-    now, zero, one = None, [], []
-    for batch in batches:
-        for b, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if b != now:
-                if now is not None:
-                    yield now, zero, one
-                now, zero, one = b, [], []
-            (one if kind else zero).append(blob)
-    if now is not None:
-        yield now, zero, one
-
-
-def _settle(entries: DataFrame, buckets: int, later_only: bool, forward: int = 0) -> DataFrame:
-    """The blocks: which entries others have too (or, later_only, a smaller key has). Rows (bucket of the key, 0, tickets);
-    what the tasks have answered themselves goes on as kind `forward`."""
-    spark = entries.sparkSession
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, zero, one in _by_bucket(batches):
-            for blob in one:
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([forward], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
-            if zero:
-                h, d = unpack(zero, 2)
-                h, d = distinct(h, d.view(np.int64))
-                first = np.ones(len(h), bool)
-                first[1:] = h[1:] != h[:-1]
-                told = ~first
-                if not later_only:
-                    told[:-1] |= first[:-1] & ~first[1:]
-                if told.any():
-                    yield pack(np.mod(d[told], buckets), 0, ticket(h[told], d[told]))
-
-    return entries.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKED)
-
-
-def _meet(rows: DataFrame, tickets: DataFrame, schema: T.StructType, visit, finish) -> DataFrame:
-    """Brings rows (bucket, row) and the answers for their bucket together; visit(sorted tickets, record batch of rows, state)
-    and finally finish(state) give record batches of the schema. state["runs"] has the bucket's blobs of kind 1."""
-    row_schema = rows.schema["row"].dataType
-    both = rows.select("bucket", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("blob"), "row").unionByName(tickets.select("bucket", "kind", "blob", F.lit(None).cast(row_schema).alias("row")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs, known, state = None, [], np.zeros(0, np.uint64), {}
-        for batch in batches:
-            bucket, kind = (batch.column(i).to_numpy() for i in (0, 1))
-            cut = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(kind) != 0)) + 1
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(bucket)], strict=True):
-                if s == e:
-                    continue
-                if bucket[s] != now:
-                    now, blobs, known = bucket[s], [], np.zeros(0, np.uint64)
-                    state["runs"], state["sorted"] = [], None
-                if kind[s] == 0:
-                    blobs += batch.column(2)[s:e].to_pylist()
-                elif kind[s] == 1:
-                    state["runs"] += batch.column(2)[s:e].to_pylist()
-                else:
-                    if blobs:
-                        known, blobs = np.unique(unpack(blobs, 1)[0]), []
-                    part = batch.column(3)[s:e]
-                    yield from visit(known, pa.RecordBatch.from_arrays(part.flatten(), names=[f.name for f in part.type]), state)
-        yield from finish(state)
-
-    return both.repartition(partitions(rows.sparkSession), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, schema)
-
-
-def member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which keys are among the known ones, which are sorted."""
-    out = np.zeros(len(keys), bool)
-    if len(known):
-        size = 1 << max(10, min(22, int(len(known)).bit_length() + 4))
-        maybe = np.zeros(size, bool)
-        maybe[known & np.uint64(size - 1)] = True
-        rows = np.flatnonzero(maybe[keys & np.uint64(size - 1)])
-        at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-        out[rows] = known[at] == keys[rows]
-    return out
-
-
-def _keys(column: pa.Array) -> np.ndarray:
-    return column.cast(pa.int64()).to_numpy(zero_copy_only=False)
-
-
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
     """docs with all their columns and __n_words, __n_removed, __spans (of removed words: first, end) and __kept (the kept
     words, joined by one space).
@@ -249,9 +117,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     has_key = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Answers(buckets, later_only=False)
+        out = Answers(buckets)
         for batch in batches:
-            keys = _keys(batch.column(0))
+            keys = keys_of(batch.column(0))
             for begin, texts in lots(utf8(batch.column(1))):
                 w = Windows(texts, window, k)
                 new = np.ones(len(w.doc), bool)
@@ -259,12 +127,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 yield from out.add(w.anchor[new], keys[begin + w.doc[new]])
         yield from out.send()
 
-    shared_anchors = _settle(has_key.mapInArrow(anchors, PACKED), buckets, later_only=False)
+    shared_anchors = settle(has_key.mapInArrow(anchors, PACKED), buckets, later_only=False)
 
     def candidates(known: np.ndarray, batch: pa.RecordBatch, state: dict) -> Iterator[pa.RecordBatch]:
         out = state.setdefault("out", Runs(buckets))
         if len(known):
-            keys = _keys(batch.column(0))
+            keys = keys_of(batch.column(0))
             for begin, texts in lots(unsqueezed(batch.column(1))):
                 w = Windows(texts, window, k)
                 own = keys[begin : begin + len(texts)]
@@ -276,8 +144,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     bucket_of = F.pmod(F.col("k"), F.lit(buckets)).cast("int")
     texts = squeeze(has_key, "t").select(bucket_of.alias("bucket"), F.struct("k", "t").alias("row"))
     packed = T._parse_datatype_string(PACKED)
-    windows = _meet(texts, shared_anchors, packed, candidates, lambda state: state["out"].send() if "out" in state else ())
-    repeated = _settle(windows, buckets, later_only=True, forward=1)
+    windows = meet(texts, shared_anchors, packed, candidates, lambda state: state["out"].send() if "out" in state else ())
+    repeated = settle(windows, buckets, later_only=True, forward=1)
 
     spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__spans", spans), T.StructField("__kept", T.StringType())])
@@ -329,7 +197,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     place = F.pmod(F.coalesce(F.col(key).cast("long"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))), F.lit(buckets)).cast("int")
     placed = squeeze(docs.select(*(docs[c] for c in docs.columns), place.alias("__bucket")), text)
     whole = placed.select(F.col("__bucket").alias("bucket"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return _meet(whole, repeated, schema, cut, lambda _: ())
+    return meet(whole, repeated, schema, cut, lambda _: ())
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
