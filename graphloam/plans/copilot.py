@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloam.operators import retrieval, vectors
@@ -17,7 +17,8 @@ INSTRUCTION = "Answer the question about this code base from the nodes and excer
 
 def _section(rows: DataFrame, line, order: list, limit: int, joiner: str, placeholder: str, name: str) -> DataFrame:  # noqa: ANN001
     """One row: the lines of the first rows in order, joined; a placeholder if there are none."""
-    first = rows.orderBy(*order).limit(limit).select(F.struct(*[F.monotonically_increasing_id().alias("at")], line.alias("line")).alias("x"))
+    place = F.row_number().over(Window.orderBy(*order))  # of at most `limit` rows
+    first = rows.orderBy(*order).limit(limit).select(F.struct(place.alias("at"), line.alias("line")).alias("x"))
     return first.agg(F.coalesce(F.nullif(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda s: s["line"]), joiner), F.lit("")), F.lit(placeholder)).alias(name))
 
 

@@ -13,6 +13,8 @@ class Tables:
         self.spark = spark
         self.base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not self.base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
             self.base = "file://" + tempfile.mkdtemp(prefix="graphloam-")
             spark.conf.set("spark.checkpoint.dir", self.base)
 

@@ -64,7 +64,8 @@ def empty_state(spark: SparkSession) -> State:
 def ingest(state: State, files: DataFrame, repository: str, embed: Callable[[list[str]], list[list[float]]] | None = None, dimension: int = vectors.DIMENSION, progress: Callable[[str, int], None] = lambda *_: None) -> tuple[State, dict]:
     """The state after files (FILES) is what the repository holds, and the row of metrics.
 
-    Only changed and new files are parsed, chunked and embedded; facts of changed and deleted files go first. Embedding fails
+    Only changed and new files are parsed, chunked and embedded; facts of changed and deleted files go first. Edges are derived
+    from the stored facts of all files, as an unchanged file may import what is new, or what is gone. Embedding fails
     or succeeds as a whole: on a failure the graph is new, the chunks stay as they were, and the metric row says why.
     """
     spark, tables, watch = files.sparkSession, Tables(files.sparkSession), metrics.Stopwatch()
@@ -85,11 +86,8 @@ def ingest(state: State, files: DataFrame, repository: str, embed: Callable[[lis
         kept_nodes, kept_edges = mutate.delete_for_files(state.nodes, state.edges, stale, repository, prune_externals=False)
         parsed = tables.write(mutate.delete_by_keys(state.parsed, stale.withColumn("repositoryId", F.lit(repository)))[0].unionByName(fresh))
         built, _, _ = graph_build.build_graph(fresh, repository)
-        # the root's file count is of all files, and edges may go from old files to new ones
-        root, _, _ = graph_build.build_graph(parsed.where(own), repository)
-        nodes = mutate.merge_nodes(mutate.merge_nodes(kept_nodes, built), root.where(F.col("type") == "repository"))
-        good = parsed.where(own & F.col("error").isNull())
-        _, edges_all, _ = graph_build.build_graph(good, repository)
+        whole, edges_all, _ = graph_build.build_graph(parsed.where(own & F.col("error").isNull()), repository)
+        nodes = mutate.merge_nodes(mutate.merge_nodes(kept_nodes, built), whole.where(F.col("type") == "repository"))
         other = kept_edges.join(nodes.where(~own).select(F.col("id").alias("sourceId")), "sourceId", "left_semi").select(*kept_edges.columns)
         edges = tables.write(mutate.merge_edges(other, edges_all, nodes))
         used = edges.select(F.col("targetId").alias("id")).distinct()
