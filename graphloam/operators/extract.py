@@ -113,11 +113,11 @@ class Braced:
         """extends, implements and the body's opening bracket, from behind a class's name."""
         base, kinds = None, []
         i = after_angles(self.t, i)
-        while i < len(self.t) and not self.is_(i, "{", ";"):
+        while i < len(self.t) and not self.is_(i, "{", ";", "class"):
             if self.is_(i, "extends", "implements"):
                 begin = i + 1
                 i = begin
-                while i < len(self.t) and not self.is_(i, "{", "implements", ";"):
+                while i < len(self.t) and not self.is_(i, "{", "implements", ";", "class"):
                     i = self.close.get(i, i) + 1
                 names = [re.sub(r"<.*", "", n, flags=re.S).strip() for n in self.split(begin, i)]
                 if self.is_(begin - 1, "extends"):
