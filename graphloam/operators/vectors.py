@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloam.functions import text
@@ -15,6 +15,8 @@ from graphloam.functions import text
 DIMENSION, EMBED_BATCH, TOP_K = 768, 10, 10
 #: Ids up to this many are broadcast; more are joined.
 BROADCAST_IDS = 100_000
+#: Query vectors that are broadcast at once, and that meet a batch of rows at once; the matrix product may be off by MARGIN.
+QUERY_BLOCK, TOGETHER, MARGIN = 4096, 512, 1e-9
 
 
 class EmbeddingError(RuntimeError):
@@ -87,6 +89,84 @@ def cosine_topk(chunks: DataFrame, query: list[float], node_ids: DataFrame | Non
     return rows.where(F.size(vector) == len(query)).withColumn("similarity", near).where("similarity is not null").orderBy(F.desc("similarity"), key).limit(k)
 
 
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, summed in order, as _dot() does: equal rows have equal sums."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def _best(q: np.ndarray, keys: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties to the smaller key."""
+    order = np.lexsort((keys, -sims, q))
+    q, keys, sims = q[order], keys[order], sims[order]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], keys[first], sims[first]
+
+
+def _nearest(keys: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, key, similarity) of the k nearest rows of each query."""
+    norm_r, norm_q = np.sqrt(_dots(rows, rows)), np.sqrt(_dots(queries, queries))
+    good = (norm_r > 0) & (norm_r < np.inf)
+    keys, rows, norm_r = keys[good], rows[good], norm_r[good]
+    asked = np.flatnonzero((norm_q > 0) & (norm_q < np.inf))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    unit_r = rows / norm_r[:, None]
+    for s in range(0, len(asked) if len(rows) else 0, TOGETHER):
+        part = asked[s : s + TOGETHER]
+        near = (queries[part] / norm_q[part][:, None]) @ unit_r.T
+        least = np.partition(near, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(near), -2.0)
+        q, r = np.nonzero(near >= least[:, None] - MARGIN)
+        q = part[q]
+        sims = np.concatenate([_dots(rows[r[i : i + 65536]], queries[q[i : i + 65536]]) for i in range(0, len(r), 65536)]) / (norm_r[r] * norm_q[q])
+        out.append(_best(q, keys[r], sims, k))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def cosine_topk_many(chunks: DataFrame, queries: DataFrame, node_ids: DataFrame | None = None, k: int = TOP_K, key: str = "id", vector: str = "embedding", node: str = "nodeId", block: int = QUERY_BLOCK) -> DataFrame:
+    """cosine_topk() for every row (query_id, embedding) of queries: (query_id, key, similarity). Ids and keys are integers.
+    Exact: each block of queries meets all rows, a task sends k rows a query. Query ids are unique; queries that are null,
+    zero or not finite have no rows, as have rows of another length."""
+    spark = chunks.sparkSession
+    finite = lambda v: v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    rows = chunks.where(finite(F.col(vector)))
+    if node_ids is not None:
+        ids = node_ids.select(F.col("id").alias(node)).distinct()
+        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        rows = rows.join(F.broadcast(ids) if few else ids, node, "left_semi")
+    rows = rows.select(F.col(key).cast("long").alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("e"))
+    asked = queries.where(finite(F.col("embedding"))).select(F.col("query_id").cast("long").alias("q"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    blocks = max(1, -(-asked.count() // block))
+    out = None
+    for b in range(blocks):
+        groups: dict[int, tuple[list, list]] = {}
+        for r in asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect():
+            held = groups.setdefault(len(r["e"]), ([], []))
+            held[0].append(r["q"])
+            held[1].append(r["e"])
+        shared = spark.sparkContext.broadcast({n: (np.array(q, np.int64), np.array(e, np.float64)) for n, (q, e) in groups.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                keys, vectors = batch.column(0).to_numpy(), batch.column(1)
+                lengths = np.diff(vectors.offsets.to_numpy())
+                flat, begin = vectors.values.to_numpy(), vectors.offsets.to_numpy()[:-1]
+                for n, (_, asked_for) in shared.value.items():
+                    at = np.flatnonzero(lengths == n)
+                    if len(at):
+                        new = _nearest(keys[at], flat[begin[at][:, None] + np.arange(n)], asked_for, k)
+                        held[n] = _best(*(np.concatenate(x) for x in zip(held[n], new, strict=True)), k) if n in held else new
+            for n, (q, found, sims) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0][q]), pa.array(found), pa.array(sims)], names=["query_id", "key", "similarity"])
+
+        found = rows.mapInArrow(run, "query_id long, key long, similarity double")
+        out = found if out is None else out.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "key"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "similarity")
+
+
 def refine(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], question: str, node_ids: DataFrame, k: int = TOP_K) -> DataFrame:
     """The chunks of the given nodes nearest to a question; no ids give no rows without a call of the provider."""
     if not node_ids.limit(1).count():

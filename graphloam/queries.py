@@ -379,7 +379,9 @@ _NEAR = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[]
 
 
 def _probe(spark: SparkSession, sf_dir: str) -> list[float]:
-    return [float(x) for x in _read(spark, sf_dir, "embeddings").where("vec_id = 7").first()["embedding"]]
+    """The query vector; none, which no row is near to, if the table hasn't that row."""
+    row = _read(spark, sf_dir, "embeddings").where("vec_id = 7").first()
+    return [float(x) for x in row["embedding"] or []] if row else []
 
 
 @query(f"SELECT vec_id, round({_NEAR}, 6) AS similarity FROM embeddings ORDER BY {_NEAR} DESC, vec_id LIMIT 10")
@@ -395,6 +397,30 @@ def graph_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+_ALL_NEAR = """SELECT query_id, vec_id, round(s, 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS place FROM (
+    SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s
+    FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND {})) WHERE place <= 10"""
+
+
+def _all_near(spark: SparkSession, sf_dir: str, ids: DataFrame | None = None) -> DataFrame:
+    e = _read(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.cosine_topk_many(e, asked, ids, key="vec_id", node="vec_id").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_ALL_NEAR.format("true"))
+def cosine_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cosine_topk for all rows whose id 50 divides."""
+    return _all_near(spark, sf_dir)
+
+
+@query(_ALL_NEAR.format("e.vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
+def graph_filtered_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_filtered_topk for all rows whose id 50 divides."""
+    return _all_near(spark, sf_dir, _read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")))
+
+
 # -------------------------------------------------------------------------------------------------------- streams
 
 _ROUTE = """CASE WHEN event_type = 'view' THEN 'ping' WHEN event_type <> 'click' THEN 'not a push'
