@@ -327,6 +327,12 @@ def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", text.line_slice(F.col("text"), F.lit(2), F.lit(4)).alias("content"))
 
 
+@query("SELECT doc_id, unnest(range(len(ls)))::INTEGER + 1 AS position, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)")
+def chunk_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of each text, whole, with its position from 1."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "line")).withColumn("position", F.col("position") + 1)
+
+
 @query(
     r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1)) AS source, unnest(range(len(regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1)))) AS position FROM pages)
 SELECT page_id, position::INTEGER AS position, source, CASE WHEN left(source, 1) IN ('/', '.') THEN false ELSE true END AS is_external,

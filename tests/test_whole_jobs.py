@@ -48,3 +48,12 @@ def test_every_query_vector_is_searched(spark, tmp_path):
     asked = data.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     cut = vectors.cosine_topk_many(data, asked, key="vec_id", block=2).withColumn("similarity", F.round("similarity", 6))
     assert cut.sort("query_id", "similarity", "vec_id").collect() == one
+
+
+def test_all_lines_of_a_text(spark, texts):
+    sf_dir, want = texts
+    got: dict = {}
+    for r in core.QUERIES["chunk_all_lines"](spark, sf_dir).sort("doc_id", "position").collect():
+        got.setdefault(r["doc_id"], []).append(r["line"])
+        assert r["position"] == len(got[r["doc_id"]])
+    assert {i: "\n".join(lines) for i, lines in got.items()} == want
