@@ -4,7 +4,8 @@ The words of all licence templates and of the base phrases go into one suffix au
 through it, which gives the matching statistics: at each word, the longest run of words ending there that stands somewhere
 in a template. Runs that cannot be extended are chained, template by template, into spans: the next run of a chain lies
 further on in the document and in the template, with few words between. A template whose chain covers enough of it gives
-its label. Base phrases are counted at every place from the same stream, as suffixes of the current match.
+its label. Base phrases are counted at every place from the same stream, as suffixes of the current match; templates that are
+too short for a chain are found in the same way, as a whole.
 """
 
 from __future__ import annotations
@@ -114,15 +115,19 @@ class Scanner:
         self.number: dict[bytes, int] = {}
         number = lambda text: [self.number.setdefault(w, len(self.number)) for w in words_of(text.encode())]
         self.templates = [number(t) for _, t in templates]
-        self.automaton = Automaton(self.templates, [number(p) for p in base])
+        self.short = [k for k, t in enumerate(self.templates) if 0 < len(t) < long]
+        whole = [number(p) for p in base] + [self.templates[k] for k in self.short]
+        self.automaton = Automaton(self.templates, whole)
+        #: words of the shortest run that can hold anything
+        self.least = min([long, *(len(p) for p in whole if p)])
 
     def statistics(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """(place, phrase) of every base phrase, and (first word, end, state) of every match that cannot be extended."""
+        """(place, phrase) of every base phrase and, numbered after them, short template, and (first word, end, state) of every match that cannot be extended."""
         a, places, matches = self.automaton, [], []
         known = ids >= 0
         edge = np.flatnonzero(np.diff(np.concatenate(([0], known.view(np.int8), [0]))))
         begins, ends = edge[0::2], edge[1::2]
-        for s, e in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist(), strict=True):
+        for s, e in zip(begins[ends - begins >= self.least].tolist(), ends[ends - begins >= self.least].tolist(), strict=True):
             state = length = 0
             for i, w in enumerate(ids[s:e].tolist(), s):
                 if w not in a.next[state]:
@@ -167,8 +172,13 @@ class Scanner:
     def scan(self, text: bytes) -> tuple:
         words = words_of(text)
         ids = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words))
-        places, matches = self.statistics(ids) if len(ids) > 1 else ([], [])
+        places, matches = self.statistics(ids) if len(ids) >= self.least else ([], [])
         spans = [x for x in self.spans(matches) if x[3] >= self.cover] if matches else []
+        n = len(self.base_labels)
+        if self.short and any(p >= n for _, p in places):
+            short = [(k, i, i + len(self.templates[k]), 1.0) for i, p in places if p >= n for k in [self.short[p - n]]]
+            spans = sorted([*spans, *short], key=lambda x: (-x[3], x[0], x[1]))
+            places = [x for x in places if x[1] < n]
         base = {self.base_labels[p] for _, p in places}
         starts = [p for p, _ in places]
         labels = base | {self.labels[k] for k, *_ in spans}

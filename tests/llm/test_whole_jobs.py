@@ -1,0 +1,12 @@
+"""Operators do the whole job also with other parameters and tables than the registered ones."""
+
+from graphloam.llm import license_scan
+
+
+def test_phrases_and_templates_of_one_word():
+    scanner = license_scan.Scanner([("x", "XLIC"), ("two", "two words"), ("mit", "Released under the MIT License, XLIC")], {"gpl": "gpl-any"})
+    assert scanner.scan(b"GPL")[:6] == (1, 1, 0, 0, "gpl-any", "gpl-any")
+    assert scanner.scan(b"zz gpl zz gpl")[1:6] == (2, 1, 3, "gpl-any", "gpl-any")
+    assert scanner.scan(b"zz xlic zz")[1:] == (0, None, None, "", "x", 1.0, [{"label": "x", "first": 1, "end": 2, "cover": 1.0}])
+    assert scanner.scan(b"zz two words")[5] == "two" and scanner.scan(b"two zz words")[5] == ""
+    assert scanner.scan(b"released under the mit license xlic gpl")[5] == "gpl-any,mit,x"
