@@ -3,9 +3,9 @@
 An item is contained in a document when at least THRESHOLD of the item's distinct shingles of K words stand in it. A
 MinHash signature of a long document says little about a short item, so the sketch is one-sided: items are partitioned by
 size (powers of two), and an item of n shingles that needs m of them is sketched by its n - m + 1 smallest shingle hashes
-(its bottom MinHashes). A document that holds m shingles of the item holds one of these, so no contained item is lost. Of
-a document only hashes up to the largest bound of any size partition are looked up; that part of it is its own MinHash
-sketch. Candidates are verified with the words themselves.
+(its bottom MinHashes). A document that holds m shingles of the item holds one of these, so no contained item is lost. A
+document is looked up partition by partition, with its hashes up to the partition's bound; that part of it is its own
+MinHash sketch. Candidates are verified with the words themselves.
 
 The items are taken in blocks of bounded rows and bytes, each against all documents.
 """
@@ -36,8 +36,7 @@ class ItemIndex:
         self.ids = [i for i, _ in items]
         self.shingles: list[frozenset[bytes]] = []
         self.need: list[int] = []
-        sketch: dict[int, list[tuple[int, int]]] = {}
-        self.bounds: dict[tuple[int, int], int] = {}
+        sketch: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for number, (_, text) in enumerate(items):
             w = Words([text.translate(WORDS)])
             n = len(w.hash)
@@ -51,23 +50,24 @@ class ItemIndex:
             self.shingles.append(frozenset(of.values()))
             self.need.append(need)
             bottom = sorted(of)[: len(of) - need + 1]
-            sketch.setdefault(size, []).extend((h, number) for h in bottom)
-            part = size, len(of).bit_length()
-            self.bounds[part] = max(self.bounds.get(part, 0), bottom[-1])
-        #: by shingle size: the bound of the documents' sketch, sorted hashes, and the items of each
-        self.sketch = {}
-        for size, pairs in sketch.items():
+            sketch.setdefault((size, len(of).bit_length()), []).extend((h, number) for h in bottom)
+        #: by shingle size, for each size partition: the bound of the documents' sketch, sorted hashes, and the items of each
+        self.sketch: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for (size, _), pairs in sorted(sketch.items()):
             pairs.sort()
-            self.sketch[size] = max(b for (s, _), b in self.bounds.items() if s == size), np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)
+            self.sketch.setdefault(size, []).append((pairs[-1][0], np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs], np.int64)))
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(number of the text, number of the item, shingles that both have) of every contained item."""
         w = Words([t.translate(WORDS) for t in texts])
-        for size, (bound, keys, items) in self.sketch.items():
+        for size, parts in self.sketch.items():
             g = grams(w.hash, size)
-            at = np.flatnonzero((g <= np.uint64(bound)) & (w.doc[: len(g)] == w.doc[size - 1 :])) if len(g) else np.zeros(0, np.int64)
-            low, high = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
-            found = {(int(d), int(items[j])) for d, a, b in zip(w.doc[at][high > low], low[high > low], high[high > low], strict=True) for j in range(a, b)}
+            inside = w.doc[: len(g)] == w.doc[size - 1 :] if len(g) else np.zeros(0, bool)
+            found: set[tuple[int, int]] = set()
+            for bound, keys, items in parts:
+                at = np.flatnonzero((g <= np.uint64(bound)) & inside)
+                low, high = np.searchsorted(keys, g[at], "left"), np.searchsorted(keys, g[at], "right")
+                found |= {(int(d), int(items[j])) for d, a, b in zip(w.doc[at][high > low], low[high > low], high[high > low], strict=True) for j in range(a, b)}
             held: tuple[int, set[bytes]] = -1, set()
             for d, item in sorted(found):
                 if held[0] != d:

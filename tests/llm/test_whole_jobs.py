@@ -1,6 +1,8 @@
 """Operators do the whole job also with other parameters and tables than the registered ones."""
 
-from graphloam.llm import license_scan
+import numpy as np
+
+from graphloam.llm import decontaminate, license_scan
 
 
 def test_phrases_and_templates_of_one_word():
@@ -10,3 +12,14 @@ def test_phrases_and_templates_of_one_word():
     assert scanner.scan(b"zz xlic zz")[1:] == (0, None, None, "", "x", 1.0, [{"label": "x", "first": 1, "end": 2, "cover": 1.0}])
     assert scanner.scan(b"zz two words")[5] == "two" and scanner.scan(b"two zz words")[5] == ""
     assert scanner.scan(b"released under the mit license xlic gpl")[5] == "gpl-any,mit,x"
+
+
+def test_items_lie_in_partitions_of_their_size():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, n)).encode() for n in (2, 5, 6, 9, 30, 31, 200, 900)]
+    index = decontaminate.ItemIndex(list(enumerate(texts)))
+    parts = {size: [sorted(set(p[2].tolist())) for p in held] for size, held in index.sketch.items()}
+    assert parts == {2: [[0]], 5: [[1], [2], [3], [4, 5], [6], [7]]}
+    assert all(bound == keys[-1] for held in index.sketch.values() for bound, keys, _ in held)
+    got = {(d, i) for d, i, _ in index.search([b"a b " + t + b" c" for t in texts])}
+    assert got == {(i, i) for i in range(len(texts))}
