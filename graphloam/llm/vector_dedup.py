@@ -3,8 +3,8 @@
 Vectors of one label (and one length) are dealt to shards of bounded size. Each shard gets a graph of several levels; every
 shard's vectors are searched in every shard of their label, both ways. A search is a beam search from the top level down;
 all queries advance together in numpy. Whoever's beam is full of hits gets a beam twice as wide, until it is not, or the
-beam holds the shard. Then an audit compares AUDIT queries with brute force and doubles all beams until their recall is
-TARGET at least. Hits are verified by cosine in double precision. A task counts the links of each vector and sends a spanning
+beam holds the shard. Then an audit compares AUDIT queries, and more until they have LINKS true links or all have been taken,
+with brute force and doubles all beams until their recall is TARGET at least. Links that the audit saw are kept. Hits are verified by cosine in double precision. A task counts the links of each vector and sends a spanning
 forest of them; components of all forests are joined. Equal vectors are searched once and counted with their multiplicity.
 """
 
@@ -23,8 +23,8 @@ from graphloam.llm.components import components
 COSINE = 0.98
 #: Vectors of a shard in expectation; neighbours of a node; first width of a beam; nodes of a beam expanded at once.
 SHARD, NEIGHBOURS, BEAM, AT_ONCE = 8192, 12, 24, 4
-#: Queries of an audit and the recall that they must reach.
-AUDIT, TARGET = 64, 0.999
+#: Queries of an audit at least, the true links that it wants to see, and the recall that they must reach.
+AUDIT, LINKS, TARGET = 64, 1000, 0.999
 #: Queries that advance together; float32 similarities may be off by MARGIN.
 TOGETHER, MARGIN = 512, 1e-4
 
@@ -166,6 +166,24 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
+def true_links(x: np.ndarray, y: np.ndarray, own: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(rows of x, rows of y) that link, by brute force, and whether all rows of x have been taken: AUDIT evenly spaced rows,
+    then others until there are LINKS links. own: y is x, and no row links with itself."""
+    first = np.unique(np.linspace(0, len(x) - 1, AUDIT).astype(int))
+    order = np.concatenate([first, np.random.default_rng(0).permutation(np.setdiff1d(np.arange(len(x)), first))])
+    u, v, n, at, step = [], [], 0, 0, len(first)
+    while at < len(x) and n < LINKS:
+        part = order[at : at + step]
+        a, b = np.nonzero(x[part] @ y.T >= cosine - MARGIN)
+        a = part[a]
+        ok = np.concatenate([np.einsum("ij,ij->i", x[a[s : s + (1 << 16)]], y[b[s : s + (1 << 16)]]) >= cosine for s in range(0, len(a), 1 << 16)] or [np.zeros(0, bool)])
+        ok &= (a != b) | (not own)
+        u.append(a[ok])
+        v.append(b[ok])
+        n, at, step = n + int(ok.sum()), at + len(part), TOGETHER
+    return np.concatenate(u), np.concatenate(v), at >= len(x)
+
+
 def found_links(a: np.ndarray, ids_a: np.ndarray, b: np.ndarray | None, ids_b: np.ndarray | None, cosine: float = COSINE) -> np.ndarray:
     """Which rows of a link with which rows of b, or with other rows of a if b is None."""
     x, y = unit(a), unit(a if b is None else b)
@@ -173,23 +191,24 @@ def found_links(a: np.ndarray, ids_a: np.ndarray, b: np.ndarray | None, ids_b: n
     ways = [(Graph(y32, ids_a if b is None else ids_b), x32, False)]
     if b is not None:
         ways.append((Graph(x32, ids_a), y32, True))
-    audit = np.unique(np.linspace(0, len(x) - 1, AUDIT).astype(int))
-    truth = x[audit] @ y.T >= cosine
+    u, v, whole = true_links(x, y, b is None, cosine)
     out, width = np.zeros((len(x), len(y)), bool), BEAM
     while True:
         for graph, queries, turned in ways:
             for q, node in graph.hits(queries, cosine - MARGIN, width):
                 i, j = (node, q) if turned else (q, node)
                 for s in range(0, len(i), 1 << 16):
-                    u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                    ok = np.einsum("ij,ij->i", x[u], y[v]) >= cosine
-                    out[u[ok], v[ok]] = True
+                    r, c = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                    ok = np.einsum("ij,ij->i", x[r], y[c]) >= cosine
+                    out[r[ok], c[ok]] = True
         if b is None:
             out |= out.T
-        if (out[audit] & truth).sum() >= TARGET * truth.sum() or width >= max(len(x), len(y)):
+        if whole or out[u, v].sum() >= TARGET * len(u) or width >= max(len(x), len(y)):
             break
         width *= 2
+    out[u, v] = True
     if b is None:
+        out[v, u] = True
         np.fill_diagonal(out, False)
     return out
 

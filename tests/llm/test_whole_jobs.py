@@ -2,7 +2,27 @@
 
 import numpy as np
 
-from graphloam.llm import decontaminate, license_scan
+from graphloam.llm import decontaminate, license_scan, vector_dedup
+
+
+def test_audit_sees_isolated_pairs(monkeypatch):
+    """Searches that find nothing with narrow beams are noticed, although no evenly spaced row has a link."""
+    hits = vector_dedup.Graph.hits
+    monkeypatch.setattr(vector_dedup.Graph, "hits", lambda self, queries, least, width: hits(self, queries, least, width) if width > 100 else [])
+    rng = np.random.default_rng(11)
+    n = 1500
+    free = np.setdiff1d(np.arange(n), np.linspace(0, n - 1, vector_dedup.AUDIT).astype(int))
+    shards = [rng.normal(size=(n, 64)) for _ in range(3)]
+    for a, b in ((0, 1), (1, 2), (0, 2)):
+        shards[b][rng.choice(free, 60, replace=False)] = shards[a][rng.choice(free, 60, replace=False)] + rng.normal(size=(60, 64)) * 0.1
+    shards[0][free[1000:1060]] = shards[0][free[:60]] + rng.normal(size=(60, 64)) * 0.1
+    for i in range(3):
+        for j in range(i, 3):
+            x, y, ids = vector_dedup.unit(shards[i]), vector_dedup.unit(shards[j]), np.arange(n)
+            true = x @ y.T >= 0.98
+            if i == j:
+                np.fill_diagonal(true, False)
+            assert (vector_dedup.found_links(shards[i], ids, *((None, None) if i == j else (shards[j], n + ids))) == true).all()
 
 
 def test_phrases_and_templates_of_one_word():
