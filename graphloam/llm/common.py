@@ -9,6 +9,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,10 +87,6 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: A-Z in lower case, all other bytes as they are.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PINV = np.uint64(pow(int(_P), -1, 1 << 64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit integers."""
     x = x ^ (x >> np.uint64(33))
@@ -99,17 +96,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _powers or len(_powers["p"]) < n + 1:
-        size = max(n + 1, PASS_BYTES + 4096)
-        for key, base in (("p", _P), ("i", _PINV)):
-            full = np.full(size, base, np.uint64)
-            full[0] = 1
-            _powers[key] = np.cumprod(full, dtype=np.uint64)
-    return _powers["p"], _powers["i"]
+#: Seeds of the two independent word hashes; bytes that are hashed in lanes of eight; longer words are hashed one by one.
+SEEDS, LANES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)), 64
+_LANE_MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def hash_words(data: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A keyed hash of 64 bits for each data[start:end]. Every lane goes through a multiplication and a shift before the next
+    one is taken in, so no algebra of the text (as of a polynomial's) makes different words agree."""
+    size, key = end - start, SEEDS[seed]
+    out = (size.astype(np.uint64) + np.uint64(1)) * key
+    lanes = np.ndarray((len(data) + 1,), np.uint64, data + bytes(8), strides=(1,))
+    short = np.flatnonzero(size <= LANES)
+    at, left = start[short], size[short]
+    while len(short):
+        h = (out[short] ^ (lanes[at] & _LANE_MASK[np.minimum(left, 8)])) * np.uint64(0xFF51AFD7ED558CCD) + key
+        out[short] = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        more = left > 8
+        short, at, left = short[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=key.tobytes()).digest(), "little")
+    return mix(out)
 
 
 class Words:
@@ -121,27 +128,19 @@ class Words:
 
     def __init__(self, texts: list[bytes], separators: np.ndarray = SPACES) -> None:
         self.data = b" ".join(texts) + b" "
-        raw = np.frombuffer(self.data, np.uint8)
         ends_of = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-        apart = separators[raw]
+        apart = separators[np.frombuffer(self.data, np.uint8)]
         apart[ends_of - 1] = True
         edge = np.flatnonzero(np.diff(np.concatenate(([True], apart)).view(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
-        self.hash = np.zeros(len(self.start), np.uint64)
-        at = 0
-        while at < len(self.start):  # some PASS_BYTES at a time, so that a long text needs no long arrays of integers
-            base = int(self.start[at])
-            to = max(at + 1, int(np.searchsorted(self.end, base + PASS_BYTES, side="right")))
-            s, e = self.start[at:to] - base, self.end[at:to] - base
-            n = int(e[-1])
-            p, inv = _power(n)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((raw[base : base + n].astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
-            self.hash[at:to] = mix((total[e] - total[s]) * inv[s] + (e - s).astype(np.uint64))
-            at = to
+        self.hash = hash_words(self.data, self.start, self.end)
         self.doc = np.searchsorted(ends_of, self.start, side="right")
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
+    def second(self) -> np.ndarray:
+        """Hashes of the words that are independent of the first ones; both together are 128 bits."""
+        return hash_words(self.data, self.start, self.end, 1)
+
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]
 

@@ -21,6 +21,10 @@ from graphloam.llm.common import mix, partitions
 PACKED = "bucket int, kind int, blob binary"
 #: Entries that a task gathers before it sends them.
 HELD = 1 << 21
+#: Bytes of text that a bucket stands for; its arrays take about as much.
+BUCKET_BYTES = 64 << 20
+#: Low bits of a counted hash, which hold the binary logarithm of a count.
+_COUNT = np.uint64(15)
 
 
 def prime_from(n: int) -> int:
@@ -30,9 +34,15 @@ def prime_from(n: int) -> int:
     return n
 
 
-def buckets_for(spark: SparkSession) -> int:
-    """Buckets of a packed exchange: a prime, several for each shuffle partition, so that one holds a bounded share."""
-    return prime_from(max(509, 4 * partitions(spark)))
+def text_bytes(rows: DataFrame, text: str) -> int:
+    """The bytes of a text column."""
+    return rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
+
+
+def buckets_for(spark: SparkSession, size: int) -> int:
+    """Buckets of a packed exchange for texts of `size` bytes: a prime, several for each shuffle partition, and so many that a
+    bucket stands for BUCKET_BYTES of text at most."""
+    return prime_from(max(509, 4 * partitions(spark), -(-size // BUCKET_BYTES)))
 
 
 def pack(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
@@ -69,10 +79,10 @@ def distinct(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 class Answers:
     """Gathers (hash, key) pairs; sends an entry for each hash with its smallest key (kind 0), and tickets of the pairs whose
-    hash has another key here as well (kind 1)."""
+    hash has another key here as well (kind 1). counted: the hashes' low four bits are free, and take the number of keys."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.n = buckets, 0
+    def __init__(self, buckets: int, counted: bool = False) -> None:
+        self.buckets, self.counted, self.n = buckets, counted, 0
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, hashes: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -88,7 +98,11 @@ class Answers:
         self.held, self.n = [], 0
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
-        yield pack((h[first] % np.uint64(self.buckets)).astype(np.int64), 0, h[first], d[first])
+        at = np.flatnonzero(first)
+        sent = h[at]
+        if self.counted:
+            sent = sent | np.minimum(15, np.log2(np.diff(np.concatenate((at, [len(h)]))))).astype(np.uint64)
+        yield pack((h[at] % np.uint64(self.buckets)).astype(np.int64), 0, sent, d[at])
         known = ~first
         known[:-1] |= first[:-1] & ~first[1:]  # the first of several is told as well
         if known.any():
@@ -109,32 +123,42 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
         yield now, zero, one
 
 
-def settle(entries: DataFrame, buckets: int, later_only: bool, forward: int = 0) -> DataFrame:
-    """The blocks: which entries others have too (or, later_only, a smaller key has). Rows (bucket of the key, 0, tickets);
-    what the tasks have answered themselves goes on as kind `forward`."""
-    spark = entries.sparkSession
-
+def settle(entries: DataFrame, buckets: int, hot: int = 0) -> DataFrame:
+    """The blocks: which entries other keys have too. Rows (bucket of the key, 0, tickets); what the tasks have answered
+    themselves goes on. hot: the entries are counted, and every bucket is told (kind 1) the hashes that more than so many keys
+    have; with 2 * buckets that is never more than a few bytes for each entry."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = []
         for bucket, zero, one in by_bucket(batches):
             for blob in one:
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([forward], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
             if zero:
                 h, d = unpack(zero, 2)
+                if hot:
+                    u, at = np.unique(h & ~_COUNT, return_inverse=True)
+                    n = np.bincount(at, np.left_shift(1, (h & _COUNT).astype(np.int64)), len(u))
+                    if (n > hot).any():
+                        frequent.append(u[n > hot])
+                    h = h & ~_COUNT
                 h, d = distinct(h, d.view(np.int64))
                 first = np.ones(len(h), bool)
                 first[1:] = h[1:] != h[:-1]
                 told = ~first
-                if not later_only:
-                    told[:-1] |= first[:-1] & ~first[1:]
+                told[:-1] |= first[:-1] & ~first[1:]
                 if told.any():
                     yield pack(np.mod(d[told], buckets), 0, ticket(h[told], d[told]))
+        if frequent:
+            blob = np.concatenate(frequent).tobytes()
+            for begin in range(0, buckets, 512):
+                to = np.arange(begin, min(begin + 512, buckets), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.ones(len(to), np.int32)), pa.array([blob] * len(to), pa.binary())], names=["bucket", "kind", "blob"])
 
-    return entries.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKED)
+    return entries.repartition(partitions(entries.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKED)
 
 
 def meet(rows: DataFrame, tickets: DataFrame, schema: T.StructType, visit, finish) -> DataFrame:
     """Brings rows (bucket, row) and the answers for their bucket together; visit(sorted tickets, record batch of rows, state)
-    and finally finish(state) give record batches of the schema. state["runs"] has the bucket's blobs of kind 1."""
+    and finally finish(state) give record batches of the schema. state["runs"] has the bucket's blobs of kind 1; state["sorted"] is None when a bucket begins."""
     row_schema = rows.schema["row"].dataType
     both = rows.select("bucket", F.lit(2).alias("kind"), F.lit(None).cast("binary").alias("blob"), "row").unionByName(tickets.select("bucket", "kind", "blob", F.lit(None).cast(row_schema).alias("row")))
 

@@ -1,19 +1,22 @@
-"""Substring dedup by relative Lempel-Ziv factors.
-
-Every window of WINDOW words that an earlier document also has lies in a factor: a longest run of words that is copied from
-reference text. The reference is cut into blocks by content and indexed there; a document is factored against all blocks:
-
-1. A window's anchor is the smallest hash of its K-word grams. Equal windows have equal anchors, so a window that occurs
-   twice has an anchor that occurs in two documents. Anchors (about a fifth of the words) are indexed in blocks by hash;
-   each block tells the documents which of their anchors others have too.
-2. Only windows with such an anchor are indexed, again in blocks by hash, with the smallest key that has the window.
-3. A document's windows that have a smaller key in their block are matches; overlapping and adjacent matches merge into
-   factors. A factor may join windows copied from different documents, and a window across the boundary of two copies is
-   judged on its own, so a factor covers exactly the words that the windows cover.
-
-The answers travel as packed arrays. A task sends one entry for an anchor or window however many of its documents have it,
-and answers those itself, runs of windows as ranges; a block so holds an entry for each task at most, also for a passage that a third of all documents
-share. Anchors and windows are 64-bit hashes: two different windows agree with a probability of 5e-20.
+"""Substring dedup by relative Lempel-Ziv parsing.
+
+A document is factored greedily against what earlier documents (smaller keys) hold: from a word on, the longest run of words
+that stands in a reference block is a factor; with none of WINDOW words, the word is a literal. Factors of WINDOW words or more
+are duplicate spans, and so are the windows across a factor's boundary that a reference block has too: a window lies in a
+factor, starts at a literal (where the parse has looked it up) or crosses a boundary (where it is looked up), so the spans
+cover exactly the words that the repeated windows cover.
+
+Reference blocks are cut by content, so that a document meets only the blocks that can hold a window of it:
+
+1. A window's anchor is the smallest hash of its K-word grams; equal windows have equal anchors. Blocks of anchors tell the
+   documents which of their anchors others have too.
+2. Consecutive windows with one such anchor are a segment. Its words go to the reference block of the anchor.
+3. A block numbers its words and sorts all suffixes of its segments (ranks by prefix doubling, then word by word as long as a
+   match goes on). A segment's parse takes the longest match among smaller keys; words are compared, not hashes.
+
+An anchor that very many documents have (a passage in a third of them, with each document's own words around it) would make one
+block; the windows of such an anchor are segments of their own, dealt to the blocks by their whole content. A task sends one
+segment for equal ones, that with the smallest key, and answers the others itself.
 """
 
 from __future__ import annotations
@@ -23,15 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from graphloam.llm.common import Words, documents, grams, lots, mix, small_batches, squeeze, unsqueezed, utf8
-from graphloam.llm.packed import HELD, PACKED, Answers, buckets_for, keys_of, meet, member, pack, settle, ticket, unpack
+from graphloam.llm.common import Words, documents, grams, lots, mix, partitions, small_batches, squeeze, unsqueezed, utf8
+from graphloam.llm.packed import PACKED, Answers, buckets_for, by_bucket, keys_of, meet, member, pack, settle, text_bytes, ticket, unpack
 
 WINDOW, K = 13, 5
+#: Windows of a segment at most; a longer run is cut into several, which loses none.
+MOST = 32
+#: Bytes of segments that a task gathers before it sends them.
+HELD_BYTES = 24 << 20
+_LOW = np.uint64(15)
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -45,11 +54,11 @@ def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """The windows of several documents: where each starts, its document's number and its anchor."""
+    """The windows of several documents: where each starts, its document's number and its anchor (low four bits free)."""
 
     def __init__(self, texts: list[bytes], window: int, k: int) -> None:
         self.words, self.window = Words(texts), window
-        anchor = sliding_min(grams(self.words.hash, k), window - k + 1)
+        anchor = sliding_min(grams(self.words.hash, k), window - k + 1) & ~_LOW
         doc = self.words.doc
         self.at = np.flatnonzero(doc[: len(anchor)] == doc[window - 1 :]) if len(anchor) else np.zeros(0, np.int64)
         self.anchor, self.doc = anchor[self.at], doc[self.at]
@@ -62,41 +71,147 @@ class Windows:
             out ^= out >> np.uint64(32)
         return mix(out)
 
+    def segments(self, which: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the given windows, by segment: what deals it to a block, its document, its first word and the end of its last."""
+        at, doc, anchor = self.at[which], self.doc[which], self.anchor[which]
+        alone = member(anchor, hot)
+        new = np.ones(len(which), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1]) | (at[1:] - at[:-1] != 1) | alone[1:]
+        begin = np.flatnonzero(new)
+        new |= (np.arange(len(which)) - begin[np.cumsum(new) - 1]) % MOST == 0
+        begin = np.flatnonzero(new)
+        last = np.concatenate((begin[1:], [len(which)])) - 1
+        route = np.where(alone[begin], self.hashes(which[begin]) | np.uint64(1), anchor[begin])
+        return route, doc[begin], at[begin], at[last] + self.window
+
 
-class Runs:
-    """Gathers windows with their documents; sends an entry for each window with its smallest key, and for windows that have a
-    smaller key here the runs of consecutive ones: (document's mark, first window, end), kind 1."""
+class Segments:
+    """Gathers segments. Sends those with the smallest key among equal ones (kind 0) as blobs of (route, key, mark, place) and
+    the words; the others are repeats: their spans go straight on (kind 1) as (key, mark, first word, end)."""
 
     def __init__(self, buckets: int) -> None:
-        self.buckets, self.n = buckets, 0
+        self.buckets, self.size = buckets, 0
         self.held: list[tuple[np.ndarray, ...]] = []
+        self.words: list[bytes] = []
 
-    def add(self, hashes: np.ndarray, keys: np.ndarray, marks: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.held.append((hashes, keys, marks, at))
-        self.n += len(hashes)
-        if self.n > HELD:
+    def add(self, route: np.ndarray, keys: np.ndarray, marks: np.ndarray, first: np.ndarray, n: np.ndarray, words: list[bytes]) -> Iterator[pa.RecordBatch]:
+        self.held.append((route, keys, marks, first, n))
+        self.words += words
+        self.size += sum(map(len, words)) + 40 * len(words)
+        if self.size > HELD_BYTES:
             yield from self.send()
 
     def send(self) -> Iterator[pa.RecordBatch]:
-        if not self.n:
+        if not self.words:
             return
-        h, d, mark, at = (np.concatenate([x[i] for x in self.held]) for i in range(4))
-        self.held, self.n = [], 0
-        order = np.lexsort((d, h))
-        new = np.ones(len(h), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        first = order[new]
-        yield pack((h[first] % np.uint64(self.buckets)).astype(np.int64), 0, h[first], d[first])
-        known = np.zeros(len(h), bool)
-        known[order] = d[order] > d[first][np.cumsum(new) - 1]
-        if known.any():
-            d, mark, at = d[known], mark[known], at[known]
-            order = np.lexsort((at, mark))
-            d, mark, at = d[order], mark[order], at[order]
-            begin = np.ones(len(at), bool)
-            begin[1:] = (mark[1:] != mark[:-1]) | (at[1:] - at[:-1] > 1)
-            end = np.concatenate((np.flatnonzero(begin)[1:], [len(at)])) - 1
-            yield pack(np.mod(d[begin], self.buckets), 1, mark[begin], at[begin], at[end] + 1)
+        route, keys, marks, first, n = (np.concatenate([x[i] for x in self.held]) for i in range(5))
+        words, self.held, self.words, self.size = self.words, [], [], 0
+        least: dict[bytes, int] = {}
+        for w, k in zip(words, keys.tolist(), strict=True):
+            if k < least.get(w, k + 1):
+                least[w] = k
+        sent = np.fromiter(map(least.__getitem__, words), np.int64, len(words)) == keys
+        rest = ~sent
+        if rest.any():
+            yield _spans(self.buckets, keys[rest], marks[rest], first[rest], first[rest] + n[rest])
+        rows = np.flatnonzero(sent)
+        bucket = (route[rows] % np.uint64(self.buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows, bucket = rows[order], bucket[order]
+        cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(rows)]
+        z, blobs = zstandard.ZstdCompressor(level=1), []
+        for s, e in zip(cut, cut[1:], strict=False):
+            r = rows[s:e]
+            numbers = np.concatenate([route[r].view(np.int64), keys[r], marks[r].view(np.int64), first[r], n[r]])
+            blobs.append(z.compress(len(r).to_bytes(8, "little") + numbers.tobytes() + b"\n".join([words[i] for i in r.tolist()])))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.zeros(len(blobs), np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "kind", "blob"])
+
+
+def _spans(buckets: int, keys: np.ndarray, marks: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Spans for the documents' buckets, those of one document merged where they touch."""
+    order = np.lexsort((first, marks, keys))
+    keys, marks, first, end = keys[order], marks[order], first[order], end[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
+    group = np.cumsum(new) - 1
+    reach = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)  # the farthest end so far, document by document
+    new[1:] |= first[1:] > reach[:-1]
+    begin = np.flatnonzero(new)
+    last = np.concatenate((begin[1:], [len(keys)])) - 1
+    return pack(np.mod(keys[begin], buckets), 1, keys[begin], marks[begin], first[begin], reach[last])
+
+
+class Block:
+    """A reference block: segments with their keys and words, and the order of all their suffixes."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, words: list[bytes], window: int = WINDOW) -> None:
+        numbers: dict[bytes, int] = {}
+        self.ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        self.keys, self.n, self.window = keys, n, window
+        self.segment = np.repeat(np.arange(len(n)), n)
+        self.begin = np.cumsum(n) - n
+        self.stop = np.repeat(self.begin + n, n)  # where the segment of each word ends
+
+    def longest(self) -> np.ndarray:
+        """For each word, the length of the longest run from there on that a smaller key has too; 0 below a window."""
+        out, have, rank = np.zeros(len(self.ids), np.int64), 1, self.ids
+        while have < self.window and len(rank):
+            step = min(have, self.window - have)
+            rank = np.unique(rank[:-step] * (rank.max() + 1) + rank[step:], return_inverse=True)[1] if len(rank) > step else rank[:0]
+            have += step
+        at = np.flatnonzero(self.stop[: len(rank)] - np.arange(len(rank)) >= self.window)
+        rank, length = rank[at], self.window
+        while len(at):
+            key = self.keys[self.segment[at]]
+            order = np.lexsort((key, rank))
+            new = np.ones(len(order), bool)
+            new[1:] = rank[order][1:] != rank[order][:-1]
+            group = np.cumsum(new) - 1
+            repeat = np.empty(len(at), bool)
+            repeat[order] = key[order] > key[order][new][group]
+            out[at[repeat]] = length
+            # suffixes with the same first words as one that goes on, and a word more
+            goes_on = np.zeros(group[-1] + 1, bool)
+            goes_on[group[repeat[order]]] = True
+            kept = order[goes_on[group]]
+            kept = kept[self.stop[at[kept]] - at[kept] > length]
+            at, rank = at[kept], np.unique(rank[kept] * (self.ids.max() + 1) + self.ids[at[kept] + length], return_inverse=True)[1]
+            length += 1
+        return out
+
+    def parse(self) -> tuple[np.ndarray, np.ndarray]:
+        """All segments' greedy factors of a window or more: (first word, end), by place in the block."""
+        longest, at, starts = self.longest(), self.begin.copy(), []
+        live = np.flatnonzero(self.n >= self.window)
+        while len(live):
+            size = longest[at[live]]
+            starts.append(at[live[size > 0]])
+            at[live] += np.maximum(size, 1)
+            live = live[self.begin[live] + self.n[live] - at[live] >= self.window]
+        first = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+        self._longest = longest
+        return first, first + longest[first]
+
+    def repeats(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(segment, first word in it, end) of all duplicate words: factors, and repeated windows across their boundaries."""
+        first, end = self.parse()
+        starts, ends = [first], [end]
+        for back in range(1, self.window):
+            at = end - back
+            at = at[at > first]
+            at = at[self._longest[at] > 0]
+            starts.append(at)
+            ends.append(at + self.window)
+        edge = np.zeros(len(self.ids) + 1, np.int64)
+        np.add.at(edge, np.concatenate(starts), 1)
+        np.add.at(edge, np.concatenate(ends), -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        new = np.zeros(len(gone) + 1, bool)
+        new[self.begin] = True
+        change = np.flatnonzero((gone != np.concatenate(([False], gone[:-1]))) | new[:-1])
+        change = change[gone[change]]
+        stop = np.flatnonzero(gone & ~(np.concatenate((gone[1:], [False])) & ~new[1:])) + 1
+        return self.segment[change], change - self.begin[self.segment[change]], stop - self.begin[self.segment[change]]
 
 
 def marks_of(texts: list[bytes], keys: np.ndarray) -> np.ndarray:
@@ -109,15 +224,19 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     words, joined by one space).
 
     key: an integer column. Rows that repeat a key count as one document: they don't remove each other's words. Rows with a
-    null key have and are no reference. Null and empty texts, and those of fewer words than a window, lose nothing.
+    null key have and are no reference. Null and empty texts, and those of fewer words than a window, lose nothing. A long text
+    is hashed and cut whole, a megabyte of it or one row at a time. Ties (a window that several earlier documents have) don't
+    matter. An empty table gives no rows. Columns of docs that have one of the four new names are replaced; other clashes with
+    names that are used on the way do no harm.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = buckets_for(spark)
+    docs = docs.drop("__n_words", "__n_removed", "__spans", "__kept")
     has_key = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    buckets = buckets_for(spark, text_bytes(docs, text))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Answers(buckets)
+        out = Answers(buckets, counted=True)
         for batch in batches:
             keys = keys_of(batch.column(0))
             for begin, texts in lots(utf8(batch.column(1))):
@@ -127,59 +246,77 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 yield from out.add(w.anchor[new], keys[begin + w.doc[new]])
         yield from out.send()
 
-    shared_anchors = settle(has_key.mapInArrow(anchors, PACKED), buckets, later_only=False)
+    shared_anchors = settle(has_key.mapInArrow(anchors, PACKED), buckets, hot=2 * buckets)
 
     def candidates(known: np.ndarray, batch: pa.RecordBatch, state: dict) -> Iterator[pa.RecordBatch]:
-        out = state.setdefault("out", Runs(buckets))
-        if len(known):
-            keys = keys_of(batch.column(0))
-            for begin, texts in lots(unsqueezed(batch.column(1))):
-                w = Windows(texts, window, k)
-                own = keys[begin : begin + len(texts)]
-                which = np.flatnonzero(member(ticket(w.anchor, own[w.doc]), known))
-                doc = w.doc[which]
-                if len(which):
-                    yield from out.add(w.hashes(which), own[doc], marks_of(texts, own)[doc], w.at[which] - w.words.first[doc])
+        out = state.setdefault("out", Segments(buckets))
+        if not len(known):
+            return
+        if state["sorted"] is None:
+            state["sorted"] = np.unique(unpack(state["runs"], 1)[0])
+        keys = keys_of(batch.column(0))
+        for begin, texts in lots(unsqueezed(batch.column(1))):
+            w = Windows(texts, window, k)
+            own = keys[begin : begin + len(texts)]
+            which = np.flatnonzero(member(ticket(w.anchor, own[w.doc]), known))
+            if len(which):
+                route, doc, first, end = w.segments(which, state["sorted"])
+                data = w.words.data
+                words = [data[s:e] for s, e in zip(w.words.start[first].tolist(), w.words.end[end - 1].tolist(), strict=True)]
+                yield from out.add(route, own[doc], marks_of(texts, own)[doc], first - w.words.first[doc], end - first, words)
 
     bucket_of = F.pmod(F.col("k"), F.lit(buckets)).cast("int")
     texts = squeeze(has_key, "t").select(bucket_of.alias("bucket"), F.struct("k", "t").alias("row"))
-    packed = T._parse_datatype_string(PACKED)
-    windows = meet(texts, shared_anchors, packed, candidates, lambda state: state["out"].send() if "out" in state else ())
-    repeated = settle(windows, buckets, later_only=True, forward=1)
+    segments = meet(texts, shared_anchors, T._parse_datatype_string(PACKED), candidates, lambda state: state["out"].send() if "out" in state else ())
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for bucket, zero, one in by_bucket(batches):
+            for blob in one:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "kind", "blob"])
+            if not zero:
+                continue
+            columns, words = [], []
+            for blob in zero:
+                raw = z.decompress(blob)
+                n = int.from_bytes(raw[:8], "little")
+                columns.append(np.frombuffer(raw, np.int64, 5 * n, 8).reshape(5, n))
+                words += raw[8 + 40 * n :].split()
+            _, keys, marks, first, n = np.concatenate(columns, axis=1)
+            segment, begin, end = Block(keys, n, words, window).repeats()
+            if len(segment):
+                yield _spans(buckets, keys[segment], marks[segment], first[segment] + begin, first[segment] + end)
+
+    spans_of = segments.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(factor, PACKED)
 
     spans = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__n_removed", T.LongType()), T.StructField("__spans", spans), T.StructField("__kept", T.StringType())])
     arrow = to_arrow_schema(schema)
     key_at, text_at = docs.columns.index(key), docs.columns.index(text)
 
-    def cut(known: np.ndarray, batch: pa.RecordBatch, state: dict) -> Iterator[pa.RecordBatch]:
+    def cut(_: np.ndarray, batch: pa.RecordBatch, state: dict) -> Iterator[pa.RecordBatch]:
         if state["sorted"] is None:
-            marks, starts, ends = unpack(state["runs"], 3)
-            order = np.argsort(marks, kind="stable")
-            state["sorted"] = marks[order], starts[order].astype(np.int64), ends[order].astype(np.int64)
-        marks, starts, ends = state["sorted"]
-        null, keys = batch.column(key_at).is_null().to_numpy(zero_copy_only=False), batch.column(key_at).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            found = unpack(state["runs"], 4)
+            order = np.argsort(found[1], kind="stable")
+            state["sorted"] = [x[order].view(np.int64) if i != 1 else x[order] for i, x in enumerate(found)]
+        of, marks, starts, ends = state["sorted"]
+        keys = batch.column(key_at).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
         n_words, n_removed, removed, kept = [], [], [], []
         bodies = unsqueezed(batch.column(text_at))
         for begin, part in lots([b or b"" for b in bodies]):
-            w = Windows(part, window, k)
-            hit = np.zeros(len(w.at), bool)
-            if len(known):
-                own = keys[begin + w.doc]
-                hit = member(ticket(w.hashes(np.arange(len(w.at))), own), known) & ~null[begin + w.doc]
-            edge = np.zeros(len(w.words.hash) + 1, np.int64)
-            np.add.at(edge, w.at[hit], 1)
-            np.add.at(edge, w.at[hit] + window, -1)
+            w = Words(part)
+            edge = np.zeros(len(w.hash) + 1, np.int64)
             if len(marks):
-                own = marks_of(part, keys[begin : begin + len(part)])
+                own_keys = keys[begin : begin + len(part)]
+                own = marks_of(part, own_keys)
                 low, high = np.searchsorted(marks, own, "left"), np.searchsorted(marks, own, "right")
-                for d in np.flatnonzero((high > low) & ~null[begin : begin + len(part)]).tolist():
-                    at = w.words.first[d]
-                    np.add.at(edge, at + starts[low[d] : high[d]], 1)
-                    np.add.at(edge, at + ends[low[d] : high[d]] - 1 + window, -1)
+                for d in np.flatnonzero(high > low).tolist():
+                    mine = np.arange(low[d], high[d])[of[low[d] : high[d]] == own_keys[d]]
+                    np.add.at(edge, w.first[d] + starts[mine], 1)
+                    np.add.at(edge, w.first[d] + ends[mine], -1)
             gone = np.cumsum(edge)[:-1] > 0
             for d in range(len(part)):
-                s, e = int(w.words.first[d]), int(w.words.first[d + 1])
+                s, e = int(w.first[d]), int(w.first[d + 1])
                 own_gone = gone[s:e]
                 n_words.append(e - s)
                 n_removed.append(int(own_gone.sum()))
@@ -189,15 +326,21 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                     continue
                 change = np.flatnonzero(np.diff(np.concatenate(([False], own_gone, [False])).view(np.int8))).tolist()
                 removed.append([{"first": a, "end": b} for a, b in zip(change[0::2], change[1::2], strict=True)])
-                kept.append(b" ".join(w.words.word(s + i) for i in np.flatnonzero(~own_gone).tolist()))
+                kept.append(b" ".join(w.word(s + i) for i in np.flatnonzero(~own_gone).tolist()))
         yield pa.RecordBatch.from_arrays(
             [*(pa.array(bodies, pa.binary()).cast(f.type) if i == text_at else c.cast(f.type) for i, (c, f) in enumerate(zip(batch.columns, arrow, strict=False))), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, arrow.field("__spans").type), pa.array(kept, pa.binary()).cast(pa.string())], schema=arrow,
         )
 
-    place = F.pmod(F.coalesce(F.col(key).cast("long"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))), F.lit(buckets)).cast("int")
-    placed = squeeze(docs.select(*(docs[c] for c in docs.columns), place.alias("__bucket")), text)
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from cut(np.zeros(0, np.uint64), batch, {"sorted": None, "runs": []})
+
+    # rows without a key need no answers, and don't meet in one bucket
+    columns = [docs[c] for c in docs.columns]
+    keyless = squeeze(docs.where(docs[key].isNull()).select(*columns), text).mapInArrow(untouched, schema)
+    placed = squeeze(docs.where(docs[key].isNotNull()).select(*columns, F.pmod(docs[key].cast("long"), F.lit(buckets)).cast("int").alias("__bucket")), text)
     whole = placed.select(F.col("__bucket").alias("bucket"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return meet(whole, repeated, schema, cut, lambda _: ())
+    return meet(whole, spans_of, schema, cut, lambda _: ()).unionByName(keyless)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,51 @@ def test_substring_dedup_on_odd_rows(spark, odd_documents):
     assert substring_dedup.dedup(odd_documents.limit(0)).count() == 0
 
 
+def mirror(n):
+    """A word over two letters and its complement that every polynomial modulo a power of two takes for the same."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_polynomial_differ(spark):
+    for n in (32, 64, 128, 1024):
+        a, b = mirror(n)
+        tail = " " + " ".join(f"t{i}" for i in range(12))
+        df = spark.createDataFrame([(1, a + tail), (2, b + tail), (3, a), (4, b)], "doc_id long, text string")
+        assert [r[2] for r in run_dedup(df)] == [0, 0, 0, 0]
+        components = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(df.where("doc_id > 2")).collect()}
+        assert components == {3: 3, 4: 4}
+
+
+def test_passage_of_very_many_documents(spark):
+    """Its anchors are hot: their windows are dealt by their content."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(k, " ".join(f"x{k}y{i}" for i in range(8)) + f" {passage} " + " ".join(f"z{k % 7}y{i}" for i in range(8))) for k in range(1300)]
+    assert run_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute_dedup(rows)
+
+
+def test_parse_of_a_block():
+    rng = random.Random(9)
+    for _ in range(30):
+        keys = np.array([rng.randrange(6) for _ in range(12)])
+        texts = [[rng.choice("abc") for _ in range(rng.randrange(4, 14))] for _ in keys]
+        block = substring_dedup.Block(keys, np.array([len(t) for t in texts]), [w.encode() for t in texts for w in t], 4)
+        first, end = block.parse()
+        brute = []
+        for k, t in zip(keys, texts, strict=True):
+            earlier = {tuple(o[i:j]) for q, o in zip(keys, texts, strict=True) if q < k for i in range(len(o)) for j in range(i + 1, len(o) + 1)}
+            at = 0
+            while at <= len(t) - 4:
+                size = max((n for n in range(4, len(t) - at + 1) if tuple(t[at : at + n]) in earlier), default=0)
+                brute += [(len(brute), at, at + size)] if size else []
+                at += size or 1
+        starts = block.begin[block.segment[first]]
+        order = np.argsort(first)
+        assert list(zip((first - starts)[order].tolist(), (end - starts)[order].tolist(), strict=True)) == [(a, b) for _, a, b in brute]
+
+
 def test_substring_dedup_query(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     mine = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.op10_substring_dedup(spark, DATA).collect()), key=str)
