@@ -13,11 +13,14 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch that is sent to Python; texts may be long.
@@ -27,7 +30,8 @@ PASS_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds the rows and bytes of an Arrow batch for the Python stages of this session."""
+    """Bounds the rows and bytes of an Arrow batch for the Python stages of this session. The settings are read when a plan
+    runs, after the operator has returned it, so they stay."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -42,17 +46,37 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="graphloam-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _own_dir:
+            _own_dir.append("file://" + tempfile.mkdtemp(prefix="graphloam-"))
+        found = _own_dir[0]
     return found
 
 
+_own_dir: list[str] = []
+
+
 class Durable:
     """Tables written to the shared folder; drop() removes one that is no longer needed, the end of the process the rest."""
 
+    _scopes: ClassVar[list[list[Durable]]] = []
+
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.live = spark, []
         atexit.register(self.close)
+        if self._scopes:
+            self._scopes[-1].append(self)
+
+    @classmethod
+    @contextmanager
+    def scope(cls) -> Iterator[None]:
+        """Drops at its end the tables of every Durable that was made inside; what was planned on them has to be written by
+        then."""
+        cls._scopes.append([])
+        try:
+            yield
+        finally:
+            for made in cls._scopes.pop():
+                made.close()
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{shared_dir(self.spark)}/graphloam/{uuid.uuid4().hex}"
@@ -178,6 +202,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def join_common(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with table (a row for each `on`; `count`: how many of rows, `total` in all, have it). Keys that more than a
+    thousandth of the rows have - a thousand at most - are joined by a broadcast, so their rows don't meet in one task."""
+    many = max(10_000, total // 1000)
+    common = table.where(F.col(count) > many)
+    rest = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(table.where(F.col(count) <= many), on)
+    return rows.join(F.broadcast(common), on).unionByName(rest)
+
+
 # ------------------------------------------------------------------------------------------------- texts on their way
 
 

@@ -18,8 +18,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloam.llm.common import Words, documents, grams, lots, small_batches, utf8
 from graphloam.llm.license_scan import WORDS
@@ -78,28 +80,30 @@ class ItemIndex:
                     yield d, item, shared
 
 
+def _blocks(items: DataFrame, item_text: str, ids: Column, k: int, threshold: Fraction) -> Iterator[Broadcast]:
+    """The indexes of blocks of items, of bounded rows and bytes, each broadcast. Rows with one text and id are one item."""
+    rows = items.select(ids.alias("i"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("t"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("b")).first()
+    blocks = max(1, -(-total["n"] // BLOCK_ROWS), -(-total["b"] // BLOCK_BYTES))
+    for block in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).distinct().collect()
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex([(r["i"], bytes(r["t"])) for r in part], k, threshold))
+
+
 def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
     """(key, item_key, n_shared, n_shingles, containment) for every row of docs and every item that it contains.
 
     Words are lower-cased ASCII letters, digits and non-ASCII characters. Items without words are contained in nothing, null
-    texts contain nothing; repeated rows give a result each. Empty tables give no rows.
+    texts contain nothing. Very long texts are searched whole, a megabyte or one row at a time. Rows of docs that repeat give
+    a result each; rows of items that repeat a key and a text count once, texts under several keys once for each. Ties don't
+    matter, other columns are not read. Empty tables give no rows. Each block of BLOCK_ROWS items is one pass over docs.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
-    item_type = next(f.dataType for f in items.schema if f.name == item_key)
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_item = to_arrow_type(item_type)
-    body = F.coalesce(F.col(item_text), F.lit("")).cast("binary")
-    rows = items.select(F.col(item_key).alias("i"), body.alias("t"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("t")), F.lit(0)).alias("b")).first()
-    blocks = max(1, -(-total["n"] // BLOCK_ROWS), -(-total["b"] // BLOCK_BYTES))
+    arrow_item = to_arrow_type(items.schema[item_key].dataType)
     schema = f"`{key}` {kinds[0]}, `{item_key}` {kinds[1]}, n_shared long, n_shingles long, containment double"
     out = None
-    for block in range(blocks):
-        part = [(r["i"], bytes(r["t"])) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()]
-        shared = spark.sparkContext.broadcast(ItemIndex(part, k, threshold))
+    for shared in _blocks(items, item_text, F.col(item_key), k, threshold):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -118,6 +122,22 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
     return out
 
 
+def without_contained(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that contain no item: contained_items() as a filter, row by row, without a
+    shuffle and whatever their keys are."""
+    small_batches(docs.sparkSession)
+    at, columns = docs.columns.index(text), docs.columns
+    for shared in _blocks(items, item_text, F.lit(0), k, threshold):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                gone = {begin + d for begin, texts in lots(utf8(batch.column(at))) for d, *_ in shared.value.search(texts)}
+                yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in gone], pa.int64())) if gone else batch
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs.select(*columns)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with every benchmark item that it contains."""
     return contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

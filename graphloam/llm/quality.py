@@ -7,8 +7,9 @@ whose strengths are estimated from the spread of the rates. Sparse sites so stay
 share is taken out of its site before it is used.
 
 The text classifier: shares of character classes, word repetition and the like, and two lexicons - of hashed words and of
-four bytes within words, so that stems count under any ending - with their log odds, in a logistic regression. It is fitted on a bounded sample: FIT_ROWS labelled rows with the smallest hash of
-their key; odd hashes fit the lexicon, even ones the regression.
+four bytes within words, so that stems count under any ending - with their log odds, in a logistic regression. It is fitted on
+a bounded sample: of FIT_ROWS labelled keys, those with the smallest hashes, one row each; odd hashes fit the lexicon, even
+ones the regression.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import LOWER, PASS_BYTES, SPACES, Durable, Words, documents, lots, mix, small_batches, utf8
+from graphloam.llm.common import LOWER, PASS_BYTES, SPACES, Durable, Words, documents, join_common, lots, mix, small_batches, utf8
 
 FIT_ROWS = 24_000
 #: Buckets of a lexicon; documents with a label that a bucket needs before it counts as evidence.
@@ -73,11 +74,16 @@ def text_features(texts: list[bytes]) -> Features:
     n = len(texts)
     sizes = np.fromiter(map(len, texts), np.int64, n)
     begin = np.concatenate(([0], np.cumsum(sizes + 1)))
-    kind = _CLASS[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    shares = np.zeros((n, len(_CLASSES) + 1))
-    for k in range(len(_CLASSES) + 1):
-        total = np.concatenate(([0], np.cumsum(kind == k)))
-        shares[:, k] = (total[begin[1:] - 1] - total[begin[:-1]]) / np.maximum(1, sizes)
+    raw, kinds = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8), len(_CLASSES) + 1
+    counts = np.zeros(n * kinds, np.int64)
+    for s in range(0, len(raw), PASS_BYTES):
+        part = raw[s : s + PASS_BYTES]
+        first, last = np.searchsorted(begin, [s, s + len(part) - 1], "right") - 1
+        own = np.repeat(np.arange(first, last + 1), np.diff(np.clip(begin[first : last + 2], s, s + len(part))))
+        counts += np.bincount(own * kinds + _CLASS[part], minlength=n * kinds)
+    counts = counts.reshape(n, kinds)
+    counts[:, _CLASS[10]] -= 1  # the end of line behind each text
+    shares = counts / np.maximum(1, sizes)[:, None]
     w = Words([t.translate(LOWER) for t in texts])
     words = np.diff(w.first)
     pairs, times = np.unique(w.doc.astype(np.uint64) << np.uint64(32) | w.hash >> np.uint64(32), return_counts=True)
@@ -154,11 +160,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, fit_rows: int) -> DataFrame:
-    """(text, low, toxic, odd) of the labelled documents with the smallest hashes; never more than fit_rows labels."""
+    """(text, low, toxic, odd) of the labelled keys with the smallest hashes, at most fit_rows rows: of the rows of one key the
+    smallest text."""
     chosen = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     chosen = chosen.withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(fit_rows)
     # at most fit_rows small rows are broadcast
-    return docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k").select("t", (F.col("quality") == 0).cast("int").alias("low"), F.col("toxic").cast("int").alias("toxic"), (F.pmod("h", F.lit(2))).cast("int").alias("odd"))
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "k")
+    one = rows.groupBy("k", "h", "quality", "toxic").agg(F.min("t").alias("t"))
+    return one.select("t", (F.col("quality") == 0).cast("int").alias("low"), F.col("toxic").cast("int").alias("toxic"), (F.pmod("h", F.lit(2))).cast("int").alias("odd"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Durable, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> list[Head] | None:
@@ -208,16 +217,17 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Durable, key: str = "doc_id",
 
 
 def site_columns(source: Column) -> tuple[Column, Column]:
-    """(host, path) of a source: of a URL the host and its first path segment; of another name both are the name."""
-    bare = F.regexp_replace(F.coalesce(source, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    return F.element_at(F.split(bare, "/"), 1), F.array_join(F.slice(F.split(F.regexp_replace(bare, "[?#].*$", ""), "/"), 1, 2), "/")
+    """(host, path) of a source: of a URL, without its query, the host and its first path segment; of another name both are
+    the name."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(source, F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://", ""), "[?#].*$", "")
+    return F.element_at(F.split(bare, "/"), 1), F.array_join(F.slice(F.split(bare, "/"), 1, 2), "/")
 
 
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(level: DataFrame, rate: Column, n: Column, prior: Column) -> Column:
+def _strength(rate: Column, n: Column, prior: Column) -> Column:
     """Method of moments: the beta strength that explains the spread of the rates around the prior beyond binomial noise."""
     noise = F.sum(prior * (1 - prior) / n * n) / F.sum(n)
     spread = F.sum(n * (rate - prior) * (rate - prior)) / F.sum(n) - noise
@@ -225,17 +235,21 @@ def _strength(level: DataFrame, rate: Column, n: Column, prior: Column) -> Colum
     return F.coalesce(F.greatest(F.lit(LEAST_STRENGTH), F.least(F.lit(1e4), F.try_divide(unit, F.greatest(spread, F.lit(1e-6))))), F.lit(100.0))
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: Column | None = None, fit_rows: int = FIT_ROWS, reject: float = REJECT, keep: Durable | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", path: Column | None = None, fit_rows: int = FIT_ROWS, reject: float = REJECT, keep: Durable | None = None, label_key: str | None = None) -> DataFrame:
     """(key, p_low, p_toxic, keep) for every row.
 
     keep: both posteriors are at most `reject`. Null texts count as empty, null sources as one site. Without labelled rows
-    of a kind nothing tells, and every document is kept. Repeated keys are scored row by row; a label holds for all rows of
-    its key, and of several labels of one key the worst.
+    of a kind nothing tells, and every document is kept. Repeated keys are scored row by row, and count for their site each; a
+    label holds for all rows of its key, and of several labels of one key the worst; rows without a key have none. label_key:
+    the column that tells which label is whose, in docs and labels, if it is not the key. Very long texts are read whole. Other columns, of
+    whatever name, are not read. An empty table gives no rows.
     """
     spark, keep = docs.sparkSession, keep or Durable(docs.sparkSession)
     small_batches(spark)
-    heads = fit(docs, labels, keep, key, text, fit_rows)
-    kind = dict(docs.dtypes)[key]
+    label_key = label_key or key
+    labels = labels.select(F.col(label_key).alias("k"), "quality", "toxic")
+    heads = fit(docs.select(F.col(label_key).alias("k"), F.col(text).alias("t")), labels, keep, "k", "t", fit_rows)
+    kinds = dict(docs.dtypes)
     if heads is None:
         return docs.select(key, F.lit(0.0).alias("p_low"), F.lit(0.0).alias("p_toxic"), F.lit(True).alias("keep"))
     shared = spark.sparkContext.broadcast(heads)
@@ -243,17 +257,18 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros((0, 2))]
-            for _, part in lots(utf8(batch.column(3))):
+            for _, part in lots(utf8(batch.column(4))):
                 f = text_features(part)
                 found.append(np.column_stack([h.logit(f) for h in shared.value]))
             logits = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(logits[:, 0]), pa.array(logits[:, 1])], names=["k", "host", "path", "e_low", "e_toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(logits[:, 0]), pa.array(logits[:, 1])], names=["k", "label_k", "host", "path", "e_low", "e_toxic"])
 
     host, own_path = site_columns(F.col(source))
-    rows = docs.select(F.col(key).alias("k"), host.alias("host"), (own_path if path is None else F.concat_ws("/", host, path)).alias("path"), F.col(text).alias("t"))
-    told = keep.keep(rows.mapInArrow(evidence, f"k {kind}, host string, path string, e_low double, e_toxic double"))
-    known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((1 - F.min("quality")).cast("double").alias("y_low"), F.max("toxic").cast("double").alias("y_toxic"))
-    soft = told.join(known, "k", "left")
+    rows = docs.select(F.col(key).alias("k"), F.col(label_key).alias("label_k"), host.alias("host"), (own_path if path is None else F.concat_ws("/", host, path)).alias("path"), F.col(text).alias("t"))
+    told = keep.keep(rows.mapInArrow(evidence, f"k {kinds[key]}, label_k {kinds[label_key]}, host string, path string, e_low double, e_toxic double"))
+    known = labels.where("k is not null").groupBy(F.col("k").alias("label_k")).agg((1 - F.min("quality")).cast("double").alias("y_low"), F.max("toxic").cast("double").alias("y_toxic"))
+    # rows without a key don't go into the join, where they would meet in one task
+    soft = told.where("label_k is not null").join(known, "label_k", "left").unionByName(told.where("label_k is null"), allowMissingColumns=True)
     for h in HEADS:
         soft = soft.withColumn(f"s_{h}", F.coalesce(f"y_{h}", 1 / (1 + F.exp(-F.col(f"e_{h}")))))
     paths = keep.keep(soft.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_path"), *(F.sum(f"s_{h}").alias(f"path_{h}") for h in HEADS)))
@@ -262,10 +277,10 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if not world["n"]:
         return docs.select(key, F.lit(0.0).alias("p_low"), F.lit(0.0).alias("p_toxic"), F.lit(True).alias("keep"))
     base = {h: min(1 - 1e-6, max(1e-6, world[h] / world["n"])) for h in HEADS}
-    of_hosts = hosts.agg(*(_strength(hosts, F.col(f"host_{h}") / F.col("n_host"), F.col("n_host"), F.lit(base[h])).alias(h) for h in HEADS)).first()
-    both = paths.join(hosts, "host")
-    of_paths = both.agg(*(_strength(both, F.col(f"path_{h}") / F.col("n_path"), F.col("n_path"), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(f"host_{h}") / F.col("n_host")))).alias(h) for h in HEADS)).first()
-    out = soft.join(both.drop("host"), "path")
+    of_hosts = hosts.agg(*(_strength(F.col(f"host_{h}") / F.col("n_host"), F.col("n_host"), F.lit(base[h])).alias(h) for h in HEADS)).first()
+    sites = paths.join(hosts, "host")
+    of_paths = sites.agg(*(_strength(F.col(f"path_{h}") / F.col("n_path"), F.col("n_path"), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col(f"host_{h}") / F.col("n_host")))).alias(h) for h in HEADS)).first()
+    out = join_common(soft, sites, ["host", "path"], "n_path", world["n"])
     for h in HEADS:
         # without the document's own share
         at_host = (F.col(f"host_{h}") - F.col(f"s_{h}") + of_hosts[h] * base[h]) / (F.col("n_host") - 1 + of_hosts[h])

@@ -7,6 +7,7 @@ from test_pair_operators import brute_components, brute_contained
 
 import corpus_pipeline
 from graphloam.llm import decontaminate, quality
+from graphloam.llm.common import Durable
 
 DATA = "/root/testdata/sf0.01"
 
@@ -62,6 +63,72 @@ def test_quality_edges(spark, odd_documents):
     assert [tuple(r) for r in urls] == [("a.org", "a.org/b"), ("src1", "src1"), ("", ""), ("a.org", "a.org")]
 
 
+def test_one_row_stays_one_row(spark):
+    """Queries of a URL are no part of its site, and no row is doubled or lost; repeated keys don't widen the sample."""
+    rows = [(k % 150, f"plain text number {k} {'%%% !!!' if k % 5 == 0 else 'words'}", "https://a.org" if k % 2 else f"https://a.org?page={k % 3}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, int(k % 5 != 0), 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    assert quality.score(docs, labels).count() == 200
+    assert quality._sample(docs, labels, "doc_id", "text", 7).count() <= 7
+    many = docs.unionByName(docs).unionByName(docs)
+    assert quality._sample(many, labels, "doc_id", "text", 7).collect() == quality._sample(docs, labels, "doc_id", "text", 7).collect()
+
+
+def brute_posteriors(rows, labels, heads, path):
+    """The hierarchy in plain Python over dicts."""
+    told = {}
+    for k, q, t in labels:
+        if k is not None:
+            old = told.get(k, (q, t))
+            told[k] = (min(q, old[0]), max(t, old[1]))
+    evidence = {h: heads[i].logit(quality.text_features([(t or "").encode() for _, t, *_ in rows])) for i, h in enumerate(quality.HEADS)}
+    out = [[] for _ in rows]
+    for i, head in enumerate(quality.HEADS):
+        share, host, site = [], {}, {}
+        for n, (k, _, source, lang) in enumerate(rows):
+            y = (1 - told[k][0], told[k][1])[i] if k in told else 1 / (1 + np.exp(-evidence[head][n]))
+            share.append(y)
+            a = (source or "").split("?")[0].removeprefix("https://").split("/")[0]
+            b = a + "/" + lang if path else "/".join((source or "").split("?")[0].removeprefix("https://").split("/")[:2])
+            host.setdefault(a, []).append(n)
+            site.setdefault((a, b), []).append(n)
+        total = lambda ns: sum(share[n] for n in ns)
+        base = min(1 - 1e-6, max(1e-6, sum(share) / len(share)))
+
+        def strength(groups, prior):
+            n = np.array([len(g) for g in groups.values()], float)
+            rate, p = np.array([total(g) for g in groups.values()]) / n, np.array([prior(g) for g in groups])
+            spread = (n * (rate - p) ** 2).sum() / n.sum() - (p * (1 - p)).sum() / n.sum()
+            return max(20.0, min(1e4, (n * p * (1 - p)).sum() / n.sum() / max(spread, 1e-6)))
+
+        of_hosts = strength(host, lambda g: base)
+        of_paths = strength(site, lambda g: min(1 - 1e-6, max(1e-6, total(host[g[0]]) / len(host[g[0]]))))
+        for (a, _), members in site.items():
+            for n in members:
+                at_host = (total(host[a]) - share[n] + of_hosts * base) / (len(host[a]) - 1 + of_hosts)
+                at_path = (total(members) - share[n] + of_paths * at_host) / (len(members) - 1 + of_paths)
+                p = min(1 - 1e-6, max(1e-6, at_path))
+                out[n].append(1 / (1 + np.exp(-(evidence[head][n] + np.log(p / (1 - p)) - np.log(base / (1 - base))))))
+    return out
+
+
+def test_posteriors_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source", "lang")
+    rng = random.Random(6)
+    rows = [(r["doc_id"] if rng.random() < 0.9 else None, r["text"], rng.choice(["https://a.org/x/1", "https://a.org/y?q=1", "https://b.org", r["source"]]), r["lang"] or "") for r in docs.collect()]
+    rows += rows[:20]
+    labels = [(r["doc_id"], r["quality"], r["toxic"]) for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()]
+    labels += [(labels[0][0], 0, 1), (None, 0, 1)]
+    df, known = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    heads = quality.fit(df, known, Durable(spark))
+    for path in (None, F.col("lang")):
+        brute = brute_posteriors(rows, labels, heads, path is not None)
+        expected = sorted(((str(r[0]), *(round(float(p), 6) for p in ps), all(p <= 0.5 for p in ps)) for r, ps in zip(rows, brute, strict=True)))
+        mine = sorted((str(r["doc_id"]), round(r["p_low"], 6), round(r["p_toxic"], 6), r["keep"]) for r in quality.score(df, known, path=path).collect())
+        assert [m[0] for m in mine] == [e[0] for e in expected] and np.allclose([m[1:3] for m in mine], [e[1:3] for e in expected], atol=2e-5)
+        assert [m[3] for m in mine] == [e[3] for e in expected]
+
+
 def test_logistic_regression_finds_the_weights():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))
@@ -129,3 +196,25 @@ def test_stages_on_odd_and_empty_rows(spark, odd_documents, tmp_path):
             if name != "sentencepiece":
                 assert now.columns == docs.columns and now.dtypes == docs.dtypes
     assert decontaminate.K == 5
+
+
+def test_rows_without_an_id_of_their_own(spark, tmp_path):
+    """A missing or repeated doc_id shields no row from a decision and condemns no other."""
+    item = "which of these seven planets has the largest number of known moons today"
+    good = [" ".join(f"calm{(7 * i + j) % 40} plain{(3 * i + j) % 11} words" for j in range(14)) for i in range(120)]
+    bad = [" ".join(f"%%%{(5 * i + j) % 9} !!!! @@@{j}" for j in range(14)) for i in range(120)]
+    rows = [(i, t) for i, t in enumerate(good)] + [(200 + i, t) for i, t in enumerate(bad)]
+    labels = [(k, int(k < 200), 0) for k, _ in rows]
+    one = "a quiet evening by the river where nobody spoke about anything of importance for hours " + good[3]
+    rows += [(500, one), (500, one), (None, one), (None, bad[0] + " @@@"), (501, bad[1] + " %%%"), (501, "another calm text of plain words about rivers and hills " + good[5]), (None, "calm words " + item + " plain words " + good[9]), (502, "more calm words " + good[11]), (502, item + " and calm plain words " + good[20])]
+    docs = spark.createDataFrame([(k, t, "s", "en") for k, t in rows], "doc_id long, text string, source string, lang string")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    kept = texts(stages["quality"](spark, docs, str(tmp_path)))
+    assert not any("@@@" in t for _, t in kept) and {t for _, t in rows if "@@@" not in t} == {t for _, t in kept}
+    left = texts(stages["near_duplicates"](spark, docs, str(tmp_path)))
+    assert [t for _, t in left].count(one) == 1 and [t for k, t in left if k == "501"] == [rows[-4][1]]
+    clean = texts(stages["decontamination"](spark, docs, str(tmp_path)))
+    assert not any(item in t for _, t in clean) and len(clean) == len(rows) - 2
