@@ -34,9 +34,10 @@ def prime_from(n: int) -> int:
     return n
 
 
-def text_bytes(rows: DataFrame, text: str) -> int:
-    """The bytes of a text column."""
-    return rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
+def text_bytes(rows: DataFrame, text: str, key: str) -> tuple[int, int]:
+    """The bytes of a text column, and the number of rows without a key."""
+    r = rows.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b"), F.count_if(F.col(key).isNull()).alias("n")).first()
+    return r["b"], r["n"]
 
 
 def buckets_for(spark: SparkSession, size: int) -> int:

@@ -22,7 +22,9 @@ segment for equal ones, that with the smallest key, and answers the others itsel
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -145,8 +147,8 @@ class Block:
     """A reference block: segments with their keys and words, and the order of all their suffixes."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, words: list[bytes], window: int = WINDOW) -> None:
-        numbers: dict[bytes, int] = {}
-        self.ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        self.ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
         self.keys, self.n, self.window = keys, n, window
         self.segment = np.repeat(np.arange(len(n)), n)
         self.begin = np.cumsum(n) - n
@@ -233,7 +235,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     small_batches(spark)
     docs = docs.drop("__n_words", "__n_removed", "__spans", "__kept")
     has_key = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    buckets = buckets_for(spark, text_bytes(docs, text))
+    size, keyless = text_bytes(docs, text, key)
+    buckets = buckets_for(spark, size)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Answers(buckets, counted=True)
@@ -302,7 +305,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
         of, marks, starts, ends = state["sorted"]
         keys = batch.column(key_at).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
         n_words, n_removed, removed, kept = [], [], [], []
-        bodies = unsqueezed(batch.column(text_at))
+        bodies = batch.column(text_at)
+        bodies = bodies.cast(pa.binary()).to_pylist() if "raw" in state else unsqueezed(bodies)
         for begin, part in lots([b or b"" for b in bodies]):
             w = Words(part)
             edge = np.zeros(len(w.hash) + 1, np.int64)
@@ -333,14 +337,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 
     def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from cut(np.zeros(0, np.uint64), batch, {"sorted": None, "runs": []})
+            yield from cut(np.zeros(0, np.uint64), batch, {"sorted": None, "runs": [], "raw": True})
 
-    # rows without a key need no answers, and don't meet in one bucket
     columns = [docs[c] for c in docs.columns]
-    keyless = squeeze(docs.where(docs[key].isNull()).select(*columns), text).mapInArrow(untouched, schema)
     placed = squeeze(docs.where(docs[key].isNotNull()).select(*columns, F.pmod(docs[key].cast("long"), F.lit(buckets)).cast("int").alias("__bucket")), text)
     whole = placed.select(F.col("__bucket").alias("bucket"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return meet(whole, spans_of, schema, cut, lambda _: ()).unionByName(keyless)
+    out = meet(whole, spans_of, schema, cut, lambda _: ())
+    # rows without a key need no answers, and don't meet in one bucket
+    return out.unionByName(docs.where(docs[key].isNull()).mapInArrow(untouched, schema)) if keyless else out
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
