@@ -1,15 +1,17 @@
 """Embedding near-dedup with hierarchical navigable small-world graphs.
 
-Vectors of one label (and one length) are dealt to shards of bounded size. Each shard gets a graph of several levels; every
-shard's vectors are searched in every shard of their label, both ways. A search is a beam search from the top level down;
-all queries advance together in numpy. Whoever's beam is full of hits gets a beam twice as wide, until it is not, or the
-beam holds the shard. Then an audit compares AUDIT queries, and more until they have LINKS true links or all have been taken,
-with brute force and doubles all beams until their recall is TARGET at least. Links that the audit saw are kept. Hits are verified by cosine in double precision. A task counts the links of each vector and sends a spanning
-forest of them; components of all forests are joined. Equal vectors are searched once and counted with their multiplicity.
+Vectors of one label (and one length) are dealt to shards of bounded size. Each shard's graph of several levels is built once
+and stored in the shared folder; every shard's vectors are searched in every graph of their label. A search is a beam search
+from the top level down; all queries advance together in numpy. Whoever's beam is full of hits gets a wider one; a beam as
+wide as the shard is a scan of it. Then an audit compares AUDIT queries, and more until they have LINKS true links or all have
+been taken, with brute force and doubles all beams until their recall is TARGET at least. Links that the audit saw are kept.
+Hits are verified by cosine in double precision. A task counts the links of each vector and sends a spanning forest of them;
+components of all forests are joined. Equal vectors are searched once and counted with their multiplicity.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import Durable, mix, partitions, small_batches
+from graphloam.llm.common import Durable, join_common, mix, partitions, small_batches
 from graphloam.llm.components import components
 
 COSINE = 0.98
 #: Vectors of a shard in expectation; neighbours of a node; first width of a beam; nodes of a beam expanded at once.
-SHARD, NEIGHBOURS, BEAM, AT_ONCE = 8192, 12, 24, 4
+SHARD, NEIGHBOURS, BEAM, AT_ONCE = 4096, 12, 24, 4
 #: Queries of an audit at least, the true links that it wants to see, and the recall that they must reach.
 AUDIT, LINKS, TARGET = 64, 1000, 0.999
 #: Queries that advance together; float32 similarities may be off by MARGIN.
@@ -50,6 +52,22 @@ class Graph:
                 self._insert(nodes[:done], new, neighbours)
                 done += len(new)
 
+    def dump(self) -> bytes:
+        """What load() makes the graph of again, its vectors left out."""
+        levels = [(np.flatnonzero((adj >= 0).any(1)).astype(np.int32), adj) for adj in self.levels]
+        return pickle.dumps((self.entry, [(rows, adj[rows].astype(np.int32)) for rows, adj in levels]))
+
+    @staticmethod
+    def load(vectors: np.ndarray, dumped: bytes) -> Graph:
+        g = Graph.__new__(Graph)
+        g.x, g.levels = vectors, []
+        g.entry, levels = pickle.loads(dumped)
+        for rows, held in levels:
+            adj = np.full((len(vectors), held.shape[1]), -1, np.int64)
+            adj[rows] = held
+            g.levels.append(adj)
+        return g
+
     def _insert(self, old: np.ndarray, new: np.ndarray, neighbours: int) -> None:
         adj = self.levels[0]
         for s in range(0, len(new), TOGETHER):
@@ -150,13 +168,17 @@ class Graph:
         """(number of the query, node) of what the searches find at a similarity of `least`."""
         out = []
         for s in range(0, len(queries), TOGETHER):
-            todo, w = np.arange(s, min(s + TOGETHER, len(queries))), min(width, len(self.x))
+            todo, w = np.arange(s, min(s + TOGETHER, len(queries))), width
             while len(todo):
+                if 4 * w >= len(self.x):  # a beam of the whole shard
+                    r, c = np.nonzero(queries[todo] @ self.x.T >= least)
+                    out.append((todo[r], c))
+                    break
                 ids, sims = self.beam(queries[todo], self._descend(queries[todo], 0), w, 0)
-                full = (sims >= least).all(1) & (w < len(self.x))
+                full = (sims >= least).all(1)
                 r, c = np.nonzero((sims >= least) & ~full[:, None])
                 out.append((todo[r], ids[r, c]))
-                todo, w = todo[full], min(2 * w, len(self.x))
+                todo, w = todo[full], 4 * w
         return out
 
 
@@ -184,33 +206,33 @@ def true_links(x: np.ndarray, y: np.ndarray, own: bool, cosine: float) -> tuple[
     return np.concatenate(u), np.concatenate(v), at >= len(x)
 
 
-def found_links(a: np.ndarray, ids_a: np.ndarray, b: np.ndarray | None, ids_b: np.ndarray | None, cosine: float = COSINE) -> np.ndarray:
-    """Which rows of a link with which rows of b, or with other rows of a if b is None."""
-    x, y = unit(a), unit(a if b is None else b)
-    x32, y32 = x.astype(np.float32), y.astype(np.float32)
-    ways = [(Graph(y32, ids_a if b is None else ids_b), x32, False)]
-    if b is not None:
-        ways.append((Graph(x32, ids_a), y32, True))
-    u, v, whole = true_links(x, y, b is None, cosine)
+def found_links(x: np.ndarray, graph: Graph, y: np.ndarray | None, other: Graph | None, cosine: float = COSINE) -> tuple[np.ndarray, int, int]:
+    """Which rows of x link with which rows of y, or with other rows of x if y is None, by the graphs of both; and how many true
+    links the audit saw and how many of them the last search had found. Rows are of length 1, in double precision."""
+    own = y is None
+    y = x if own else y
+    ways = [(graph, x, False)] if own else [(other, x, False), (graph, y, True)]
+    u, v, whole = true_links(x, y, own, cosine)
     out, width = np.zeros((len(x), len(y)), bool), BEAM
     while True:
-        for graph, queries, turned in ways:
-            for q, node in graph.hits(queries, cosine - MARGIN, width):
+        for g, queries, turned in ways:
+            for q, node in g.hits(queries.astype(np.float32), cosine - MARGIN, width):
                 i, j = (node, q) if turned else (q, node)
                 for s in range(0, len(i), 1 << 16):
                     r, c = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                     ok = np.einsum("ij,ij->i", x[r], y[c]) >= cosine
                     out[r[ok], c[ok]] = True
-        if b is None:
+        if own:
             out |= out.T
-        if whole or out[u, v].sum() >= TARGET * len(u) or width >= max(len(x), len(y)):
+        found = int(out[u, v].sum())
+        if whole or found >= TARGET * len(u) or width >= max(len(x), len(y)):
             break
         width *= 2
     out[u, v] = True
-    if b is None:
+    if own:
         out[v, u] = True
         np.fill_diagonal(out, False)
-    return out
+    return out, len(u), found
 
 
 def forest(links: np.ndarray, square: bool) -> list[tuple[int, int]]:
@@ -245,12 +267,37 @@ def forest(links: np.ndarray, square: bool) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, shard: int = SHARD, keep: Durable | None = None) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """A sorted partition's runs of rows with the same first `keys` columns."""
+    now, held = None, []
+    for batch in batches:
+        columns = [batch.column(x).to_numpy() for x in range(keys)]
+        change = np.zeros(max(0, batch.num_rows - 1), bool)
+        for c in columns:
+            change |= np.diff(c) != 0
+        cut = (np.flatnonzero(change) + 1).tolist()
+        for s, e in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+            if s == e:
+                continue
+            key = tuple(int(c[s]) for c in columns)
+            if key != now:
+                if held:
+                    yield now, held
+                now, held = key, []
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield now, held
+
+
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, shard: int = SHARD, keep: Durable | None = None, report: dict | None = None) -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
     key: an integer column. Rows link only when their labels are equal and not null and their vectors have one length; null
     and empty vectors, zero vectors and those with null or non-finite components link with nothing. Rows that repeat a key
-    are vectors of their own. Rows with a null key have no component and aren't kept.
+    are vectors of their own, but are one node for the components. Rows with a null key have no component and aren't kept.
+    Equal vectors of a label (ties) link. An empty table gives no rows, other columns are not read. report: takes what the
+    audits saw: `true` links of the audited queries, of which `found` by the searches themselves, and their ratio `recall`
+    (None without a true link).
     """
     spark, keep = vectors.sparkSession, keep or Durable(vectors.sparkSession)
     small_batches(spark)
@@ -258,58 +305,63 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     rows = vectors.select(F.col(key).cast("long").alias("k"), F.transform(F.col(embedding), lambda x: x.cast("double") + F.lit(0.0)).alias("e"), F.col(label).alias("l"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.coalesce(F.col("k").isNotNull() & F.col("l").isNotNull() & finite & F.exists("e", lambda x: x != 0), F.lit(False))
-    whole = keep.keep(rows.withColumn("good", good))
-    classes = keep.keep(whole.where("good").groupBy("l", "e").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m")).withColumn("d", F.size("e")))
-    # a representative may stand for several vectors if keys repeat, so nodes are numbered by content
-    node = F.xxhash64("rep", "l", "e")
-    sizes = classes.groupBy("l", "d").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    placed = classes.withColumn("node", node).join(sizes, ["l", "d"]).withColumn("s", F.pmod("node", F.col("shards")).cast("int"))
-    pairs = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(F.xxhash64("l", "d").alias("g"), "d", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "node", "rep", "m", "e")
+    # a vector of a label is told by two hashes, 128 bits
+    whole = keep.keep(rows.withColumns({"good": good, "f": F.xxhash64("l", "e"), "f2": F.xxhash64(F.lit(1), "l", "e")}))
+    classes = keep.keep(whole.where("good").groupBy("l", "f", "f2").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("m"), F.first("e").alias("e")).withColumn("d", F.size("e")))
+    sizes = classes.groupBy("l", "d").agg(F.count(F.lit(1)).alias("n"))
+    placed = join_common(classes, sizes, ["l", "d"], "n", classes.count())
+    shards = F.ceil(F.col("n") / shard).cast("int")
+    placed = placed.select(F.xxhash64("l", "d").alias("g"), "d", F.pmod("f", shards).cast("int").alias("s"), shards.alias("shards"), "f", "f2", "rep", "m", "e")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (g, d, s), held in _runs(batches, 3):
+            f, f2, rep, m = (np.concatenate([b.column(x).to_numpy() for b in held]) for x in (4, 5, 6, 7))
+            x = unit(np.concatenate([b.column(8).flatten().to_numpy().reshape(b.num_rows, d) for b in held]))
+            order = np.lexsort((f2, f))
+            f, f2, rep, m, x = f[order], f2[order], rep[order], m[order], x[order]
+            blob = pickle.dumps((f, f2, rep, m, x, Graph(x.astype(np.float32), f).dump()))
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([d], pa.int32()), pa.array([s], pa.int32()), pa.array([held[0].column(3)[0].as_py()], pa.int32()), pa.array([blob], pa.binary())], names=["g", "d", "s", "shards", "graph"])
+
+    graphs = keep.keep(placed.repartition(parts, "g", "d", "s").sortWithinPartitions("g", "d", "s").mapInArrow(build, "g long, d int, s int, shards int, graph binary"))
+    pairs = graphs.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("g", "d", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "graph")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(held: list[tuple], i: int, j: int) -> pa.RecordBatch:
-            s, nodes, reps, m, e = (np.concatenate([h[x] for h in held]) for x in range(5))
-            order = np.argsort(nodes, kind="stable")
-            s, nodes, reps, m, e = s[order], nodes[order], reps[order], m[order], e[order]
-            a = np.flatnonzero(s == i)
-            b = a if i == j else np.flatnonzero(s == j)
-            if not len(a) or not len(b):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64())], names=["kind", "u", "v"])
-            found = found_links(e[a], nodes[a], None if i == j else e[b], None if i == j else nodes[b], cosine)
-            count_a, count_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-            for r in range(0, len(a), 512):
-                count_a[r : r + 512] = found[r : r + 512] @ m[b]
+        def opened(blob: bytes) -> tuple:
+            *numbers, x, graph = pickle.loads(blob)
+            return *numbers, x, Graph.load(x.astype(np.float32), graph)
+
+        for (_, _, i, j), held in _runs(batches, 4):
+            blobs = {s: blob for b in held for s, blob in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)}
+            if len(blobs) < 1 + (i != j):  # an empty shard has no graph
+                continue
+            f, f2, rep, m, x, graph = opened(blobs[i])
+            if i == j:
+                g, g2, other_rep, other_m = f, f2, rep, m
+                found, seen, right = found_links(x, graph, None, None, cosine)
+            else:
+                g, g2, other_rep, other_m, y, other = opened(blobs[j])
+                found, seen, right = found_links(x, graph, y, other, cosine)
+            count = np.concatenate([found[r : r + 512] @ other_m for r in range(0, len(f), 512)])
+            edges = np.array([(rep[a], other_rep[b]) for a, b in forest(found, i == j)], np.int64).reshape(-1, 2)
+            kind = [np.zeros(len(f)), np.ones(len(edges)), [2]]
+            u, v, n = [f, edges[:, 0], [seen]], [f2, edges[:, 1], [right]], [count, np.zeros(len(edges)), [0]]
             if i != j:
-                for c in range(0, len(b), 512):
-                    count_b[c : c + 512] = m[a] @ found[:, c : c + 512]
-            edges = [(int(reps[a[x]]), int(reps[b[y]])) for x, y in forest(found, i == j)]
-            kind = [0] * len(a) + [0] * (len(b) * (i != j)) + [1] * len(edges)
-            u = [*nodes[a].tolist(), *(nodes[b].tolist() if i != j else []), *(x for x, _ in edges)]
-            v = [*count_a.tolist(), *(count_b.tolist() if i != j else []), *(y for _, y in edges)]
-            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["kind", "u", "v"])
-
-        now, held = None, []
-        for batch in batches:
-            g, d, i, j = (batch.column(x).to_numpy() for x in range(4))
-            cut = np.flatnonzero((np.diff(g) != 0) | (np.diff(d) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(g)], strict=True):
-                if s == e:
-                    continue
-                if (g[s], d[s], i[s], j[s]) != now:
-                    if held:
-                        yield result(held, int(now[2]), int(now[3]))
-                    now, held = (g[s], d[s], i[s], j[s]), []
-                own = batch.slice(s, e - s)
-                held.append((*(own.column(x).to_numpy() for x in (4, 5, 6, 7)), own.column(8).flatten().to_numpy().reshape(e - s, int(d[s]))))
-        if held:
-            yield result(held, int(now[2]), int(now[3]))
-
-    found = keep.keep(pairs.repartition(parts, "g", "d", "i", "j").sortWithinPartitions("g", "d", "i", "j").mapInArrow(search, "kind int, u long, v long"))
-    counts = found.where("kind = 0").groupBy(F.col("u").alias("node")).agg(F.sum("v").alias("n"))
-    joined = components(found.where("kind = 1"), keep)
-    of_class = classes.withColumn("node", node).join(counts, "node", "left").join(joined.select(F.col("node").alias("r"), "component"), F.col("rep") == F.col("r"), "left")
-    of_class = of_class.select(F.col("l").alias("cl"), F.col("e").alias("ce"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
-    linked = whole.where("good").join(of_class, (F.col("l") == F.col("cl")) & (F.col("e") == F.col("ce"))).select("k", "n_links", F.col("c").alias("component_id"))
+                kind.append(np.zeros(len(g)))
+                u.append(g)
+                v.append(g2)
+                n.append(np.concatenate([m @ found[:, c : c + 512] for c in range(0, len(g), 512)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kind).astype(np.int32)), *(pa.array(np.concatenate(c).astype(np.int64)) for c in (u, v, n))], names=["kind", "u", "v", "n"])
+
+    found = keep.keep(pairs.repartition(parts, "g", "d", "i", "j").sortWithinPartitions("g", "d", "i", "j").mapInArrow(search, "kind int, u long, v long, n long"))
+    keep.drop(graphs)
+    if report is not None:
+        seen = found.where("kind = 2").agg(F.sum("u").alias("true"), F.sum("v").alias("found")).first()
+        report |= {"true": seen["true"] or 0, "found": seen["found"] or 0, "recall": seen["found"] / seen["true"] if seen["true"] else None}
+    counts = found.where("kind = 0").groupBy(F.col("u").alias("f"), F.col("v").alias("f2")).agg(F.sum("n").alias("n"))
+    joined = components(found.where("kind = 1").select("u", "v"), keep)
+    of_class = classes.select("f", "f2", "rep", "m").join(counts, ["f", "f2"], "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    of_class = keep.keep(of_class.select("f", "f2", "m", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    linked = join_common(whole.where("good").select("k", "f", "f2"), of_class, ["f", "f2"], "m", whole.count()).select("k", "n_links", "component_id")
     alone = whole.where("not good").select("k", F.lit(0).cast("long").alias("n_links"), F.col("k").alias("component_id"))
     return linked.unionByName(alone).select(F.col("k").alias(key), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("k") == F.col("component_id"), F.lit(False)).alias("kept"))
 
