@@ -2,7 +2,7 @@
 
 Each language has a set of character n-grams. One table of machine words holds the Bloom filters of all languages, a bit
 for each language: the AND of an n-gram's slots is the mask of all languages that (may) contain it. A text's n-grams give
-each language a popcount, which is corrected for the filter's false positives, and the largest corrected count decides.
+each language a popcount, which is corrected once for the filter's false positives, and the largest corrected count decides.
 
 The sets come from a bounded sample: PER_LANGUAGE training documents of each language in expectation, chosen by a hash of
 their key, with whole texts; of each language the FREQUENT most frequent n-grams. An n-gram that a language has much more
@@ -75,51 +75,72 @@ class Filters:
         return out
 
     def popcounts(self, hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Corrected counts, a row for each text and a column for each language; and the numbers of n-grams."""
+        """How many n-grams each language (may) have, a row for each text and a column for each language; and the numbers of
+        n-grams."""
         masks, n = self.masks(hashes), np.diff(begins)
         counts = np.zeros((len(n), len(self.languages)))
         for b in range(len(self.languages)):
             total = np.concatenate(([0], np.cumsum((masks[b // 64] >> np.uint64(b % 64)) & np.uint64(1), dtype=np.int64)))
-            hits = total[begins[1:]] - total[begins[:-1]]
-            counts[:, b] = np.maximum(0, (hits - n * self.false[b]) / (1 - self.false[b]))
+            counts[:, b] = total[begins[1:]] - total[begins[:-1]]
         return counts, n
 
+    def corrected(self, counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Without the false positives that are expected among n n-grams."""
+        return np.maximum(0, (counts - n[:, None] * self.false) / (1 - self.false))
+
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """score: the decided language's share of all corrected counts. Ties, and texts without any known n-gram (score 0),
         go to the first language in alphabetical order; texts without a letter are undetermined."""
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
         counts, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
-        owner, pieces = [], []
-        for i, t in enumerate(texts):
-            own = list(slices(t))
-            owner += [i] * len(own)
-            pieces += own
-        begin = size = 0
-        for end in range(1, len(pieces) + 1):
-            size += len(pieces[end - 1])
-            if size > PASS_BYTES or end == len(pieces):
-                c, m = self.popcounts(*trigrams(pieces[begin:end]))
-                np.add.at(counts, owner[begin:end], c)
-                np.add.at(n, owner[begin:end], m)
-                begin, size = end, 0
+        for owner, *grams in gram_lots(texts):
+            c, m = self.popcounts(*grams)
+            np.add.at(counts, owner, c)
+            np.add.at(n, owner, m)
+        counts = self.corrected(counts, n)
         best, total = counts.argmax(1), counts.sum(1)
         score = np.where(total > 0, counts[np.arange(len(texts)), best] / np.maximum(total, 1e-300), 0.0)
         return [self.languages[b] if m else UNDETERMINED for b, m in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, score, 0.0).tolist()
 
 
-def slices(text: str, most: int = PASS_BYTES) -> Iterator[str]:
-    """A long text in pieces, cut at a blank where one is near, so that the pieces' n-grams are the text's."""
-    begin = 0
-    while len(text) - begin > most:
-        cut = text.rfind(" ", begin + most // 2, begin + most) + 1 or begin + most
-        yield text[begin:cut]
-        begin = cut
-    yield text[begin:]
+def gram_lots(texts: list[str], most: int = PASS_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts' trigrams some `most` characters at a time: (number of each piece's text, hashes, where each piece's begin). A
+    long text is cut into pieces that overlap by a character on both sides; a trigram belongs to the piece that has its middle,
+    so the pieces' trigrams are the text's, wherever it is cut."""
+    pieces, size = [], 0
+    for i, t in enumerate(texts):
+        for begin in range(0, max(1, len(t)), most):
+            piece = t[max(0, begin - 1) : begin + most + 1]
+            pieces.append((i, piece, begin > 0, begin + most < len(t)))
+            size += len(piece)
+            if size > most:
+                yield _piece_grams(pieces)
+                pieces, size = [], 0
+    if pieces:
+        yield _piece_grams(pieces)
+
+
+def _piece_grams(pieces: list[tuple[int, str, bool, bool]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    hashes, begins = trigrams([p for _, p, *_ in pieces])
+    # a lower-cased character may be several, so the borrowed ones are counted after that
+    letter = is_letter()
+    drop, own = np.zeros(len(hashes), bool), np.zeros(len(pieces), np.int64)
+    for k, (_, p, left, right) in enumerate(pieces):
+        s, e = begins[k], begins[k + 1]
+        if left:
+            n = int(letter[[ord(c) for c in p[0].lower()]].sum())
+            drop[s : s + n] = True
+        if right:
+            n = int(letter[[ord(c) for c in p[-1].lower()]].sum())
+            drop[e - n : e] = True
+        own[k] = e - s - drop[s:e].sum()
+    return np.array([i for i, *_ in pieces]), hashes[~drop], np.concatenate(([0], np.cumsum(own)))
 
 
 def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE, frequent: int = FREQUENT, seldom: float = SELDOM) -> Filters:
-    """Filters from rows with text and language. Without such rows there are no languages."""
+    """Filters from rows with text and language. Without such rows there are no languages, and every text is undetermined.
+    Rows that repeat a key are in the sample together or not at all."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     share = {r["l"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not share:
@@ -134,8 +155,8 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int =
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(language, []).append(t)
             for language, texts in by.items():
-                for piece in (p for t in texts for p in slices(t)):
-                    held.setdefault(language, []).append(np.unique(trigrams([piece])[0], return_counts=True))
+                for _, grams, _ in gram_lots(texts):
+                    held.setdefault(language, []).append(np.unique(grams, return_counts=True))
         for language, parts in held.items():
             g, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             n = np.bincount(at, np.concatenate([p[1] for p in parts]), len(g)).astype(np.int64)
@@ -152,7 +173,9 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int =
 
 def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) for every row, from the text alone, without a shuffle. Null texts and those without a letter
-    get `und` and 0; keys may repeat or be null. The filters have a fixed size."""
+    get `und` and 0; keys may repeat or be null. Very long texts are counted whole, a million characters at a time. Ties go to
+    the first language in alphabetical order. Other columns, of whatever name, are not read; an empty table gives no rows. The
+    filters have a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

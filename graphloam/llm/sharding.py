@@ -5,25 +5,28 @@ a versioned map gives every slot a shard. Rebalancing edits the map alone: recor
 version says which slots moved. The map has one entry for each slot, whatever the input, so it can be kept on the driver,
 stored as JSON and broadcast.
 
-Law: `bytes` - the shards' sizes are near equal. A record's key is hashed with its checksum, so rows that repeat a key with
-other texts, and rows without a key, spread over the slots as well; equal rows have the same slot.
+Law: `bytes` - the shards' sizes are near equal. A record's key is hashed with its checksum and, among equal records, with its
+number, so that neither rows that repeat a key nor rows without a key gather in one slot. Groups of equal texts are spread on
+purpose: a group may hold a third of all rows, and kept together it would break the law.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloam.llm.common import documents
+from graphloam.llm.common import documents, shared_dir
 
 #: Virtual slots; a slot's share of the input is what a rebalancing can move at least.
-SLOTS = 8192
+SLOTS, SHARDS = 8192, 16
 LAW = "bytes"
+NAMES = {"size", "text_crc32", "virtual_slot", "shard", "slot", "map_version"}
 
 
 @dataclass
@@ -88,15 +91,19 @@ class SlotMap:
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        rows = spark.read.parquet(path)
+        rows = spark.read.schema("version int, map string").parquet(path)
         rows = rows.where(F.col("version") == version) if version else rows
         return SlotMap.from_json(rows.orderBy(F.desc("version")).first()["map"])
 
 
 def with_slots(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(key, size, text_crc32, virtual_slot). Null text: no bytes, so size 1 and checksum 0; null key: the checksum decides."""
+    """(__key, size, text_crc32, virtual_slot). Null text: no bytes, so size 1 and checksum 0. Rows that agree in all of it
+    are counted first (before the shuffle, task by task) and numbered; the number goes into the hash."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(F.col(key).alias(key), (F.length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32")).withColumn("virtual_slot", F.pmod(F.xxhash64(F.col(key), F.col("text_crc32")), F.lit(slots)).cast("int"))
+    rows = docs.select(F.col(key).alias("__key"), (F.length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"))
+    counted = rows.groupBy("__key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    numbered = counted.withColumn("__number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+    return numbered.withColumn("virtual_slot", F.pmod(F.xxhash64("__key", "text_crc32", "__number"), F.lit(slots)).cast("int"))
 
 
 def slot_table(slotted: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -107,12 +114,32 @@ def slot_table(slotted: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[
     return weights, rows
 
 
+def deal(docs: DataFrame, shards: int, path: str, key: str = "doc_id", text: str = "text") -> SlotMap:
+    """Brings the stored map at path to the present sizes, and returns the version in force.
+
+    Where none is stored, version 1 gives every shard the same number of slots. The slots' bytes are then measured, and if
+    slots have to move a further version is stored. A second call on the same rows moves nothing.
+    """
+    spark = docs.sparkSession
+    weights, _ = slot_table(with_slots(docs, key, text))
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        SlotMap([s % shards for s in range(SLOTS)], shards, 1, [(1, SLOTS)]).save(spark, path)
+    now = SlotMap.load(spark, path)
+    new = now.rebalance(weights, shards)
+    if new.shard_of != now.shard_of or new.shards != now.shards:
+        new.save(spark, path)
+    return SlotMap.load(spark, path)
+
+
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
     """(key, size, text_crc32, virtual_slot, shard, slot, map_version) and the map in force.
 
     With a stored slot_map its shards hold; else one is built from the slots' bytes. slot: the row's place in its shard,
-    from 0 and without gaps: the slot's offset plus the rank in the slot, so that no task ranks a whole shard. Equal rows
-    (ties) get consecutive places. An empty table gives no rows.
+    from 0 and without gaps: the slot's offset plus the rank in the slot, so that no task ranks a whole shard. Rows that agree
+    in key, size and checksum (ties) get places of their own in different slots. Keys may be null and repeat; a key column
+    that has the name of one of the others (size, shard, slot ...) is returned as `key`. Very long texts count whole; other
+    columns are not read. An empty table gives no rows.
     """
     slotted = with_slots(docs, key, text)
     weights, rows = slot_table(slotted)
@@ -124,13 +151,17 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
             at[s] += rows[slot]
     spark = docs.sparkSession
     places = spark.createDataFrame(table, T.StructType([T.StructField("virtual_slot", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("offset", T.LongType())]))
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("__key", "text_crc32", "size", "__number"))
     # at most SLOTS rows are broadcast
     out = slotted.withColumn("rank", rank).join(F.broadcast(places), "virtual_slot")
-    return out.select(key, "size", "text_crc32", "virtual_slot", "shard", (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(slot_map.version).alias("map_version")), slot_map
+    name = "key" if key in NAMES else key
+    return out.select(F.col("__key").alias(name), "size", "text_crc32", "virtual_slot", "shard", (F.col("offset") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(slot_map.version).alias("map_version")), slot_map
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16 shards of documents of near equal bytes; see shard()."""
-    out, _ = shard(documents(spark, sf_dir))
+    """16 shards of documents of near equal bytes, by a map that is stored in the shared folder, brought to the sizes there
+    and read again; see deal() and shard()."""
+    docs = documents(spark, sf_dir)
+    path = f"{shared_dir(spark)}/graphloam/slot_maps/{uuid.uuid4().hex}"
+    out, _ = shard(docs, slot_map=deal(docs, SHARDS, path))
     return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")

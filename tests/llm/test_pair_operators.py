@@ -261,6 +261,16 @@ def test_shards(spark, odd_documents):
         places.setdefault(r["shard"], []).append(r["slot"])
     assert set(load) == set(range(16)) and max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 16
     assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert {r["map_version"] for r in rows} == {2}
+    # the shard of every row, from the stored map's law alone
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    weights, _ = sharding.slot_table(sharding.with_slots(docs))
+    even = sharding.SlotMap([s % 16 for s in range(sharding.SLOTS)], 16)
+    edited = even.rebalance(weights)
+    assert all(r["shard"] == edited.shard_of[r["virtual_slot"]] for r in rows)
+    slot_of = {r["__key"]: r["virtual_slot"] for r in sharding.with_slots(docs).collect()}
+    assert {r["doc_id"]: r["virtual_slot"] for r in rows} == slot_of
+    assert 0 < sum(a != b for a, b in zip(even.shard_of, edited.shard_of, strict=True)) < sharding.SLOTS / 2
     out, _ = sharding.shard(odd_documents, 4)
     odd = out.collect()
     assert len(odd) == odd_documents.count()
@@ -286,6 +296,15 @@ def test_slot_map_versions(spark, tmp_path):
         m.save(spark, path)
     assert sharding.SlotMap.load(spark, path) == three and sharding.SlotMap.load(spark, path, 1) == one
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    at = str(tmp_path / "dealt")
+    assert sharding.deal(docs, 5, at).version == 2 and sharding.deal(docs, 5, at).version == 2
+    grown = sharding.deal(docs.unionByName(docs.limit(100)), 6, at)
+    assert grown.version == 3 and max(grown.shard_of) == 5 and [v for v, _ in grown.history] == [1, 2, 3]
+    equal = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long")).withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(20_000))))
+    rows, _ = sharding.shard(equal, 4)
+    held = Counter((r["shard"]) for r in rows.collect())
+    assert sum(held.values()) == 20_000 and max(held.values()) - min(held.values()) < 100
+    assert sharding.shard(docs.withColumnRenamed("doc_id", "slot"), 2, key="slot")[0].columns[0] == "key"
     again, used = sharding.shard(docs, slot_map=sharding.SlotMap.build([1] * sharding.SLOTS, 3))
     assert used.shards == 3 and {r["shard"] for r in again.collect()} <= {0, 1, 2}
 
@@ -333,8 +352,10 @@ def test_vectors_against_brute_force(spark, shard):
     nan = float("nan")
     rows += [(2000, None, 0), (2001, [], 0), (2002, [0.0] * 16, 0), (2003, [nan] * 16, 0), (2004, [None] + [1.0] * 15, 0), (2005, rows[5][1], None), (2006, rows[5][1][:8], rows[5][2]), (2007, [float("inf")] * 16, 0), (2008, [1e-30] * 16, 1), (2009, [1e-30] * 16, 1), (2010, [1e30] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("node", F.lit("clash")).repartition(4)
-    mine = sorted(tuple(r) for r in vector_dedup.near_duplicates(df, shard=shard).collect())
+    report = {}
+    mine = sorted(tuple(r) for r in vector_dedup.near_duplicates(df, shard=shard, report=report).collect())
     assert mine == brute_vectors(rows)
+    assert report["true"] > 100 and report["recall"] >= 0.99
     assert vector_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -342,8 +363,12 @@ def test_recall_of_graphs():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(60, 32))
     x = np.concatenate([centres[rng.integers(60, size=2500)] + rng.normal(size=(2500, 32)) * rng.choice([0.05, 0.1, 0.6], size=(2500, 1)), centres[0] + rng.normal(size=(600, 32)) * 0.02])
-    found = vector_dedup.found_links(x, np.arange(len(x)), None, None)
     u = vector_dedup.unit(x)
+    graph = vector_dedup.Graph(u.astype(np.float32), np.arange(len(x)))
+    again = vector_dedup.Graph.load(graph.x, graph.dump())
+    assert again.entry == graph.entry and all((a == b).all() for a, b in zip(again.levels, graph.levels, strict=True))
+    found, seen, right = vector_dedup.found_links(u, again, None, None)
+    assert seen >= vector_dedup.LINKS and right >= vector_dedup.TARGET * seen
     true = u @ u.T >= 0.98
     np.fill_diagonal(true, False)
     assert not (found & ~true).any() and (found & true).sum() >= 0.99 * true.sum()
