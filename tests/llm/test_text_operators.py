@@ -206,3 +206,31 @@ def test_bloom_masks_hold_every_member():
     strange = rng.integers(0, 1 << 63, 20_000, dtype=np.int64).view(np.uint64)
     counts, n = f.popcounts(strange, np.array([0, len(strange)]))
     assert counts.max() < 0.01 * n[0]
+
+
+def test_full_texts_and_tables_of_templates(spark):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.BASE)
+    for label, text in license_scan.TEMPLATES:
+        # a header before, other line breaks, and a word changed now and then
+        edited = ["other" if i % 29 == 17 else w for i, w in enumerate(text.split())]
+        found = scanner.scan(("Copyright 2024 the people of this file\n\n * " + "\n * ".join(" ".join(edited[i : i + 9]) for i in range(0, len(edited), 9)) + "\ncode follows").encode())
+        assert label in found[5].split(","), label
+    table = spark.createDataFrame([("own", "you may keep this file for as long as you like it"), ("own", None), (None, "x")], "label string, text string")
+    own = license_scan.templates_of(table)
+    docs = spark.createDataFrame([(1, "Well: you may keep this file for as long as you like it!"), (2, "nothing")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.license_scan(docs, own).collect()} == {1: "own", 2: ""}
+    with pytest.raises(ValueError, match="at most"):
+        license_scan.templates_of(table, most=10)
+
+
+def test_repetitive_texts_take_time_in_proportion():
+    import time
+
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.BASE)
+    took = []
+    for n in (1000, 8000):
+        text = b"Licensed under the Apache License, Version 2.0 zz yy xx ww vv uu tt\n" * n
+        begun = time.perf_counter()
+        assert len(scanner.scan(text)[7]) == n
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 24 * took[0]
