@@ -8,9 +8,12 @@ token if and only if t and the last token before it stay apart when the two are
 know is therefore the longest suffix that begins some token and, for each place in it where a token can begin, the last
 token there and how the count there differs from the count here.
 
-A text is cut into chunks. A chunk's map is (head, count, tail): head and tail are the pretokens that the neighbours may
-still extend, count the tokens between them. Maps compose associatively, so the chunks of one text meet in a balanced tree
-(a parallel prefix scan whose last element is the whole text's map).
+A long text is cut into chunks, and so is a long pretoken within. A chunk of a pretoken has a state map: from the state in
+which the chunk is entered to the state in which it is left and the tokens in between. It is worked out from the start state,
+chunk by chunk independently; another entry state runs only until it meets that path, as two paths that are in one state at
+one place stay together. Maps compose associatively: a parallel prefix scan in a balanced tree, whose last element is the
+pretoken's map. Chunks of a text compose likewise: a pretoken boundary that no neighbour can move (EDGE) parts a chunk's open
+head and tail from the tokens between, which are the same for every entry state.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p
 
 #: Characters of a chunk.
 CHUNK = 1 << 16
-#: Entries of a worker's memo of pretokens, and of its transitions or pairs; what is full starts anew.
-MEMO, TRANSITIONS = 1_200_000, 800_000
+#: Bytes of a worker's memo of pretokens (longer ones than LONG characters are not kept), and entries of its transitions or
+#: pairs; what is full starts anew.
+MEMO, LONG, TRANSITIONS = 160 << 20, 64, 500_000
 LIMIT = 1024
 
 
@@ -61,6 +65,7 @@ class Transducer:
         self.begins = {t[:i] for t in self.tokens for i in range(1, len(t) + 1)}
         self.find = regex.compile(PRETOKEN).findall
         self.memo: dict[str, int] = {}
+        self.held = 0
         self._restart()
 
     def _restart(self) -> None:
@@ -109,21 +114,37 @@ class Transducer:
     def count_pretoken(self, word: str) -> int:
         if len(self.next) > TRANSITIONS or len(self.apart) > TRANSITIONS:
             self._restart()
-        state = total = 0
-        known = self.next.get
-        for byte in word.encode("utf-8", "replace"):
+        raw = word.encode("utf-8", "replace")
+        if len(raw) > CHUNK:
+            maps = [StateMap(self, raw[i : i + CHUNK]) for i in range(0, len(raw), CHUNK)]
+            while len(maps) > 1:
+                maps = [Composed(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+            return maps[0](0)[1]
+        return self.run(0, raw)[1]
+
+    def run(self, state: int, raw: bytes) -> tuple[int, int]:
+        """The state after the bytes, and the tokens that they add."""
+        total, known = 0, self.next.get
+        for byte in raw:
             state, delta = known(state << 8 | byte) or self._step(state, byte)
             total += delta
-        return total
+        return state, total
 
     def count_plain(self, text: str) -> int:
         """The tokens of a text without special strings."""
-        found, memo = self.find(text), self.memo
-        if len(memo) > MEMO:
+        found, memo, long_ = self.find(text), self.memo, {}
+        if self.held > MEMO:
             memo.clear()
+            self.held = 0
         for word in set(found):
             if word not in memo:
-                memo[word] = self.count_pretoken(word)
+                if len(word) > LONG:
+                    long_[word] = self.count_pretoken(word)
+                else:
+                    memo[word] = self.count_pretoken(word)
+                    self.held += 140 + 2 * len(word)
+        if long_:
+            return sum(long_[w] if len(w) > LONG else memo[w] for w in found)
         return sum(map(memo.__getitem__, found))
 
     def count(self, text: str) -> int:
@@ -144,48 +165,87 @@ class Transducer:
     # ------------------------------------------------------------------------------------------------- maps of chunks
 
     def chunk_map(self, text: str) -> ChunkMap:
-        """A pretoken always ends where white space follows another character, whatever stands to the left or right; the
-        first and the last such place part a chunk's head, middle and tail."""
+        """The first and the last place where a pretoken ends whatever stands to the left or right part a chunk's head, middle
+        and tail."""
         first = EDGE.search(text)
         if first is None:
-            return ChunkMap(text, None, "")
+            return ChunkMap((text,), None, ())
         back = len(text)
-        while (cut := EDGE_BACK.search(text, max(0, back - 512), len(text))) is None:
+        while (cut := EDGE.search(text, max(0, back - 512), len(text))) is None:
             back -= 512
         cuts = [m.start() + 1 for m in EDGE.finditer(text, max(0, cut.start()))]
         head, tail = first.start() + 1, max(cuts[-1] if cuts else 0, first.start() + 1)
-        return ChunkMap(text[:head], self.count_plain(text[head:tail]) if tail > head else 0, text[tail:])
+        return ChunkMap((text[:head],), self.count_plain(text[head:tail]) if tail > head else 0, (text[tail:],))
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
         if a.count is None and b.count is None:
-            joined = a.head + b.head
-            edge = EDGE.search(joined, max(0, len(a.head) - 1), len(a.head) + 1) if a.head and b.head else None
-            return ChunkMap(joined, None, "") if edge is None else ChunkMap(a.head, 0, b.head)
+            edge = EDGE.search(a.head[-1][-1:] + b.head[0][:1])
+            return ChunkMap(a.head + b.head, None, ()) if edge is None else ChunkMap(a.head, 0, b.head)
         if a.count is None:
-            return self._widen(a.head, b, left=True)
+            return ChunkMap(a.head + b.head, b.count, b.tail)
         if b.count is None:
-            return self._widen(b.head, a, left=False)
-        return ChunkMap(a.head, a.count + self.count_plain(a.tail + b.head) + b.count, b.tail)
+            return ChunkMap(a.head, a.count, a.tail + b.head)
+        return ChunkMap(a.head, a.count + self.joined(a.tail + b.head) + b.count, b.tail)
 
-    def _widen(self, open_text: str, m: ChunkMap, left: bool) -> ChunkMap:
-        if left:
-            return ChunkMap(open_text + m.head, m.count, m.tail)
-        return ChunkMap(m.head, m.count, m.tail + open_text)
+    def joined(self, parts: tuple[str, ...]) -> int:
+        """The tokens of what lies open between two edges."""
+        text = "".join(parts)
+        return self.count_plain(text) if text else 0
 
     def close(self, m: ChunkMap) -> int:
-        if m.count is None:
-            return self.count_plain(m.head) if m.head else 0
-        return self.count_plain(m.head) + m.count + (self.count_plain(m.tail) if m.tail else 0)
+        return self.joined(m.head) + (m.count or 0) + self.joined(m.tail)
+
+
+class StateMap:
+    """A chunk of a pretoken as a map from entry states to (exit state, tokens)."""
+
+    def __init__(self, t: Transducer, raw: bytes) -> None:
+        self.t, self.raw = t, raw
+        self.path, self.sums = [0], [0]
+        state = total = 0
+        for byte in raw:
+            state, delta = t.next.get(state << 8 | byte) or t._step(state, byte)
+            total += delta
+            self.path.append(state)
+            self.sums.append(total)
+        self.known = {0: (state, total)}
+
+    def __call__(self, entry: int) -> tuple[int, int]:
+        if entry not in self.known:
+            state, total = entry, 0
+            for i, byte in enumerate(self.raw, 1):
+                state, delta = self.t.next.get(state << 8 | byte) or self.t._step(state, byte)
+                total += delta
+                if state == self.path[i]:
+                    state, total = self.path[-1], total + self.sums[-1] - self.sums[i]
+                    break
+            self.known[entry] = state, total
+        return self.known[entry]
+
+
+class Composed:
+    """First one map, then another."""
+
+    def __init__(self, first: StateMap | Composed, then: StateMap | Composed) -> None:
+        self.first, self.then = first, then
+
+    def __call__(self, entry: int) -> tuple[int, int]:
+        between, n = self.first(entry)
+        state, m = self.then(between)
+        return state, n + m
 
 
 class ChunkMap(NamedTuple):
-    head: str
+    """What a chunk of a text does between its neighbours; the open parts are strings in pieces. count is None without an edge,
+    when all of it is open."""
+
+    head: tuple[str, ...]
     count: int | None
-    tail: str
+    tail: tuple[str, ...]
 
 
-EDGE = regex.compile(rf"[^{WHITE}](?=[{WHITE}])")
-EDGE_BACK = EDGE
+#: The character before a place where a pretoken ends, whatever stands around the two.
+EDGE = regex.compile(rf"[^{WHITE}](?=[{WHITE}])|\p{{L}}(?=[^{WHITE}\p{{L}}])|\p{{N}}(?=[^{WHITE}\p{{N}}])|[^{WHITE}\p{{L}}\p{{N}}](?=\p{{N}})|[^{WHITE}\p{{L}}\p{{N}}'](?=\p{{L}})")
 
 
 _compiled: dict[str, Transducer] = {}
@@ -200,7 +260,8 @@ def transducer(tokenizer_file: str) -> Transducer:
 
 def token_counts(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for every row, without a shuffle. Null and empty texts have no tokens; keys may
-    repeat or be null; other columns are not read."""
+    repeat or be null; other columns, of whatever name, are not read. Very long texts and pretokens are counted whole, chunk by
+    chunk, in time in proportion to their length and within one task. An empty table gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(tokenizer_file)

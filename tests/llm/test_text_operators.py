@@ -39,7 +39,7 @@ def test_chunk_maps_compose(monkeypatch, chunk):
 
     monkeypatch.setattr(token_counts, "CHUNK", chunk)
     t, lib = token_counts.transducer(BPE), Tokenizer.from_file(BPE)
-    for s in noise(chunk, 400, [*"ab 'st\n\t l1é　\x1c\x85日!\r", "<|endoftext|>", "   ", "'ll", "hello", " the"]):
+    for s in noise(chunk, 600, [*"ab 'st\n\t l1é　\x1c\x85日!\r", "<|endoftext|>", "   ", "'ll", "hello", " the", "日本語の", "12", "==", "''"]):
         assert t.count(s) == len(lib.encode(s, add_special_tokens=False).ids), repr(s)
 
 
@@ -234,3 +234,22 @@ def test_repetitive_texts_take_time_in_proportion():
         assert len(scanner.scan(text)[7]) == n
         took.append(time.perf_counter() - begun)
     assert took[1] < 24 * took[0]
+
+
+def test_state_maps_of_a_long_pretoken(monkeypatch):
+    """A map gives for every entry state what a run from there gives, and composed maps the count of the whole."""
+    from tokenizers import Tokenizer
+
+    t, lib = token_counts.Transducer(BPE), Tokenizer.from_file(BPE)
+    rng = random.Random(3)
+    words_ = ["".join(rng.choice(["the", "token", "ization", "xq", "日本", "é"]) for _ in range(300)), "=" * 1001, "ab" * 700]
+    for w in words_:
+        raw = w.encode()
+        states = [t.run(0, raw[:i])[0] for i in range(0, 90, 7)]
+        for begin in (0, 100, 333):
+            chunk = raw[begin : begin + 200]
+            m = token_counts.StateMap(t, chunk)
+            assert [m(s) for s in states] == [t.run(s, chunk) for s in states]
+        for size in (5, 64, 300):
+            monkeypatch.setattr(token_counts, "CHUNK", size)
+            assert t.count_pretoken(w) == len(lib.encode(w, add_special_tokens=False).ids)
