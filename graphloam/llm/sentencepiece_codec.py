@@ -6,8 +6,11 @@ are merged together. So an arc of the lattice is a piece that ends here and stay
 begins; exactly one arc into each position lives, the maximum over the arcs finds it, and back pointers give the ids.
 
 No piece has a space mark after another character, so words (space marks and what follows) are encoded one by one. New words
-of a batch are grouped by length; all words of a group advance together by one character. Substrings are probed by their
-hash in the sorted hashes of the pieces. Characters without a piece become the pieces of their UTF-8 bytes.
+of a batch are grouped by length; all words of a group advance together by one character. Longer words (a text without spaces
+is one) are cut into stretches that begin WARM characters early and advance together like words of one length; a stretch that
+gives the same pieces as the one before it over a piece's length is exact from there on. Where a word has a stretch that does
+not (a run of one character, say), the lattice goes through that word alone. Substrings are probed by their hash in the sorted
+hashes of the pieces. Characters without a piece become the pieces of their UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from graphloam.llm.common import documents, mix, small_batches
 
 MARK = "▁"
-#: Words that a worker remembers; longer words are encoded one at a time, with the same lattice.
-MEMO, LONG_WORD = 800_000, 64
+#: Bytes of the words that a worker remembers; longer words are not kept.
+MEMO, LONG_WORD = 160 << 20, 64
+#: Characters that a stretch of a long word adds, and those that it begins early; stretches that advance together.
+STRETCH, WARM, TOGETHER = 512, 96, 1024
 #: Slots of the cache of pairs of pieces, and of the table that rules out most substrings before their hash is searched.
 PAIRS, MAYBE = 1 << 20, 1 << 21
 #: Characters that are encoded together.
@@ -36,6 +41,7 @@ class Codec:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        check_model(sp.serialized_model_proto())
         n = sp.get_piece_size()
         self.bytes_at = next((i for i in range(n) if sp.is_byte(i)), None)
         self.unknown_id = sp.unk_id()
@@ -59,6 +65,7 @@ class Codec:
         self.maybe[self.keys & np.uint64(MAYBE - 1)] = True
         self.pair_key, self.pair_ok = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         self.memo: dict[str, bytes] = {}  # word -> its ids, four bytes each
+        self.held = 0
 
     @staticmethod
     def _hash_rows(codes: np.ndarray) -> np.ndarray:
@@ -104,10 +111,9 @@ class Codec:
         out[rows[same]] = self.key_ids[at[same]]
         return out
 
-    def viterbi(self, words: list[str]) -> list[bytes]:
-        """The ids of words of one length, four bytes each."""
-        n, length = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).reshape(n, length).astype(np.uint64)
+    def lattice(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of characters: the piece that ends at each place on the best path there, and its length."""
+        n, length = codes.shape
         total = np.zeros((n, length + 1), np.uint64)
         power = np.cumprod(np.concatenate(([np.uint64(1)], np.full(self.longest, _BASE))), dtype=np.uint64)
         for j in range(length):
@@ -126,6 +132,12 @@ class Codec:
                     if not len(left := np.delete(left, lives)):
                         break
             last[:, i], step[:, i] = token, best
+        return last, step
+
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """The ids of words of one length, four bytes each."""
+        n, length = len(words), len(words[0])
+        last, step = self.lattice(_codes("".join(words)).reshape(n, length))
         # all words walk back together; ids fill a row from its end
         ids, at, begin = np.zeros((n, length), np.int32), np.full(n, length), np.full(n, length)
         live = np.arange(n)
@@ -151,9 +163,40 @@ class Codec:
         """The ids of a character without a piece."""
         return [self.unknown_id] if self.bytes_at is None else [self.bytes_at + b for b in char.encode("utf-8", "replace")]
 
-    def long_word(self, word: str) -> bytes:
-        """The same lattice for one word."""
-        last, step = [-1] * (len(word) + 1), [0] * (len(word) + 1)
+    def long_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words of any length, by stretches."""
+        warm = max(WARM, 2 * self.longest)
+        width, codes = STRETCH + warm, [_codes(w) for w in words]
+        places = [(k, begin) for k, c in enumerate(codes) for begin in range(0, max(1, len(c) - warm), STRETCH)]
+        tokens = [np.full(len(c) + 1, -1, np.int64) for c in codes]
+        exact = [True] * len(words)
+        for at in range(0, len(places), TOGETHER):
+            part = places[at : at + TOGETHER]
+            rows = np.full((len(part), width), _NO_CHARACTER, np.uint64)
+            for r, (k, begin) in enumerate(part):
+                own = codes[k][begin : begin + width]
+                rows[r, : len(own)] = own
+            last, _ = self.lattice(rows)
+            for r, (k, begin) in enumerate(part):
+                end = min(width, len(codes[k]) - begin)
+                if begin:  # the stretch before has reached begin + warm
+                    same = slice(warm - self.longest + 1, warm + 1)
+                    exact[k] &= bool((last[r, same] == tokens[k][begin:][same]).all())
+                    tokens[k][begin + warm + 1 : begin + end + 1] = last[r, warm + 1 : end + 1]
+                else:
+                    tokens[k][: end + 1] = last[r, : end + 1]
+        return [self._walk(w, t.tolist()) if ok else self.alone(w) for w, t, ok in zip(words, tokens, exact, strict=True)]
+
+    def _walk(self, word: str, last: list[int]) -> bytes:
+        i, found = len(word), []
+        while i > 0:
+            found.append(last[i])
+            i -= 1 if last[i] == self.none else len(self.text[last[i]])
+        return self._with_bytes(word, found[::-1])
+
+    def alone(self, word: str) -> bytes:
+        """The same lattice for one word, place by place."""
+        last = [-1] * (len(word) + 1)
         known: dict[tuple[int, int], bool] = {}
         for i in range(1, len(word) + 1):
             for size in range(min(i, self.longest), 0, -1):
@@ -164,37 +207,87 @@ class Codec:
                 if pair not in known:
                     known[pair] = bool(self.apart(np.array([pair[0]]), np.array([t]))[0])
                 if known[pair]:
-                    last[i], step[i] = t, size
+                    last[i] = t
                     break
-        i, found = len(word), []
-        while i > 0:
-            found.append(last[i])
-            i -= max(1, step[i])
-        return self._with_bytes(word, found[::-1])
+        return self._walk(word, last)
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that are new."""
-        if len(self.memo) > MEMO:
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Encodes the words that are new; returns those that are too long to be kept."""
+        if self.held > MEMO:
             self.memo.clear()
+            self.held = 0
         new = words.difference(self.memo) if self.memo else words
         by: dict[int, list[str]] = {}
+        long_ = []
         for w in new:
-            by.setdefault(len(w), []).append(w)
-        for length, group in by.items():
+            if len(w) > LONG_WORD:
+                long_.append(w)
+            else:
+                by.setdefault(len(w), []).append(w)
+        for group in by.values():
             for i in range(0, len(group), 20_000):
                 part = group[i : i + 20_000]
-                self.memo.update(zip(part, self.viterbi(part) if length <= LONG_WORD else map(self.long_word, part), strict=True))
+                self.memo.update(zip(part, self.viterbi(part), strict=True))
+                self.held += len(part) * (200 + 4 * len(part[0]))
+        return dict(zip(long_, self.long_words(long_), strict=True)) if long_ else {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in split]
+        long_ = self.learn(set().union(*split))
+        if not long_:
+            return [np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32) for words in split]
+        return [np.frombuffer(b"".join([long_[w] if len(w) > LONG_WORD else self.memo[w] for w in words]), np.int32) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+
+
+#: Stands for no character behind the end of a word.
+_NO_CHARACTER = np.uint64(0x110000)
+
+
+def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a serialised protocol buffer: a number, or bytes."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, message[at : at + size]
+            at += size
+
+
+def check_model(serialised: bytes) -> None:
+    """Raises for a model that this lattice would encode otherwise than its library: one that is not of the type BPE, or one
+    that normalises texts in another way than by a space before and marks for spaces."""
+    # Field numbers of the model's messages, and their defaults.
+    model = dict(_fields(serialised))
+    trainer, normaliser = dict(_fields(model.get(2, b""))), dict(_fields(model.get(3, b"")))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("only models of the type BPE")
+    if normaliser.get(2, b"") or not normaliser.get(3, 1) or normaliser.get(4, 1) or not normaliser.get(5, 1):
+        raise ValueError("only models without a normalisation of their own")
+
+
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _codecs: dict[str, Codec] = {}
 
@@ -208,7 +301,9 @@ def codec(model_file: str) -> Codec:
 def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, token_ids, n_tokens, round_trip) for every row, without a shuffle; round_trip: decoding gives the text again.
 
-    Null and empty texts have no ids. A text with the space mark itself is encoded as the library does, which decodes it as
+    Null and empty texts have no ids. Keys may be null and repeat; other columns, of whatever name, are not read; an empty table
+    gives no rows. Very long texts and words are encoded whole, in time in proportion to their length. Ties of BPE go to the
+    leftmost pair, as in the library. A text with the space mark itself is encoded as the library does, which decodes it as
     a space: round_trip is false there.
     """
 

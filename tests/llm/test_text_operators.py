@@ -253,3 +253,31 @@ def test_state_maps_of_a_long_pretoken(monkeypatch):
         for size in (5, 64, 300):
             monkeypatch.setattr(token_counts, "CHUNK", size)
             assert t.count_pretoken(w) == len(lib.encode(w, add_special_tokens=False).ids)
+
+
+def test_long_words_go_through_the_lattice_in_stretches(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    c = sentencepiece_codec.Codec(PIECES)
+    rng = random.Random(1)
+    cjk = "".join(rng.choice("日本語の文章は空白を含まないことが多い。、今日天気良") for _ in range(5000))
+    latin = "".join(rng.choice(["the", "token", "ization", "xq", "é", "12"]) for _ in range(2000))
+    alone, calls = c.alone, []
+    monkeypatch.setattr(c, "alone", lambda w: calls.append(w) or alone(w))
+    texts = [cjk, latin, "ab" * 800, "x" * 700 + cjk[:600], *(cjk[:n] for n in (607, 608, 609, 1120, 1121)), latin[:63], latin[:64], latin[:65], "aé" * 400 + latin[:700]]
+    assert [x.tolist() for x in c.encode(texts)] == [sp.encode(t) for t in texts]
+    assert len(calls) <= 1
+    runs = ["=" * 3000, "\n" * 1500 + "z"]
+    assert [x.tolist() for x in c.encode(runs)] == [sp.encode(t) for t in runs]
+    assert not any(len(w) > sentencepiece_codec.LONG_WORD for w in c.memo)
+
+
+def test_other_models_are_refused():
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=PIECES).serialized_model_proto()
+    sentencepiece_codec.check_model(own)
+    for trainer, normaliser in ((b"\x18\x01", b""), (b"", b""), (b"\x18\x02", b"\x12\x02ab\x18\x01\x20\x00"), (b"\x18\x02", b"\x18\x01\x20\x01"), (b"\x18\x02", b"\x18\x00\x20\x00")):
+        with pytest.raises(ValueError, match="only models"):
+            sentencepiece_codec.check_model(b"\x12" + bytes([len(trainer)]) + trainer + b"\x1a" + bytes([len(normaliser)]) + normaliser)
