@@ -34,31 +34,114 @@ class Token(NamedTuple):
 
 
 _TOKEN = re.compile(
-    r"(?P<skip>//[^\n]*|/\*.*?(?:\*/|\Z)|\s+)|(?P<string>\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|\$\{(?:[^{}`]|\{[^{}]*\})*\}|[^`\\])*`?)|(?P<word>[\w$@#]+)|(?P<mark>=>|\?\.|\.\.\.|.)", re.S
+    r"(?P<skip>//[^\n]*|/\*.*?(?:\*/|\Z)|\s+)|(?P<string>\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|(?P<word>[\w$@#]+)|(?P<mark>=>|\?\.|\.\.\.|.)", re.S
 )
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_TAG = re.compile(r"<(?:>|[A-Za-z_$][\w$.:-]*(?=[\s/>]))")
+#: Words behind which an operand follows.
+_BEFORE_OPERAND = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "await", "yield", "default", "extends"}
 
 
-def scan(source: str) -> list[Token]:
-    out, line = [], 1
-    for m in _TOKEN.finditer(source):
-        if m.lastgroup != "skip":
-            out.append(Token(m.lastgroup, m[0], line, m.start(), m.end()))
-        line += m[0].count("\n")
-    return out
+class Unbalanced(ValueError):
+    """A bracket, template or element that is not closed, or closes nothing."""
+
+
+class Lexer:
+    """Tokens of a source. expressions: a slash may begin a regular expression and a backquote a template (which may hold
+    expressions, and these templates); jsx: an angle bracket where an operand is due begins an element, which is one token."""
+
+    def __init__(self, source: str, expressions: bool, jsx: bool) -> None:
+        self.source, self.expressions, self.jsx = source, expressions, jsx
+
+    def tokens(self) -> list[Token]:
+        return self._run(0, False)[0]
+
+    def _line(self, at: int) -> int:
+        return self.source.count("\n", 0, at) + 1
+
+    def _run(self, at: int, one_block: bool) -> tuple[list[Token], int]:
+        """Tokens from a place to the end; or, if a brace opens there, to behind the one that closes it."""
+        source, out, line, depth, begun = self.source, [], 1, 0, at
+        while at < len(source):
+            c, kind = source[at], "string"
+            if c == "`" and self.expressions:
+                end = self._template(at)
+            elif c == "/" and self.expressions and self._operand_due(out) and (m := _REGEX.match(source, at)):
+                end = m.end()
+            elif c == "<" and self.jsx and self._operand_due(out) and _TAG.match(source, at):
+                end = self._element(at)
+            else:
+                m = _TOKEN.match(source, at)
+                kind, end = m.lastgroup, m.end()
+            if kind != "skip":
+                out.append(Token(kind, source[at:end], line, at, end))
+            line += source.count("\n", at, end)
+            at = end
+            if one_block and kind == "mark":
+                depth += {"{": 1, "}": -1}.get(c, 0)
+                if not depth:
+                    return out, at
+        if one_block:
+            raise Unbalanced(f"line {self._line(begun)}: a brace stays open")
+        return out, at
+
+    @staticmethod
+    def _operand_due(before: list[Token]) -> bool:
+        if not before:
+            return True
+        last = before[-1]
+        return last.text in _BEFORE_OPERAND if last.kind == "word" else last.kind == "mark" and last.text not in {")", "]", "<"}
+
+    def _template(self, at: int) -> int:
+        begun, at = at, at + 1
+        while at < len(self.source):
+            if self.source[at] == "`":
+                return at + 1
+            if self.source.startswith("${", at):
+                at = self._run(at + 1, True)[1]
+            else:
+                at += 2 if self.source[at] == "\\" else 1
+        raise Unbalanced(f"line {self._line(begun)}: a template stays open")
+
+    def _element(self, at: int) -> int:
+        source, begun, at = self.source, at, _TAG.match(self.source, at).end()
+        if source[at - 1] != ">":
+            while not source.startswith((">", "/>"), at):  # attributes
+                if at >= len(source):
+                    raise Unbalanced(f"line {self._line(begun)}: a tag stays open")
+                if source[at] in "\"'":
+                    at = source.find(source[at], at + 1) + 1 or len(source)
+                else:
+                    at = self._run(at, True)[1] if source[at] == "{" else at + 1
+            if source.startswith("/>", at):
+                return at + 2
+            at += 1
+        while at < len(source):  # children
+            if source.startswith("</", at):
+                return source.find(">", at) + 1 or len(source)
+            if source[at] == "{":
+                at = self._run(at, True)[1]
+            else:
+                at = self._element(at) if _TAG.match(source, at) else at + 1
+        raise Unbalanced(f"line {self._line(begun)}: an element stays open")
 
 
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
 def partners(tokens: list[Token]) -> dict[int, int]:
-    """The closing bracket of each opening one; the last token for one that stays open."""
+    """The closing bracket of each opening one; raises if there are brackets without a partner."""
     out, stack = {}, []
     for i, t in enumerate(tokens):
         if t.kind == "mark" and t.text in _OPEN:
             stack.append(i)
-        elif t.kind == "mark" and t.text in _CLOSE and stack:
+        elif t.kind == "mark" and t.text in _CLOSE:
+            if not stack or _OPEN[tokens[stack[-1]].text] != t.text:
+                raise Unbalanced(f"line {t.line}: {t.text} closes nothing")
             out[stack.pop()] = i
-    return out | {i: len(tokens) - 1 for i in stack}
+    if stack:
+        raise Unbalanced(f"line {tokens[stack[-1]].line}: {tokens[stack[-1]].text} stays open")
+    return out
 
 
 def after_angles(tokens: list[Token], i: int) -> int:
@@ -78,7 +161,8 @@ class Braced:
 
     def __init__(self, source: str, path: str) -> None:
         self.source, self.path = source, path
-        self.t = scan(source)
+        script = isinstance(self, TypeScript)
+        self.t = Lexer(source, script, script and path.endswith((".tsx", ".jsx", ".js"))).tokens()
         self.close = partners(self.t)
 
     def is_(self, i: int, *texts: str) -> bool:

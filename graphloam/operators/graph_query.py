@@ -10,6 +10,8 @@ STRUCTURAL_TYPES = ["repository", "service", "module", "file", "controller", "ap
 CLIENT_TYPES = ["repository", "service", "module", "controller"]
 SMART_LOAD, CLIENT_LOAD, PAGE = 2000, 2000, 5000
 MAX_HOPS = 10
+#: Ids up to this many are broadcast; more are joined.
+BROADCAST_IDS = 100_000
 NODE = ["id", "type", "label", "repositoryId", "filePath", "metadataJson"]
 
 
@@ -79,10 +81,15 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     spark = edges.sparkSession
     from graphloam.plans.durable import Tables
 
-    tables = Tables(spark)
     empty = spark.createDataFrame([], "position int, nodeId string, edgeId string")
     if source == target:
         return empty
+    with Tables(spark) as tables:
+        return _walk(tables, nodes, edges, source, target, max_hops, empty)
+
+
+def _walk(tables, nodes: DataFrame, edges: DataFrame, source: str, target: str, max_hops: int, empty: DataFrame) -> DataFrame:  # noqa: ANN001
+    spark = edges.sparkSession
     visited = spark.createDataFrame([(source,)], "id string")
     frontier, levels = visited, []
     steps = edges.join(nodes.select(F.col("id").alias("targetId")), "targetId", "left_semi").select(F.col("sourceId").alias("s"), F.col("targetId").alias("t"), F.col("id").alias("e"))
@@ -105,15 +112,32 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
 
 
 def hop_counts(edges: DataFrame, source: str, max_hops: int = MAX_HOPS) -> DataFrame:
-    """J9 for all targets: (nodeId, hops), as one recursive plan. For acyclic edges; a cycle is walked up to max_hops."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("__hop_edges")
-    return spark.sql(
-        """WITH RECURSIVE walk(id, hops) AS (
-             SELECT :source, 0 UNION ALL SELECT e.targetId, w.hops + 1 FROM walk w JOIN __hop_edges e ON e.sourceId = w.id WHERE w.hops < :most)
-           SELECT id AS nodeId, min(hops) AS hops FROM walk WHERE hops > 0 GROUP BY id""",
-        {"source": source, "most": max_hops},
-    )
+    """J9 for all targets: (nodeId, hops) of what 1 to max_hops edges reach; the source itself if a cycle leads back to it.
+
+    By levels: a level's nodes are those behind the edges of the one before that no level had. Each is written, so that work
+    grows with the edges that are reached and not with the number of walks."""
+    from graphloam.plans.durable import Tables
+
+    spark, levels = edges.sparkSession, []
+    tables = Tables(spark)
+    steps = edges.select(F.col("sourceId").alias("id"), F.col("targetId").alias("nodeId")).where("id is not null and nodeId is not null")
+    frontier, small = spark.createDataFrame([(source,)], "id string"), True
+    for hop in range(1, max_hops + 1):
+        level = steps.join(F.broadcast(frontier) if small else frontier, "id", "left_semi").select("nodeId").distinct()
+        for before in levels:
+            level = level.join(before, "nodeId", "left_anti")
+        level = tables.write(level)
+        n = level.count()
+        if not n:
+            break
+        levels.append(level)
+        frontier, small = level.withColumnRenamed("nodeId", "id"), n <= BROADCAST_IDS
+        if hop == max_hops:
+            break
+    out = spark.createDataFrame([], "nodeId string, hops int")
+    for hop, level in enumerate(levels, 1):
+        out = out.unionByName(level.withColumn("hops", F.lit(hop)))
+    return out
 
 
 def nodes_for_files(nodes: DataFrame, paths: DataFrame, repository: str | None = None) -> DataFrame:
@@ -131,10 +155,20 @@ def callers_of(nodes: DataFrame, edges: DataFrame, paths: DataFrame, repository:
 def expand_undirected(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, repository: str | None = None) -> DataFrame:
     """(hop, node columns) of the anchors (column id; hop 0) and what one or two edges reach, whatever their
     direction. Ends are in the repository, the node between need not be."""
-    both = edges.select(F.col("sourceId").alias("a"), F.col("targetId").alias("b")).unionByName(edges.select(F.col("targetId").alias("a"), F.col("sourceId").alias("b"))).distinct()
-    start = anchors.select("id").distinct().join(in_repository(nodes, repository).select("id"), "id", "left_semi")
-    one = start.join(both, start["id"] == both["a"]).select(F.col("b").alias("id")).distinct()
-    two = one.join(both, one["id"] == both["a"]).select(F.col("b").alias("id")).distinct()
+    from graphloam.plans.durable import Tables
+
+    tables = Tables(edges.sparkSession)
+
+    def around(frontier: DataFrame) -> DataFrame:
+        """What one edge reaches from a written frontier, which is broadcast if it is small."""
+        ids = F.broadcast(frontier) if frontier.count() <= BROADCAST_IDS else frontier
+        ways = [edges.join(ids.select(F.col("id").alias(a)), a, "left_semi").select(F.col(b).alias("id")) for a, b in (("sourceId", "targetId"), ("targetId", "sourceId"))]
+        return ways[0].unionByName(ways[1]).distinct()
+
+    known = anchors.select("id").distinct()
+    start = tables.write(in_repository(nodes, repository).select("id").join(F.broadcast(known) if known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else known, "id", "left_semi"))
+    one = tables.write(around(start))
+    two = around(one)
     hops = start.withColumn("hop", F.lit(0)).unionByName(one.withColumn("hop", F.lit(1))).unionByName(two.withColumn("hop", F.lit(2))).groupBy("id").agg(F.min("hop").alias("hop"))
     return hops.join(in_repository(nodes, repository).select(*NODE), "id").select("hop", *NODE)
 

@@ -6,12 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the force model.
 TICKS, CHARGE, LINK, LINK_STRENGTH, COLLIDE, SPACING = 300, -260.0, 90.0, 0.35, 42.0, 12.0
 GOLDEN = math.pi * (3 - math.sqrt(5))
+#: Nodes of one layout; a tick holds some arrays of their square.
+MOST_NODES = 5000
 
 
 def spiral(ordinal: Column) -> Column:
@@ -28,6 +30,8 @@ def grid(ordinal: Column, columns: int = 10, width: float = 220.0, height: float
 def relax(n: int, links: list[tuple[int, int]], ticks: int = TICKS) -> np.ndarray:
     """Positions of n nodes under repulsion, springs and collision, from the spiral; the same input gives the same result.
     The work of a tick is n * n, so one repository's visible page is the unit."""
+    if n > MOST_NODES:
+        raise ValueError(f"{n} nodes; a page of {MOST_NODES} at most is laid out")
     i = np.arange(n)
     at = np.column_stack([SPACING * np.sqrt(i) * np.cos(i * GOLDEN), SPACING * np.sqrt(i) * np.sin(i * GOLDEN)])
     speed, alpha, decay = np.zeros((n, 2)), 1.0, 1 - 0.001 ** (1 / max(1, ticks))
@@ -55,10 +59,12 @@ def relax(n: int, links: list[tuple[int, int]], ticks: int = TICKS) -> np.ndarra
 
 
 def force_layout(nodes: DataFrame, edges: DataFrame, ticks: int = TICKS) -> DataFrame:
-    """(repositoryId, id, x, y), a layout for each repository. Self loops and dangling edges have no effect."""
+    """(repositoryId, id, x, y), a layout for each repository: of its first MOST_NODES nodes by id by force, as a page shows
+    them; the others follow on the spiral, so every node has a place. Self loops and dangling edges have no effect."""
     schema = "repositoryId string, id string, x double, y double"
-    own = nodes.select("repositoryId", "id")
-    inside = edges.join(own.select(F.col("repositoryId").alias("repo"), F.col("id").alias("sourceId")), "sourceId").select("repo", "sourceId", "targetId")
+    every = nodes.select("repositoryId", "id").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("repositoryId").orderBy("id")) - 1)
+    own, rest = every.where(F.col("rank") < MOST_NODES).drop("rank"), every.where(F.col("rank") >= MOST_NODES)
+    inside = edges.join(own.select(F.col("repositoryId").alias("repo"), F.col("id").alias("sourceId")), "sourceId").join(own.select(F.col("repositoryId").alias("repo"), F.col("id").alias("targetId")), ["repo", "targetId"], "left_semi").select("repo", "sourceId", "targetId")
 
     def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(n.id.unique())
@@ -67,4 +73,5 @@ def force_layout(nodes: DataFrame, edges: DataFrame, ticks: int = TICKS) -> Data
         at = relax(len(ids), links, ticks)
         return pd.DataFrame({"repositoryId": key[0], "id": ids, "x": at[:, 0], "y": at[:, 1]})
 
-    return own.groupBy("repositoryId").cogroup(inside.groupBy("repo")).applyInPandas(run, schema)
+    far = spiral(F.col("rank"))
+    return own.groupBy("repositoryId").cogroup(inside.groupBy("repo")).applyInPandas(run, schema).unionByName(rest.select("repositoryId", "id", far["x"].alias("x"), far["y"].alias("y")))

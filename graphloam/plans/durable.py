@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_base: list[str] = []
+
+
 class Tables:
+    """write() gives a table that is read from the shared folder; drop() deletes one, close() all, and the end of the process
+    what is left. As a context manager it closes at its end: what was planned on its tables has to be done by then."""
+
     def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+        self.spark, self.live = spark, {}
         self.base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not self.base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-            self.base = "file://" + tempfile.mkdtemp(prefix="graphloam-")
-            spark.conf.set("spark.checkpoint.dir", self.base)
+            if not _own_base:
+                _own_base.append("file://" + tempfile.mkdtemp(prefix="graphloam-"))
+            self.base = _own_base[0]
+        atexit.register(self.close)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/graphloam/{uuid.uuid4().hex}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.live[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.live.pop(id(t))[0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def close(self) -> None:
+        try:
+            self.drop(*(t for _, t in list(self.live.values())))
+        except Exception:  # noqa: BLE001  at the end of the process the session may be gone
+            return

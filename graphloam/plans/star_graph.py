@@ -20,6 +20,21 @@ def _node(rows: DataFrame, node_id: Column, kind: str, label: Column, repository
     return out.withColumn("metadataJson", F.concat(F.lit('{"path":"'), "filePath", F.lit('"}')))
 
 
+_stored: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph's nodes and edges as tables, which are derived once for a session and a directory and then read: filters on
+    type, repository and path reach the scan."""
+    from graphloam.plans.durable import Tables
+
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stored:
+        tables = Tables(spark)
+        _stored[key] = tables.write(star_nodes(spark, sf_dir)), tables.write(star_edges(spark, sf_dir))
+    return _stored[key]
+
+
 def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = {n: _table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
     region_of = t["nation"].select("n_nationkey", "n_regionkey", "n_name")

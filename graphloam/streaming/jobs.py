@@ -5,10 +5,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from graphloam.schemas import JOBS
 
 # Attempts and the first pause, doubled each time.
 ATTEMPTS, PAUSE_MS = 3, 5000
+#: Files of the jobs table that a batch takes.
+FILES_A_BATCH = 16
+DONE = "jobId string, status string"
 
 
 class Unrecoverable(RuntimeError):
@@ -30,17 +35,35 @@ def with_retries(work: Callable[[], None], attempts: int = ATTEMPTS, pause_ms: i
     raise AssertionError
 
 
-def start_worker(jobs: DataFrame, work: Callable[[dict], None], checkpoint: str, failed: Callable[[dict, Exception], None] = lambda *_: None, once: bool = True):  # noqa: ANN201
-    """Runs the jobs of a stream one after the other; a failure is told to `failed` after the last attempt. A batch
-    is a bounded number of jobs, fetched row by row."""
+def job_stream(spark: SparkSession, path: str, files: int = FILES_A_BATCH) -> DataFrame:
+    """The jobs table as a stream, `files` files a batch at most."""
+    return spark.readStream.schema(JOBS).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
+
+
+def start_worker(jobs: DataFrame, work: Callable[[dict], None], checkpoint: str, failed: Callable[[dict, Exception], None] = lambda *_: None, once: bool = True, done: str | None = None):  # noqa: ANN201
+    """Runs the jobs of a stream one after the other; a failure is told to `failed` after the last attempt. The source
+    bounds a batch (see job_stream()); its jobs are fetched row by row. done: a folder that takes a row for each finished job,
+    so that a batch that runs again after a failure leaves out what was finished."""
+    from graphloam.operators.mutate import delete_by_keys
+
+    def finished() -> DataFrame:
+        spark = jobs.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(done)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        return spark.read.schema(DONE).parquet(done) if there else spark.createDataFrame([], DONE)
 
     def batch(rows: DataFrame, _: int) -> None:
+        if done:
+            rows = delete_by_keys(rows, finished().select("jobId"))[0]
         for row in rows.orderBy("jobId").toLocalIterator():
-            job = row.asDict()
+            job, status = row.asDict(), "DONE"
             try:
                 with_retries(lambda job=job: work(job))
             except Exception as e:  # noqa: BLE001  the queue goes on with the next job
+                status = "FAILED"
                 failed(job, e)
+            if done:
+                jobs.sparkSession.createDataFrame([(job["jobId"], status)], DONE).write.mode("append").parquet(done)
 
     writer = jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()

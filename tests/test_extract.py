@@ -100,3 +100,48 @@ def test_parsed_store_round_trip(spark, tmp_path):
     assert back.first()["functions"][0]["name"] == "f"
     assert tree.read_parsed(spark, str(tmp_path / "ast"), "r", "none.ts").count() == 0
     assert spark.read.parquet(str(tmp_path / "ast")).first()["astName"] == "a.ts.json"
+
+
+REGEXES = """import a from 'a'
+const tick = /`/;
+const brackets = /[{/]/g, divided = 4 / 2 / 1;
+export class One { m() { return /\\/[(]`/.test(x) ? 1 : 2 } }
+const nested = `a ${f(`b ${ {c: `}`}.c } }`)} ${"}"} {`
+export function two(x: string) { return x.replace(/'/g, "{") }
+class Three { n() { return a / b } }
+"""
+JSX = """import React from 'react'
+export default function App({ items }) {
+  const less = items.length < 3
+  return (
+    <main className="a>b" {...rest}>
+      Don't close } here
+      {items.map((i) => <Row key={i.id} text={`${i.name}}`} />)}
+      <></>
+    </main>
+  )
+}
+export class After extends React.Component { render() { return <p>it's {"}"}</p> } }
+"""
+
+
+def test_regexes_and_nested_templates():
+    f = extract.facts("typescript", REGEXES, "a.ts")
+    assert [c["name"] for c in f["classes"]] == ["One", "Three"] and [x["name"] for x in f["functions"]] == ["two"]
+    assert [m["name"] for c in f["classes"] for m in c["methods"]] == ["m", "n"] and len(f["exports"]) == 2
+    assert [(c["location"]["startLine"], c["location"]["endLine"]) for c in f["classes"]] == [(4, 4), (7, 7)]
+
+
+def test_elements_in_expressions():
+    f = extract.facts("typescript", JSX, "a.tsx")
+    assert [(x["name"], x["location"]["startLine"], x["location"]["endLine"]) for x in f["functions"]] == [("App", 2, 11)]
+    assert [(c["name"], c["extends"], [m["name"] for m in c["methods"]]) for c in f["classes"]] == [("After", "React.Component", ["render"])]
+    assert [i["source"] for i in f["imports"]] == ["react"]
+
+
+def test_unbalanced_files_are_errors(spark):
+    bad = ["class A { m() {", "const a = `open ${b", "f(]", "}", "const x = <p>never closed"]
+    rows = [("r", f"f{i}.tsx", t, "h") for i, t in enumerate(bad)] + [("r", "good.tsx", "class B {}", "h")]
+    out = {r["path"]: r for r in extract.parse(spark.createDataFrame(rows, "repositoryId string, path string, content string, contentHash string")).collect()}
+    assert all("Unbalanced" in out[f"f{i}.tsx"]["error"] and not out[f"f{i}.tsx"]["classes"] for i in range(len(bad)))
+    assert out["good.tsx"]["error"] is None and out["good.tsx"]["classes"][0]["name"] == "B"
