@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloam.operators import retrieval, vectors
+from graphloam.operators.mutate import update_by_key
+from graphloam.schemas import MESSAGES
 
 # Fixed values.
 PROMPT_NODES, PROMPT_CHUNKS, MAX_TOKENS, REFERENCES = 30, 8, 600, 5
@@ -37,11 +42,30 @@ def offline_llm(prompt: str, max_tokens: int = MAX_TOKENS, temperature: float =
     return f"({len(prompt)} characters of context, at most {max_tokens} tokens)"
 
 
+def store_answer(spark: SparkSession, path: str, session: str, question: str, result: dict, at: datetime) -> None:
+    """Adds a question and its answer to the messages of a session, with intent, references and duration. The ids come
+    from session and time, so that storing again gives the same rows."""
+    one = lambda role: hashlib.sha256(f"{session}|{at.isoformat()}|{role}".encode()).hexdigest()
+    rows = [
+        (one("user"), session, "user", question, None, [], None, None, at),
+        (one("assistant"), session, "assistant", result["answer"], result["intent"], [tuple(r[k] for k in ("nodeId", "file", "name")) for r in result["references"]], result["durationMs"], None, at + timedelta(milliseconds=1)),
+    ]
+    spark.createDataFrame(rows, MESSAGES).write.mode("append").parquet(path)
+
+
+def rate(messages: DataFrame, message: str, rating: int) -> DataFrame:
+    """M4: the messages with a rating (1 or -1) of one of them."""
+    if rating not in (1, -1):
+        raise ValueError("a rating is 1 or -1")
+    return update_by_key(messages, "id", message, rating=rating)
+
+
 def ask(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, question: str, repository: str, embed: Callable, llm: Callable[..., str] = offline_llm) -> dict:
     """Intent, answer and references. Up to the prompt it is one plan of DataFrames; the model is a callable."""
+    begun = time.perf_counter()
     intent, _ = retrieval.question_facts(nodes.sparkSession, question)
     found = retrieval.retrieve(nodes, edges, question, repository, intent)
     near = vectors.refine(chunks.where(F.col("repositoryId") == repository), embed, question, found.select("id"))
     prompt = build_prompt(question, found, near).first()["prompt"]
     refs = [{"nodeId": r["nodeId"], "file": r["filePath"], "name": r["name"]} for r in near.orderBy(F.desc("similarity"), "id").limit(REFERENCES).collect()]
-    return {"intent": intent, "answer": llm(prompt, max_tokens=MAX_TOKENS), "references": refs, "prompt": prompt}
+    return {"intent": intent, "answer": llm(prompt, max_tokens=MAX_TOKENS), "references": refs, "prompt": prompt, "durationMs": int((time.perf_counter() - begun) * 1000)}

@@ -13,11 +13,11 @@ _own_base: list[str] = []
 
 
 class Tables:
-    """write() gives a table that is read from the shared folder; drop() deletes one, close() all, and the end of the process
-    what is left. As a context manager it closes at its end: what was planned on its tables has to be done by then."""
+    """write() gives a table that is read from the shared folder; close() deletes all, and the end of the process what is
+    left. As a context manager it closes at its end: what was planned on its tables has to be done by then."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.live = spark, {}
+        self.spark, self.live = spark, []
         self.base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not self.base:
             if not spark.sparkContext.master.startswith("local"):
@@ -33,20 +33,21 @@ class Tables:
     def __exit__(self, *_: object) -> None:
         self.close()
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def folder(self) -> str:
+        """A path of its own in the shared folder, deleted with the tables."""
         path = f"{self.base}/graphloam/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.live[id(out)] = path, out
-        return out
+        self.live.append(path)
+        return path
 
-    def drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.live.pop(id(t))[0])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self.folder()
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
         try:
-            self.drop(*(t for _, t in list(self.live.values())))
+            while self.live:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.live.pop())
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         except Exception:  # noqa: BLE001  at the end of the process the session may be gone
             return

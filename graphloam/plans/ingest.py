@@ -6,15 +6,20 @@ import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloam import schemas
 from graphloam.operators import chunks as chunking
 from graphloam.operators import diff as diffing
 from graphloam.operators import extract, graph_build, metrics, mutate, vectors
 from graphloam.plans.durable import Tables
 
+TABLES = {"parsed": schemas.PARSED_FILE, "nodes": schemas.NODES, "edges": schemas.EDGES, "chunks": schemas.CHUNKS}
+LOG = "jobId string, step int, stage string, percent int"
+
 # The share of a job that is done when a stage begins.
 PROGRESS = {"cloning": 5, "diffing": 15, "parsing": 25, "building_graph": 60, "indexing": 80}
 
@@ -37,6 +42,58 @@ class State:
     chunks: DataFrame
 
 
+class Workspace:
+    """The tables of all repositories in a folder, each repository in a directory of its own, so that an ingestion reads and
+    replaces its repository's rows only."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def _at(self, table: str, repository: str) -> str:
+        return f"{self.path}/{table}/repository={quote(repository, safe='')}"
+
+    def state(self, repository: str) -> State:
+        """A repository's tables; empty ones if it is new."""
+        return State(**{t: self._read(t, self._at(t, repository)) for t in TABLES})
+
+    def whole(self, table: str) -> DataFrame:
+        """A table's rows of all repositories."""
+        return self._read(table, f"{self.path}/{table}")
+
+    def _read(self, table: str, path: str) -> DataFrame:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        rows = self.spark.read.schema(TABLES[table]).option("recursiveFileLookup", True)
+        return rows.parquet(path) if there else self.spark.createDataFrame([], TABLES[table])
+
+    def put(self, repository: str, state: State) -> None:
+        for t in TABLES:
+            mutate.swap_in(self.spark, getattr(state, t), self._at(t, repository))
+
+    def ingest(self, files: DataFrame, repository: str, **options) -> dict:  # noqa: ANN003
+        """ingest() on the stored state; the new one takes its place table by table. The row of metrics."""
+        with Tables(self.spark) as tables:
+            new, row = ingest(self.state(repository), files, repository, tables=tables, **options)
+            self.put(repository, new)
+        return row
+
+
+class JobLog:
+    """A table of the stages that a job has reached; an instance is a `progress` callback."""
+
+    def __init__(self, spark: SparkSession, path: str, job: str) -> None:
+        self.spark, self.path, self.job, self.step = spark, path, job, 0
+
+    def __call__(self, stage: str, percent: int) -> None:
+        self.step += 1
+        self.spark.createDataFrame([(self.job, self.step, stage, percent)], LOG).write.mode("append").parquet(self.path)
+
+    @staticmethod
+    def latest(spark: SparkSession, path: str) -> DataFrame:
+        """The last stage of each job."""
+        return mutate.latest_by_key(spark.read.schema(LOG).parquet(path), "jobId", "step")
+
+
 def acquire(url: str, target: str, branch: str | None = None) -> dict[str, str]:
     """A shallow clone, or of an existing one a fetch and hard reset to the remote branch. Runs on the driver, outside
     any plan; a local directory does as a url."""
@@ -56,19 +113,17 @@ def acquire(url: str, target: str, branch: str | None = None) -> dict[str, str]:
 
 
 def empty_state(spark: SparkSession) -> State:
-    from graphloam import schemas
-
-    return State(*(spark.createDataFrame([], s) for s in (schemas.PARSED_FILE, schemas.NODES, schemas.EDGES, schemas.CHUNKS)))
+    return State(**{t: spark.createDataFrame([], s) for t, s in TABLES.items()})
 
 
-def ingest(state: State, files: DataFrame, repository: str, embed: Callable[[list[str]], list[list[float]]] | None = None, dimension: int = vectors.DIMENSION, progress: Callable[[str, int], None] = lambda *_: None) -> tuple[State, dict]:
+def ingest(state: State, files: DataFrame, repository: str, embed: Callable[[list[str]], list[list[float]]] | None = None, dimension: int = vectors.DIMENSION, progress: Callable[[str, int], None] = lambda *_: None, tables: Tables | None = None) -> tuple[State, dict]:
     """The state after files (FILES) is what the repository holds, and the row of metrics.
 
     Only changed and new files are parsed, chunked and embedded; facts of changed and deleted files go first. Edges are derived
     from the stored facts of all files, as an unchanged file may import what is new, or what is gone. Embedding fails
     or succeeds as a whole: on a failure the graph is new, the chunks stay as they were, and the metric row says why.
     """
-    spark, tables, watch = files.sparkSession, Tables(files.sparkSession), metrics.Stopwatch()
+    tables, watch = tables or Tables(files.sparkSession), metrics.Stopwatch()
     own = F.col("repositoryId") == repository
     known = state.parsed.where(own).select("path", "contentHash")
     again = bool(known.limit(1).count())

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloam.operators import impact, vectors
 from graphloam.plans.copilot import offline_llm
+from graphloam.schemas import ANALYSES
 
 # Fixed values.
 CONTEXT_CHARS, SUMMARY_TOKENS = 2000, 400
@@ -27,12 +30,21 @@ def prompt(changed: list[str], direct: list, impacted: list, excerpts: list) ->
     return "Describe what this change can affect, by file names, in a few sentences.\n\n" + "\n\n".join(f"{title}:\n{body or '(none)'}" for title, body in parts)
 
 
-def analyse(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, pr_files: DataFrame, repository: str, embed: Callable, llm: Callable[..., str] = offline_llm) -> dict:
+def store_analysis(spark: SparkSession, path: str, url: str, result: dict, at: datetime) -> None:
+    """Adds an analysis to the table of all; its id comes from URL and time."""
+    key = hashlib.sha256(f"{url}|{at.isoformat()}".encode()).hexdigest()
+    hit = [(r["nodeId"], r["file"], r["name"], r["hop"], r["relationship"]) for r in result["impactedNodes"]]
+    refs = [(r["nodeId"], r["file"], r["name"]) for r in result["references"]]
+    spark.createDataFrame([(key, result["repositoryId"], url, result["changedFiles"], hit, result["summary"], refs, result["durationMs"], at)], ANALYSES).write.mode("append").parquet(path)
+
+
+def analyse(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, pr_files: DataFrame, repository: str | None, embed: Callable, llm: Callable[..., str] = offline_llm) -> dict:
     """What is stored of an analysis. The lists are bounded: a page of files, 50 impacted nodes, 10 chunks."""
     begun = time.perf_counter()
     found = impact.analyse(nodes, edges, pr_files, repository)
     question = found["query"].first()["text"]
-    near = vectors.refine(chunks.where(F.col("repositoryId") == repository), embed, question, found["ids"])
+    own = chunks if repository is None else chunks.where(F.col("repositoryId") == repository)
+    near = vectors.refine(own, embed, question, found["ids"])
     changed = [r["path"] for r in found["changed"].orderBy("path").limit(impact.PR_FILES).collect()]
     hit, excerpts = found["impacted"].collect(), near.collect()
     direct = found["direct"].orderBy("id").limit(impact.MAX_IMPACTED).collect()

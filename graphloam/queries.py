@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloam.functions import text
 from graphloam.operators import diff, graph_build, graph_query, impact, layout, metrics, mutate, retrieval, vectors
-from graphloam.plans.star_graph import STAR_SQL, star_edges, star_nodes
+from graphloam.plans.star_graph import STAR_SQL, stored_graph
 from graphloam.streaming import webhooks, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return star_nodes(spark, sf_dir), star_edges(spark, sf_dir)
+    return stored_graph(spark, sf_dir)
 
 
 def _rows(spark: SparkSession, column: str, *values: str) -> DataFrame:
@@ -65,12 +65,12 @@ ORDER BY id LIMIT 5000 OFFSET 10""",
     graph=True,
 )
 def graph_nodes_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_query.graph_nodes(star_nodes(spark, sf_dir), "r1", offset=10).select(*NODE)
+    return graph_query.graph_nodes(_graph(spark, sf_dir)[0], "r1", offset=10).select(*NODE)
 
 
 @query(f"SELECT {_NODE_SQL} FROM nodes WHERE \"repositoryId\" = 'r2' AND type IN ('class', 'service') ORDER BY id LIMIT 100 OFFSET 5", graph=True)
 def graph_nodes_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_query.graph_nodes(star_nodes(spark, sf_dir), "r2", ["class", "service"], limit=100, offset=5).select(*NODE)
+    return graph_query.graph_nodes(_graph(spark, sf_dir)[0], "r2", ["class", "service"], limit=100, offset=5).select(*NODE)
 
 
 @query(
@@ -99,23 +99,27 @@ SELECT id AS "nodeId", min(hops) AS hops FROM walk WHERE hops > 0 GROUP BY id"""
     graph=True,
 )
 def shortest_path_len(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_query.hop_counts(star_edges(spark, sf_dir).where("type = 'CONTAINS'"), "r1")
+    return graph_query.hop_counts(_graph(spark, sf_dir)[1].where("type = 'CONTAINS'"), "r1")
 
 
 @query(
     """, walk(id, hops) AS (SELECT 'r0', 0 UNION ALL SELECT c."targetId", hops + 1 FROM walk JOIN edges c ON c."sourceId" = walk.id WHERE hops < 10),
 best AS (SELECT min(hops) AS hops FROM walk WHERE id = 's7' AND hops > 0)
-SELECT hops::BIGINT AS hops FROM best WHERE hops IS NOT NULL""",
+SELECT hops::BIGINT AS hops, hops::BIGINT AS steps FROM best WHERE hops IS NOT NULL""",
     graph=True,
 )
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = graph_query.shortest_path(*_graph(spark, sf_dir), "r0", "s7")
-    return path.agg(F.max("position").cast("long").alias("hops")).where("hops is not null")
+    """The length of the path, and how many of its steps are edges from one of its nodes to the next."""
+    nodes, edges = _graph(spark, sf_dir)
+    path = graph_query.shortest_path(nodes, edges, "r0", "s7")
+    before = path.select((F.col("position") + 1).alias("position"), F.col("nodeId").alias("sourceId"))
+    steps = path.where("position > 0").join(before, "position").select(F.col("edgeId").alias("id"), "sourceId", F.col("nodeId").alias("targetId")).join(edges, ["id", "sourceId", "targetId"])
+    return path.agg(F.max("position").cast("long").alias("hops")).where("hops is not null").crossJoin(steps.agg(F.count(F.lit(1)).alias("steps")))  # one row each
 
 
 @query(f"SELECT DISTINCT {_NODE_SQL} FROM nodes WHERE \"filePath\" IN ('{BRAND}', 'customers/MACHINERY')", graph=True)
 def nodes_for_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_query.nodes_for_files(star_nodes(spark, sf_dir), _rows(spark, "path", BRAND, "customers/MACHINERY"))
+    return graph_query.nodes_for_files(_graph(spark, sf_dir)[0], _rows(spark, "path", BRAND, "customers/MACHINERY"))
 
 
 @query(
@@ -181,7 +185,7 @@ ORDER BY id LIMIT 5""",
     graph=True,
 )
 def anchor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.find_anchors(star_nodes(spark, sf_dir), ["widget", "machinery"]).select(*NODE)
+    return retrieval.find_anchors(_graph(spark, sf_dir)[0], ["widget", "machinery"]).select(*NODE)
 
 
 @query(
@@ -189,7 +193,7 @@ def anchor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph=True,
 )
 def root_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.as_retrieved(retrieval.root_nodes(star_nodes(spark, sf_dir), "r3"))
+    return retrieval.as_retrieved(retrieval.root_nodes(_graph(spark, sf_dir)[0], "r3"))
 
 
 @query(
@@ -222,19 +226,19 @@ def visible_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_NODE_SQL} FROM nodes WHERE contains(lower(label), 'ring') ORDER BY id LIMIT 8", graph=True)
 def node_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_query.search_nodes(star_nodes(spark, sf_dir), " Ring ").select(*NODE)
+    return graph_query.search_nodes(_graph(spark, sf_dir)[0], " Ring ").select(*NODE)
 
 
 @query("""SELECT 's3' AS id UNION SELECT "targetId" FROM edges WHERE "sourceId" = 's3' UNION SELECT "sourceId" FROM edges WHERE "targetId" = 's3'""", graph=True)
 def hover_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph_query.hover_focus(star_edges(spark, sf_dir), "s3")
+    return graph_query.hover_focus(_graph(spark, sf_dir)[1], "s3")
 
 
 @query("SELECT DISTINCT type, CASE type WHEN 'repository' THEN 1 WHEN 'service' THEN 2 WHEN 'module' THEN 3 WHEN 'file' THEN 4 WHEN 'class' THEN 5 WHEN 'external_dependency' THEN 11 END::INTEGER AS position FROM nodes", graph=True)
 def present_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphloam.schemas import NODE_TYPES
 
-    return graph_query.present_types(star_nodes(spark, sf_dir), NODE_TYPES)
+    return graph_query.present_types(_graph(spark, sf_dir)[0], NODE_TYPES)
 
 
 # ------------------------------------------------------------------------------------------------ graph construction
@@ -259,7 +263,7 @@ SELECT {_NODE_SQL} FROM r WHERE rn = 1""",
     graph=True,
 )
 def node_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = star_nodes(spark, sf_dir)
+    nodes = _graph(spark, sf_dir)[0]
     later = nodes.where("type <> 'class'").withColumn("label", F.concat("label", F.lit("!"))).withColumn("ordinal", F.lit(2))
     return graph_build.last_wins(nodes.withColumn("ordinal", F.lit(1)).unionByName(later)).select(*NODE)
 
@@ -270,7 +274,7 @@ SELECT {_NODE_SQL} FROM nodes WHERE id NOT IN (SELECT id FROM fresh) UNION ALL S
     graph=True,
 )
 def node_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = star_nodes(spark, sf_dir).select(*NODE)
+    nodes = _graph(spark, sf_dir)[0].select(*NODE)
     fresh = nodes.where("type = 'service'").withColumn("label", F.upper("label")).unionByName(nodes.where("type = 'module'").withColumn("id", F.concat("id", F.lit("x"))))
     return mutate.merge_nodes(nodes, fresh)
 
@@ -360,10 +364,10 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT event_id, question, CASE WHEN regexp_matches(lower(question), 'where +is|who +handles|which +service|what +is +responsible|who +owns') THEN 'find-ownership'
-  WHEN regexp_matches(lower(question), 'how +does|what +happens +when|trace|walk +me|step +through|flow') THEN 'trace-flow'
-  WHEN regexp_matches(lower(question), 'where +are|find +all|locate|show +me +all') THEN 'locate-logic'
-  WHEN regexp_matches(lower(question), 'what +breaks|what +depends|what +imports|who +uses|what +calls') THEN 'explain-deps' ELSE 'explain-arch' END AS intent
+    f"""SELECT event_id, question, CASE WHEN regexp_matches(lower(question), 'where\\s+is|who\\s+handles|which\\s+service|what\\s+is\\s+responsible|who\\s+owns') THEN 'find-ownership'
+  WHEN regexp_matches(lower(question), 'how\\s+does|what\\s+happens\\s+when|trace|walk\\s+me|step\\s+through|flow') THEN 'trace-flow'
+  WHEN regexp_matches(lower(question), 'where\\s+are|find\\s+all|locate|show\\s+me\\s+all') THEN 'locate-logic'
+  WHEN regexp_matches(lower(question), 'what\\s+breaks|what\\s+depends|what\\s+imports|who\\s+uses|what\\s+calls') THEN 'explain-deps' ELSE 'explain-arch' END AS intent
 FROM (SELECT event_id, {_ASK} AS question FROM events)"""
 )
 def intent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -553,10 +557,10 @@ def _opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opened.select("doc_id", "opened", (F.col("token").startswith("v1:") & (F.col("opened") == F.col("text"))).alias("sealed"))
 
 
-@query("SELECT doc_id, left(text, 40) AS opened, true AS sealed FROM documents")
+@query("SELECT doc_id, sha256(text) AS opened, true AS sealed FROM documents")
 def token_encryption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole texts go through; its SQL shows the first 40 characters of each, token_encryption_whole all."""
-    return _opened(spark, sf_dir).withColumn("opened", F.substring("opened", 1, 40))
+    """Whole texts, compared by their hashes; token_encryption_whole shows them."""
+    return _opened(spark, sf_dir).withColumn("opened", F.sha2("opened", 256))
 
 
 @query("SELECT doc_id, text AS opened, true AS sealed FROM documents")
@@ -582,7 +586,7 @@ def pr_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT id, "filePath" AS path FROM nodes""", graph=True)
 def metadata_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_nodes(spark, sf_dir).select("id", text.metadata_path(F.col("metadataJson")).alias("path"))
+    return _graph(spark, sf_dir)[0].select("id", text.metadata_path(F.col("metadataJson")).alias("path"))
 
 
 @query("SELECT c.* FROM conversations c ANTI JOIN (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system') s USING (conv_id)")
@@ -591,20 +595,16 @@ def delete_by_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.delete_by_keys(c, c.where("role = 'system'").select("conv_id"))[0]
 
 
-@query("SELECT r.r_name, (count(*) FILTER (NOT contains(u.id, 'x')))::BIGINT AS nodes FROM region r JOIN (SELECT 'r' || r_regionkey AS id, r_regionkey AS k FROM region UNION ALL SELECT 'n' || n_nationkey, n_regionkey FROM nation) u ON u.k = r_regionkey GROUP BY r_name")
+@query(
+    """SELECT id, label FROM nodes WHERE type = 'repository' UNION ALL SELECT id, label || '!' FROM nodes WHERE type = 'module' UNION ALL SELECT id || '+', label FROM nodes WHERE type = 'service'""",
+    graph=True,
+)
 def merge_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = star_nodes(spark, sf_dir)
-    top = nodes.where("type IN ('repository', 'module')")
-    merged = graph_query.merge_by_id(top, top.where("type = 'module'"))
-    names = _read(spark, sf_dir, "region").select("r_name", F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("repositoryId"))
-    return merged.join(names, "repositoryId").groupBy("r_name").agg(F.count(F.lit(1)).alias("nodes"))
-
-
-@query("SELECT source AS \"repositoryId\", count(*)::BIGINT AS n FROM documents GROUP BY source")
-def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphloam.operators import chunks
-
-    return chunks.chunk_counts(_read(spark, sf_dir, "documents").select(F.col("source").alias("repositoryId")))
+    """New rows take the place of loaded ones, others are added."""
+    nodes = _graph(spark, sf_dir)[0].select(*NODE)
+    loaded = nodes.where("type IN ('repository', 'module')")
+    new = nodes.where("type = 'module'").withColumn("label", F.concat("label", F.lit("!"))).unionByName(nodes.where("type = 'service'").withColumn("id", F.concat("id", F.lit("+"))))
+    return graph_query.merge_by_id(loaded, new).select("id", "label")
 
 
 @query("SELECT conv_id, turn, sha256(conv_id || '|' || turn || '|' || role) AS id FROM conversations")

@@ -18,6 +18,8 @@ CHUNKS = "id string, repositoryId string, nodeId string, filePath string, nodeTy
 DELIVERIES = "repositoryId string, rawBody binary, deliveryId string, event string, signature string, receivedAt timestamp"
 PUSH = "ref string, after string, repository struct<full_name:string,default_branch:string>, head_commit struct<id:string,message:string>"
 WEBHOOK_EVENTS = "id string, repositoryId string, eventType string, deliveryId string, receivedAt timestamp, processedAt timestamp, status string, payloadHash string, errorMessage string"
+MESSAGES = "id string, sessionId string, role string, content string, intent string, references array<struct<nodeId:string,file:string,name:string>>, durationMs int, rating int, createdAt timestamp"
+ANALYSES = "id string, repositoryId string, prUrl string, changedFiles array<string>, impactedNodes array<struct<nodeId:string,file:string,name:string,hop:int,relationship:string>>, summary string, references array<struct<nodeId:string,file:string,name:string>>, durationMs int, createdAt timestamp"
 JOBS = "repositoryId string, jobId string, triggeredBy string, webhookEventId string"
 METRICS = "repositoryId string, jobId string, changedFiles int, newFiles int, deletedFiles int, unchangedFiles int, parseDurationMs int, graphBuildDurationMs int, embedDurationMs int, totalDurationMs int, chunkCount int, nodeCount int, edgeCount int, recordedAt timestamp"
 

@@ -40,7 +40,7 @@ def job_stream(spark: SparkSession, path: str, files: int = FILES_A_BATCH) -> Da
     return spark.readStream.schema(JOBS).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(path)
 
 
-def start_worker(jobs: DataFrame, work: Callable[[dict], None], checkpoint: str, failed: Callable[[dict, Exception], None] = lambda *_: None, once: bool = True, done: str | None = None):  # noqa: ANN201
+def start_worker(jobs: DataFrame, work: Callable[[dict], None], checkpoint: str, failed: Callable[[dict, Exception], None] = lambda *_: None, once: bool = True, done: str | None = None, pause_ms: int = PAUSE_MS):  # noqa: ANN201
     """Runs the jobs of a stream one after the other; a failure is told to `failed` after the last attempt. The source
     bounds a batch (see job_stream()); its jobs are fetched row by row. done: a folder that takes a row for each finished job,
     so that a batch that runs again after a failure leaves out what was finished."""
@@ -58,7 +58,7 @@ def start_worker(jobs: DataFrame, work: Callable[[dict], None], checkpoint: str,
         for row in rows.orderBy("jobId").toLocalIterator():
             job, status = row.asDict(), "DONE"
             try:
-                with_retries(lambda job=job: work(job))
+                with_retries(lambda job=job: work(job), pause_ms=pause_ms)
             except Exception as e:  # noqa: BLE001  the queue goes on with the next job
                 status = "FAILED"
                 failed(job, e)
