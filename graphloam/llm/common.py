@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch that is sent to Python; texts may be long.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Bytes of an input that is spread over the cores: at least, and for each core at most.
+SMALL = 2 << 20, 8 << 20
 #: Bytes of text that one numpy pass works on; arrays of some 60 times that size live at once.
 PASS_BYTES = 1 << 20
 
@@ -198,6 +200,14 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores if they are few megabytes a core, as a small file may be one row group and so one task. Larger inputs
+    have tasks enough and are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(cores) if cores > 1 and SMALL[0] <= size <= cores * SMALL[1] else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

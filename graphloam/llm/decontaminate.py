@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from graphloam.llm.common import Words, documents, grams, lots, small_batches, utf8
+from graphloam.llm.common import Words, documents, grams, lots, small_batches, spread, utf8
 from graphloam.llm.license_scan import WORDS
 
 K, THRESHOLD = 5, Fraction(4, 5)
@@ -117,7 +117,7 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
                     ], names=[key, item_key, "n_shared", "n_shingles", "containment"],
                 )
 
-        found = docs.select(key, text).mapInArrow(run, schema)
+        found = spread(docs.select(key, text)).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

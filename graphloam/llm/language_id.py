@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import PASS_BYTES, documents, mix, small_batches
+from graphloam.llm.common import PASS_BYTES, documents, mix, small_batches, spread
 
 PER_LANGUAGE, FREQUENT, SELDOM = 2000, 20_000, 0.05
 #: Slots of the filter (a power of two) and probes for an n-gram.
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
 
     small_batches(docs.sparkSession)
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, lang_pred string, score double")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, lang_pred string, score double")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

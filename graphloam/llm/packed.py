@@ -20,7 +20,7 @@ from graphloam.llm.common import mix, partitions
 
 PACKED = "bucket int, kind int, blob binary"
 #: Entries that a task gathers before it sends them.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Bytes of text that a bucket stands for; its arrays take about as much.
 BUCKET_BYTES = 64 << 20
 #: Low bits of a counted hash, which hold the binary logarithm of a count.

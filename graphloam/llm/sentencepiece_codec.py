@@ -22,17 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloam.llm.common import documents, mix, small_batches
+from graphloam.llm.common import documents, mix, small_batches, spread
 
 MARK = "▁"
 #: Bytes of the words that a worker remembers; longer words are not kept.
-MEMO, LONG_WORD = 160 << 20, 64
+MEMO, LONG_WORD = 64 << 20, 64
 #: Characters that a stretch of a long word adds, and those that it begins early; stretches that advance together.
 STRETCH, WARM, TOGETHER = 512, 96, 1024
 #: Slots of the cache of pairs of pieces, and of the table that rules out most substrings before their hash is searched.
 PAIRS, MAYBE = 1 << 20, 1 << 21
 #: Characters that are encoded together.
-LOT = 1 << 22
+LOT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -326,7 +326,7 @@ def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "t
                     begin, size = end, 0
 
     small_batches(docs.sparkSession)
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, token_ids array<int>, n_tokens long, round_trip boolean")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, token_ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model_file: str, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:

@@ -41,7 +41,7 @@ WINDOW, K = 13, 5
 #: Windows of a segment at most; a longer run is cut into several, which loses none.
 MOST = 32
 #: Bytes of segments that a task gathers before it sends them.
-HELD_BYTES = 24 << 20
+HELD_BYTES = 12 << 20
 _LOW = np.uint64(15)
 
 

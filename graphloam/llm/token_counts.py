@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloam.llm.common import documents, small_batches
+from graphloam.llm.common import documents, small_batches, spread
 
 # White space as the pattern's \s has it, and the pretokenizer's pattern.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -36,7 +36,7 @@ PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p
 CHUNK = 1 << 16
 #: Bytes of a worker's memo of pretokens (longer ones than LONG characters are not kept), and entries of its transitions or
 #: pairs; what is full starts anew.
-MEMO, LONG, TRANSITIONS = 160 << 20, 64, 500_000
+MEMO, LONG, TRANSITIONS = 128 << 20, 64, 300_000
 LIMIT = 1024
 
 
@@ -275,7 +275,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text
 
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
