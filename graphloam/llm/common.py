@@ -204,7 +204,7 @@ def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores if they are few megabytes a core, as a small file may be one row group and so one task. Larger inputs
     have tasks enough and are not shuffled."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return rows.repartition(cores) if cores > 1 and SMALL[0] <= size <= cores * SMALL[1] else rows
 
 
