@@ -5,30 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloam.llm.common import Durable
+from graphloam.llm.common import Durable, join_common
 
 
-#: Parts that the edges of one node are dealt to in a join, so that a hub's edges don't meet in one task.
-SALTS = 8
+def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m of their u; least: (u, m, n), a row for each u, n of its edges. Hubs (more than a thousandth of all
+    edges; a thousand at most) are joined by a broadcast, so a hub's edges don't meet in one task."""
+    return join_common(edges, least, ["u"], "n", total)
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """edges (u, v) with m of their u; least: (u, m), a row for each u. A merge join, as the salted side grows with the data
-    and the planner's estimate of it does not."""
-    salted = least.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["u", "salt"]).drop("salt")
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return _with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    return _with_least(both.where("v > u"), least, 2 * total).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = _with_least(down, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    linked = _with_least(down, least, total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -45,7 +40,9 @@ def components(edges: DataFrame, keep: Durable) -> DataFrame:
     now = keep.keep(tidy(edges.select("u", "v")))
     before = sign(now)
     while before[0]:
-        new = keep.keep(tidy(_small_star(_large_star(now).where("u <> v"))))
+        large = keep.keep(tidy(_large_star(now, before[0])))
+        new = keep.keep(tidy(_small_star(large, large.count())))
+        keep.drop(large)
         keep.drop(now)
         now, after = new, sign(new)
         if after == before:

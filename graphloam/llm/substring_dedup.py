@@ -340,8 +340,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
             yield from cut(np.zeros(0, np.uint64), batch, {"sorted": None, "runs": [], "raw": True})
 
     columns = [docs[c] for c in docs.columns]
-    placed = squeeze(docs.where(docs[key].isNotNull()).select(*columns, F.pmod(docs[key].cast("long"), F.lit(buckets)).cast("int").alias("__bucket")), text)
-    whole = placed.select(F.col("__bucket").alias("bucket"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    spare = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    placed = squeeze(docs.where(docs[key].isNotNull()).select(*columns, F.pmod(docs[key].cast("long"), F.lit(buckets)).cast("int").alias(spare)), text)
+    whole = placed.select(F.col(spare).alias("bucket"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     out = meet(whole, spans_of, schema, cut, lambda _: ())
     # rows without a key need no answers, and don't meet in one bucket
     return out.unionByName(docs.where(docs[key].isNull()).mapInArrow(untouched, schema)) if keyless else out

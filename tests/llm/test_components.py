@@ -1,6 +1,8 @@
 import random
 
-from graphloam.llm.common import Durable
+from pyspark.sql import functions as F
+
+from graphloam.llm.common import Durable, join_common
 from graphloam.llm.components import components
 
 
@@ -32,3 +34,14 @@ def test_components_match_union_find(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "u long, v long"), Durable(spark)).count() == 0
+
+
+def test_hubs_and_common_keys_are_joined_apart(spark):
+    """A node of more than ten thousand edges, and a key of as many rows."""
+    edges = [(0, i) for i in range(1, 12_001)] + [(20_000 + i, 20_001 + i) for i in range(50)] + [(12_000, 20_000)]
+    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), Durable(spark)).collect()}
+    assert len(out) == 12_052 and set(out.values()) == {0}
+    rows = spark.createDataFrame([("hot", i) for i in range(11_000)] + [("a", -1), ("a", -2), ("b", -3)], "k string, v int")
+    table = rows.groupBy("k").count().withColumn("m", F.upper("k"))
+    joined = join_common(rows, table, ["k"], "count", rows.count())
+    assert sorted(map(tuple, joined.select("k", "v", "m").collect())) == sorted((k, v, k.upper()) for k, v in map(tuple, rows.collect()))

@@ -73,6 +73,9 @@ def test_substring_dedup_on_odd_rows(spark, odd_documents):
     spans = {r["doc_id"]: r["__spans"] for r in out.collect() if r["doc_id"] == 2}
     assert [(s["first"], s["end"]) for s in spans[2]] == [(0, len(words(rows[1][1])) - 1)]
     assert substring_dedup.dedup(odd_documents.limit(0)).count() == 0
+    again = substring_dedup.dedup(substring_dedup.dedup(odd_documents.withColumn("__bucket", F.lit(5)).withColumn("__kept", F.lit("mine"))))
+    assert again.columns == [*odd_documents.columns, "__bucket", "__n_words", "__n_removed", "__spans", "__kept"]
+    assert {r["__bucket"] for r in again.collect()} == {5}
 
 
 def mirror(n):
@@ -239,6 +242,11 @@ def test_contained_items_against_brute_force(spark, monkeypatch, odd_documents):
     monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 7)
     found = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(((r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in found.collect()), key=str) == brute_contained(docs, items)
+    few = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), few.unionByName(few)).count() == found.count()
+    kept = decontaminate.without_contained(spark.createDataFrame(docs, "doc_id long, text string"), few)
+    leaks = Counter(d for d, *_ in {(d, i) for d, i, *_ in brute_contained(docs, items)})
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(((d, t) for d, t in docs if d not in leaks or (d == 7 and t is None)), key=str)
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contained_items(odd_documents, empty).count() == 0
     assert decontaminate.contained_items(odd_documents.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0

@@ -213,6 +213,7 @@ def test_rows_without_an_id_of_their_own(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     texts = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
     kept = texts(stages["quality"](spark, docs, str(tmp_path)))
+    assert stages["quality"](spark, docs.drop("lang"), str(tmp_path)).columns == ["doc_id", "text", "source"]
     assert not any("@@@" in t for _, t in kept) and {t for _, t in rows if "@@@" not in t} == {t for _, t in kept}
     left = texts(stages["near_duplicates"](spark, docs, str(tmp_path)))
     assert [t for _, t in left].count(one) == 1 and [t for k, t in left if k == "501"] == [rows[-4][1]]

@@ -281,3 +281,28 @@ def test_other_models_are_refused():
     for trainer, normaliser in ((b"\x18\x01", b""), (b"", b""), (b"\x18\x02", b"\x12\x02ab\x18\x01\x20\x00"), (b"\x18\x02", b"\x18\x01\x20\x01"), (b"\x18\x02", b"\x18\x00\x20\x00")):
         with pytest.raises(ValueError, match="only models"):
             sentencepiece_codec.check_model(b"\x12" + bytes([len(trainer)]) + trainer + b"\x1a" + bytes([len(normaliser)]) + normaliser)
+
+
+def test_languages_of_no_rows_and_of_ties(spark):
+    import numpy as np
+
+    same = np.unique(language_id.trigrams(["abc abd"])[0])
+    filters = language_id.Filters({"b": same, "a": same})
+    docs = spark.createDataFrame([(1, "abc abd", "x"), (2, "zzz", "x"), (2, "zzz", "x")], "doc_id long, text string, score string")
+    assert sorted((r["doc_id"], r["lang_pred"], r["score"]) for r in language_id.predict(docs, filters).collect()) == [(1, "a", 0.5), (2, "a", 0.0), (2, "a", 0.0)]
+    assert language_id.predict(docs.limit(0), filters).count() == 0
+
+
+def test_very_long_texts_in_every_text_operator(spark):
+    """Two million characters, also without a space."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    long_ = "the quick brown fox, number 12, licensed under the apache license, version 2.0; " * 26_000
+    dense = "あいうえおかき" * 30_000
+    docs = spark.createDataFrame([(1, long_), (2, dense)], "doc_id long, text string")
+    lib, sp = Tokenizer.from_file(BPE), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, BPE).collect()} == {k: len(lib.encode(t, add_special_tokens=False).ids) for k, t in ((1, long_), (2, dense))}
+    assert {r["doc_id"]: r["n_tokens"] for r in sentencepiece_codec.encode(docs, PIECES).collect()} == {k: len(sp.encode(t)) for k, t in ((1, long_), (2, dense))}
+    scanned = {r["doc_id"]: r for r in license_scan.license_scan(docs).collect()}
+    assert scanned[1]["labels"] == "apache-2.0" and len(scanned[1]["spans"]) == 26_000 and scanned[2]["n_words"] == 1
