@@ -2,7 +2,7 @@
 
 Five stages, each one operator of graphloam.llm over all that its predecessor kept. A stage returns the columns of
 documents (and any others that came in), the last one the token ids. Decisions are taken row by row: rows are told apart by
-an internal id, so a missing or repeated doc_id shields no row and condemns no other. Null texts count as empty, very long ones
+an internal id (columns __id, __odd and __gone are reserved), so a missing or repeated doc_id shields no row and condemns no other. Null texts count as empty, very long ones
 are read whole; an empty table gives an empty result.
 
 1. quality: documents that the quality classifier rejects (low quality or toxic) go. A column lang stands for the path, if
