@@ -26,13 +26,13 @@ from graphloam.llm.common import documents, mix, small_batches, spread
 
 MARK = "▁"
 #: Bytes of the words that a worker remembers; longer words are not kept.
-MEMO, LONG_WORD = 64 << 20, 64
+MEMO, LONG_WORD = 96 << 20, 64
 #: Characters that a stretch of a long word adds, and those that it begins early; stretches that advance together.
 STRETCH, WARM, TOGETHER = 512, 96, 1024
 #: Slots of the cache of pairs of pieces, and of the table that rules out most substrings before their hash is searched.
 PAIRS, MAYBE = 1 << 20, 1 << 21
 #: Characters that are encoded together.
-LOT = 1 << 20
+LOT = 1 << 21
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -75,13 +75,17 @@ class Codec:
         return mix(h + np.uint64(codes.shape[1]))
 
     def merge(self, text: str) -> list[str]:
-        """Plain BPE, of pairs of pieces only."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.score.get(parts[i] + parts[i + 1], -np.inf), -i))
-            if parts[best] + parts[best + 1] not in self.score:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        """Plain BPE, of pairs of pieces only: the best pair first, of equal ones the leftmost."""
+        parts, score, none = list(text), self.score.get, -float("inf")
+        pairs = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) != none:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], none)
         return parts
 
     def _apart(self, a: int, b: int) -> bool:
