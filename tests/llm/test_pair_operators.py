@@ -180,6 +180,23 @@ def test_jaccard_components_against_brute_force(spark, seed, block):
     assert mine == brute_components(rows, 5, 80, 100)
 
 
+def test_classes_of_several_blocks(spark):
+    """A dense group, and a chain whose ends only meet through its middle, both larger than a block."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(80)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        w[rng.randrange(80)] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    for k in range(60):  # neighbours share most words, others few
+        rows.append((1000 + 2 * k, " ".join(f"c{i}" for i in range(3 * k, 3 * k + 70))))
+        rows.append((1001 + 2 * k, " ".join(f"c{i}" for i in range(3 * k + 400, 3 * k + 440))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (7, 20):
+        assert sorted((tuple(r) for r in jaccard_join.jaccard_components(df, block=block).collect()), key=str) == brute_components(rows)
+
+
 def test_jaccard_on_odd_rows(spark, odd_documents):
     rows = [(r["doc_id"], r["text"]) for r in odd_documents.collect()]
     mine = sorted((tuple(r) for r in jaccard_join.jaccard_components(odd_documents).collect()), key=str)
