@@ -36,7 +36,7 @@ PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p
 CHUNK = 1 << 16
 #: Bytes of a worker's memo of pretokens (longer ones than LONG characters are not kept), and entries of its transitions or
 #: pairs; what is full starts anew.
-MEMO, LONG, TRANSITIONS = 128 << 20, 64, 300_000
+MEMO, LONG, TRANSITIONS = 128 << 20, 64, 700_000
 LIMIT = 1024
 
 
@@ -76,12 +76,17 @@ class Transducer:
         self.next: dict[int, tuple[int, int]] = {}
 
     def bpe(self, word: bytes) -> list[bytes]:
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        """Plain BPE: the pair of the least rank first, of equal ones the leftmost."""
+        parts, rank, none = [word[i : i + 1] for i in range(len(word))], self.rank.get, 1 << 60
+        pairs = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs)) != none:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(pairs):
+                pairs[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
     def stay_apart(self, a: bytes | None, b: bytes) -> bool:
