@@ -216,7 +216,7 @@ def join_common(rows: DataFrame, table: DataFrame, on: list[str], count: str, to
     """rows joined with table (a row for each `on`; `count`: how many of rows, `total` in all, have it). Keys that more than a
     thousandth of the rows have - a thousand at most - are joined by a broadcast, so their rows don't meet in one task; the
     others by a merge join, as table grows with the data and the planner's estimate of it may not."""
-    many = max(10_000, total // 1000)
+    many = max(100, total // 1000)
     common = table.where(F.col(count) > many)
     rest = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(table.where(F.col(count) <= many).hint("merge"), on)
     return rows.join(F.broadcast(common), on).unionByName(rest)

@@ -37,7 +37,7 @@ def test_no_edges(spark):
 
 
 def test_hubs_and_common_keys_are_joined_apart(spark):
-    """A node of more than ten thousand edges, and a key of as many rows."""
+    """A node of twelve thousand edges, and a key of as many rows."""
     edges = [(0, i) for i in range(1, 12_001)] + [(20_000 + i, 20_001 + i) for i in range(50)] + [(12_000, 20_000)]
     out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), Durable(spark)).collect()}
     assert len(out) == 12_052 and set(out.values()) == {0}
