@@ -52,10 +52,24 @@ class Lexer:
 
     def __init__(self, source: str, expressions: bool, jsx: bool) -> None:
         self.source, self.expressions, self.jsx = source, expressions, jsx
+        #: the first thing that is not balanced
+        self.problem: str | None = None
 
     def tokens(self) -> list[Token]:
+        """All tokens. What stays open to the end is noted as the problem; an open template is one token, an element's bracket
+        a mark like any other."""
         return self._run(0, False)[0]
 
+    def _whole(self, at: int, inside: bool) -> tuple[str, int]:
+        """The kind and end of the template or element at a place."""
+        try:
+            return "string", self._template(at) if self.source[at] == "`" else self._element(at)
+        except (Unbalanced, RecursionError) as e:
+            if inside:
+                raise
+            self.problem = self.problem or f"{type(e).__name__}: {e}"
+            return ("string", len(self.source)) if self.source[at] == "`" else ("mark", at + 1)
+
     def _line(self, at: int) -> int:
         return self.source.count("\n", 0, at) + 1
 
@@ -65,11 +79,11 @@ class Lexer:
         while at < len(source):
             c, kind = source[at], "string"
             if c == "`" and self.expressions:
-                end = self._template(at)
+                kind, end = self._whole(at, one_block)
             elif c == "/" and self.expressions and self._operand_due(out) and (m := _REGEX.match(source, at)):
                 end = m.end()
             elif c == "<" and self.jsx and self._operand_due(out) and _TAG.match(source, at):
-                end = self._element(at)
+                kind, end = self._whole(at, one_block)
             else:
                 m = _TOKEN.match(source, at)
                 kind, end = m.lastgroup, m.end()
@@ -129,19 +143,21 @@ class Lexer:
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 
 
-def partners(tokens: list[Token]) -> dict[int, int]:
-    """The closing bracket of each opening one; raises if there are brackets without a partner."""
-    out, stack = {}, []
+def partners(tokens: list[Token]) -> tuple[dict[int, int], str | None]:
+    """The closing bracket of each opening one, the last token for one that stays open; and the first bracket without a
+    partner of its kind."""
+    out, stack, problem = {}, [], None
     for i, t in enumerate(tokens):
         if t.kind == "mark" and t.text in _OPEN:
             stack.append(i)
         elif t.kind == "mark" and t.text in _CLOSE:
             if not stack or _OPEN[tokens[stack[-1]].text] != t.text:
-                raise Unbalanced(f"line {t.line}: {t.text} closes nothing")
-            out[stack.pop()] = i
+                problem = problem or f"Unbalanced: line {t.line}: {t.text} closes nothing"
+            if stack:
+                out[stack.pop()] = i
     if stack:
-        raise Unbalanced(f"line {tokens[stack[-1]].line}: {tokens[stack[-1]].text} stays open")
-    return out
+        problem = problem or f"Unbalanced: line {tokens[stack[-1]].line}: {tokens[stack[-1]].text} stays open"
+    return out | {i: len(tokens) - 1 for i in stack}, problem
 
 
 def after_angles(tokens: list[Token], i: int) -> int:
@@ -162,8 +178,11 @@ class Braced:
     def __init__(self, source: str, path: str) -> None:
         self.source, self.path = source, path
         script = isinstance(self, TypeScript)
-        self.t = Lexer(source, script, script and path.endswith((".tsx", ".jsx", ".js"))).tokens()
-        self.close = partners(self.t)
+        lexer = Lexer(source, script, script and path.endswith((".tsx", ".jsx", ".js")))
+        self.t = lexer.tokens()
+        self.close, brackets = partners(self.t)
+        #: what is not balanced, if anything
+        self.problem = lexer.problem or brackets
 
     def is_(self, i: int, *texts: str) -> bool:
         return 0 <= i < len(self.t) and self.t[i].text in texts and self.t[i].kind != "string"
@@ -399,9 +418,16 @@ def python_facts(source: str, path: str) -> dict:
 
 
 def facts(language: str, source: str, path: str) -> dict:
-    if language in ("typescript", "javascript"):
-        return TypeScript(source, path).facts()
-    return Java(source, path).facts() if language == "java" else python_facts(source, path)
+    """The facts of a source; of one that is not balanced those that can be made out."""
+    return facts_and_problem(language, source, path)[0]
+
+
+def facts_and_problem(language: str, source: str, path: str) -> tuple[dict, str | None]:
+    """Facts, and what is not balanced."""
+    if language not in ("typescript", "javascript", "java"):
+        return python_facts(source, path), None
+    file = Java(source, path) if language == "java" else TypeScript(source, path)
+    return file.facts(), file.problem
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -419,7 +445,8 @@ def parse(files: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 begun, empty, error = time.perf_counter(), {"imports": [], "exports": [], "classes": [], "functions": []}, None
                 try:
-                    found = facts(row["language"], row["content"], row["path"])
+                    found, error = facts_and_problem(row["language"], row["content"], row["path"])
+                    found = empty if error else found
                 except Exception as e:  # noqa: BLE001  any file may be malformed; the row says how
                     found, error = empty, f"{type(e).__name__}: {e}"[:300]
                 meta = {"parserVersion": PARSER_VERSION, "parsedAt": datetime.now(UTC), "parseDurationMs": int((time.perf_counter() - begun) * 1000)}
