@@ -16,6 +16,8 @@ _MODULES = {
     "op5_decontamination": "decontaminate",
     "op7_sentencepiece": "sentencepiece_codec",
     "op8_sharding": "sharding",
+    "op11_token_align": "token_align",
+    "op12_fill_in_middle": "fill_in_middle",
 }
 
 
