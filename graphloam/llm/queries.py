@@ -18,6 +18,7 @@ _MODULES = {
     "op8_sharding": "sharding",
     "op11_token_align": "token_align",
     "op12_fill_in_middle": "fill_in_middle",
+    "op13_suffix_dedup": "suffix_dedup",
 }
 
 
