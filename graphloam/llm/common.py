@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import hashlib
+import secrets
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -128,8 +129,8 @@ _LANE_MASK = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np
 
 
 def hash_words(data: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A keyed hash of 64 bits for each data[start:end]. Every lane goes through a multiplication and a shift before the next
-    one is taken in, so no algebra of the text (as of a polynomial's) makes different words agree."""
+    """A hash of 64 bits for each data[start:end]. Its seeds are public, so words that agree can be built: use it where agreement
+    only chooses candidates, and keyed_words() where it decides."""
     size, key = end - start, SEEDS[seed]
     out = (size.astype(np.uint64) + np.uint64(1)) * key
     lanes = np.ndarray((len(data) + 1,), np.uint64, data + bytes(8), strides=(1,))
@@ -145,27 +146,81 @@ def hash_words(data: bytes, start: np.ndarray, end: np.ndarray, seed: int = 0) -
     return mix(out)
 
 
+def new_keys(n: int = 2) -> tuple[tuple[int, int], ...]:
+    """Keys for keyed_words(), drawn anew; the tasks of a run share them."""
+    return tuple((secrets.randbits(64), secrets.randbits(64)) for _ in range(n))
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _sip_round(v: list[np.ndarray]) -> None:
+    v[0] = v[0] + v[1]
+    v[2] = v[2] + v[3]
+    v[1] = _turn(v[1], 13) ^ v[0]
+    v[3] = _turn(v[3], 16) ^ v[2]
+    v[0] = _turn(v[0], 32) + v[3]
+    v[2] = v[2] + v[1]
+    v[3] = _turn(v[3], 21) ^ v[0]
+    v[1] = _turn(v[1], 17) ^ v[2]
+    v[2] = _turn(v[2], 32)
+
+
+def keyed_words(data: bytes, start: np.ndarray, end: np.ndarray, key: tuple[int, int]) -> np.ndarray:
+    """SipHash-2-4 of each data[start:end] under a key of 128 bits: who doesn't know the key can't build words that agree.
+    Words longer than LANES are hashed by keyed BLAKE2b."""
+    size = end - start
+    out = np.zeros(len(size), np.uint64)
+    lanes = np.ndarray((len(data) + 1,), np.uint64, data + bytes(8), strides=(1,))
+    rows = np.flatnonzero(size <= LANES)
+    at, left = start[rows], size[rows]
+    # fixed values: the hash's constants, "somepseudorandomlygeneratedbytes"
+    v = [np.full(len(rows), key[i % 2] ^ c, np.uint64) for i, c in enumerate((0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573))]
+    while len(rows):
+        last = left < 8
+        lane = np.where(last, (lanes[at] & _LANE_MASK[np.minimum(left, 8)]) | (size[rows].astype(np.uint64) << np.uint64(56)), lanes[at])
+        v[3] = v[3] ^ lane
+        _sip_round(v)
+        _sip_round(v)
+        v[0] = v[0] ^ lane
+        if last.any():
+            w = [x[last] for x in v]
+            w[2] = w[2] ^ np.uint64(0xFF)
+            for _ in range(4):
+                _sip_round(w)
+            out[rows[last]] = w[0] ^ w[1] ^ w[2] ^ w[3]
+            more = ~last
+            rows, at, left, v = rows[more], at[more], left[more], [x[more] for x in v]
+        at, left = at + 8, left - 8
+    secret = b"".join(k.to_bytes(8, "little") for k in key)
+    for i in np.flatnonzero(size > LANES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8, key=secret).digest(), "little")
+    return out
+
+
 class Words:
     """The words of several documents: hashes, byte ranges and the document's number, all in one pass.
 
     data: the documents' UTF-8 bytes, a space after each. doc[i] is the number of the document that word i is in;
-    first[d]:first[d + 1] are the words of document d.
+    first[d]:first[d + 1] are the words of document d. keys: of keyed hashes, for hash and for second().
     """
 
-    def __init__(self, texts: list[bytes], separators: np.ndarray = SPACES) -> None:
+    def __init__(self, texts: list[bytes], separators: np.ndarray = SPACES, keys: tuple[tuple[int, int], ...] | None = None) -> None:
         self.data = b" ".join(texts) + b" "
         ends_of = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         apart = separators[np.frombuffer(self.data, np.uint8)]
         apart[ends_of - 1] = True
         edge = np.flatnonzero(np.diff(np.concatenate(([True], apart)).view(np.int8)))
         self.start, self.end = edge[0::2], edge[1::2]
-        self.hash = hash_words(self.data, self.start, self.end)
+        self.keys = keys
+        self.hash = keyed_words(self.data, self.start, self.end, keys[0]) if keys else hash_words(self.data, self.start, self.end)
         self.doc = np.searchsorted(ends_of, self.start, side="right")
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
 
     def second(self) -> np.ndarray:
         """Hashes of the words that are independent of the first ones; both together are 128 bits."""
-        return hash_words(self.data, self.start, self.end, 1)
+        return keyed_words(self.data, self.start, self.end, self.keys[1]) if self.keys else hash_words(self.data, self.start, self.end, 1)
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]

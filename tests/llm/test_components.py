@@ -1,9 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloam.llm.common import Durable, join_common
-from graphloam.llm.components import components
+from graphloam.llm.components import FEW, components
 
 
 def brute(edges):
@@ -22,13 +23,14 @@ def brute(edges):
     return {x: root(x) for x in up}
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("few", [0, FEW])
+def test_components_match_union_find(spark, few):
     rng = random.Random(3)
     chain = [(i, i + 1) for i in range(500, 560)]
     star = [(900, i) for i in range(901, 980)]
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + chain + star + [(5, 5), (None, 3), (7, 8), (8, 7)]
     keep = Durable(spark)
-    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), keep).collect()}
+    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), keep, few).collect()}
     assert out == brute(edges)
 
 
@@ -39,7 +41,7 @@ def test_no_edges(spark):
 def test_hubs_and_common_keys_are_joined_apart(spark):
     """A node of twelve thousand edges, and a key of as many rows."""
     edges = [(0, i) for i in range(1, 12_001)] + [(20_000 + i, 20_001 + i) for i in range(50)] + [(12_000, 20_000)]
-    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), Durable(spark)).collect()}
+    out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long"), Durable(spark), few=0).collect()}
     assert len(out) == 12_052 and set(out.values()) == {0}
     rows = spark.createDataFrame([("hot", i) for i in range(11_000)] + [("a", -1), ("a", -2), ("b", -3)], "k string, v int")
     table = rows.groupBy("k").count().withColumn("m", F.upper("k"))
