@@ -3,8 +3,10 @@
 Vectors of one label (and one length) are dealt to shards of bounded size. Each shard's graph of several levels is built once
 and stored in the shared folder; every shard's vectors are searched in every graph of their label. A search is a beam search
 from the top level down; all queries advance together in numpy. Whoever's beam is full of hits gets a wider one; a beam as
-wide as the shard is a scan of it. Then an audit compares AUDIT queries, and more until they have LINKS true links or all have
-been taken, with brute force and doubles all beams until their recall is TARGET at least. Links that the audit saw are kept.
+wide as the shard is a scan of it. How wide a beam begins is found by an audit: a bounded number of queries that are known to have
+links (copies of stored vectors, moved a little, besides rows of the other shard) are compared with brute force, and all
+beams are doubled until the searches find TARGET of those links. Only links that searches found count; an audit that
+the widest beam misses stops the job.
 Hits are verified by cosine in double precision. A task counts the links of each vector and sends a spanning forest of them;
 components of all forests are joined. Equal vectors are searched once and counted with their multiplicity.
 """
@@ -25,8 +27,8 @@ from graphloam.llm.components import components
 COSINE = 0.98
 #: Vectors of a shard in expectation; neighbours of a node; first width of a beam; nodes of a beam expanded at once.
 SHARD, NEIGHBOURS, BEAM, AT_ONCE = 4096, 12, 24, 4
-#: Queries of an audit at least, the true links that it wants to see, and the recall that they must reach.
-AUDIT, LINKS, TARGET = 64, 1000, 0.999
+#: Rows of either shard that an audit takes, and the recall that the searches must reach.
+AUDIT, TARGET = 64, 0.999
 #: Queries that advance together; float32 similarities may be off by MARGIN.
 TOGETHER, MARGIN = 512, 1e-4
 
@@ -188,51 +190,77 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
 
 
-def true_links(x: np.ndarray, y: np.ndarray, own: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, bool]:
-    """(rows of x, rows of y) that link, by brute force, and whether all rows of x have been taken: AUDIT evenly spaced rows,
-    then others until there are LINKS links. own: y is x, and no row links with itself."""
-    first = np.unique(np.linspace(0, len(x) - 1, AUDIT).astype(int))
-    order = np.concatenate([first, np.random.default_rng(0).permutation(np.setdiff1d(np.arange(len(x)), first))])
-    u, v, n, at, step = [], [], 0, 0, len(first)
-    while at < len(x) and n < LINKS:
-        part = order[at : at + step]
-        a, b = np.nonzero(x[part] @ y.T >= cosine - MARGIN)
-        a = part[a]
-        ok = np.concatenate([np.einsum("ij,ij->i", x[a[s : s + (1 << 16)]], y[b[s : s + (1 << 16)]]) >= cosine for s in range(0, len(a), 1 << 16)] or [np.zeros(0, bool)])
-        ok &= (a != b) | (not own)
-        u.append(a[ok])
-        v.append(b[ok])
-        n, at, step = n + int(ok.sum()), at + len(part), TOGETHER
-    return np.concatenate(u), np.concatenate(v), at >= len(x)
+def linked(x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, rows of y) that link, by brute force; x is small."""
+    a, b = np.nonzero(x @ y.T >= cosine - MARGIN)
+    ok = np.concatenate([np.einsum("ij,ij->i", x[a[s : s + (1 << 16)]], y[b[s : s + (1 << 16)]]) >= cosine for s in range(0, len(a), 1 << 16)] or [np.zeros(0, bool)])
+    return a[ok], b[ok]
+
+
+def probes(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Queries of an audit of a graph of y: AUDIT evenly spaced rows of x, and copies of AUDIT rows of y, moved to a cosine
+    between `cosine` and 1. So there are true links, whatever x holds."""
+    own = y[np.unique(np.linspace(0, len(y) - 1, AUDIT).astype(int))]
+    if own.shape[1] > 1:
+        rng = np.random.default_rng(len(y))
+        aside = rng.normal(size=own.shape)
+        aside -= np.einsum("ij,ij->i", aside, own)[:, None] * own
+        to = cosine + (1 - cosine) * rng.uniform(0.1, 0.9, len(own))[:, None]
+        own = unit(to * own + np.sqrt(1 - to * to) * unit(aside))
+    return np.concatenate([x[np.unique(np.linspace(0, len(x) - 1, AUDIT).astype(int))], own])
+
+
+def audited_width(graph: Graph, x: np.ndarray, y: np.ndarray, cosine: float) -> tuple[int, int, int]:
+    """The narrowest beam with which searches in the graph of y find TARGET of an audit's true links; how many those are, and
+    how many of them were found. Raises if a beam of the whole shard does not."""
+    queries = probes(x, y, cosine)
+    u, v = linked(queries, y, cosine)
+    width = BEAM
+    while True:
+        hit = np.zeros((len(queries), len(y)), bool)
+        for q, node in graph.hits(queries.astype(np.float32), cosine - MARGIN, width):
+            hit[q, node] = True
+        found = int(hit[u, v].sum())
+        if found >= TARGET * len(u):
+            return width, len(u), found
+        if width >= len(y):
+            raise RuntimeError(f"searches of a graph of {len(y)} vectors found {found} of {len(u)} links with the widest beam")
+        width *= 2
 
 
 def found_links(x: np.ndarray, graph: Graph, y: np.ndarray | None, other: Graph | None, cosine: float = COSINE) -> tuple[np.ndarray, int, int]:
-    """Which rows of x link with which rows of y, or with other rows of x if y is None, by the graphs of both; and how many true
-    links the audit saw and how many of them the last search had found. Rows are of length 1, in double precision."""
+    """Which rows of x link with which rows of y, or with other rows of x if y is None, as the searches of both graphs find them;
+    and how many true links the audits had, and how many of them were found. Rows are of length 1, in double precision."""
     own = y is None
     y = x if own else y
-    ways = [(graph, x, False)] if own else [(other, x, False), (graph, y, True)]
-    u, v, whole = true_links(x, y, own, cosine)
-    out, width = np.zeros((len(x), len(y)), bool), BEAM
-    while True:
-        for g, queries, turned in ways:
-            for q, node in g.hits(queries.astype(np.float32), cosine - MARGIN, width):
-                i, j = (node, q) if turned else (q, node)
-                for s in range(0, len(i), 1 << 16):
-                    r, c = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
-                    ok = np.einsum("ij,ij->i", x[r], y[c]) >= cosine
-                    out[r[ok], c[ok]] = True
-        if own:
-            out |= out.T
-        found = int(out[u, v].sum())
-        if whole or found >= TARGET * len(u) or width >= max(len(x), len(y)):
-            break
-        width *= 2
-    out[u, v] = True
+    ways = [(graph, x, x, False)] if own else [(other, x, y, False), (graph, y, x, True)]
+    out, seen, right = np.zeros((len(x), len(y)), bool), 0, 0
+    for g, queries, stored, turned in ways:
+        width, true, found = audited_width(g, queries, stored, cosine)
+        seen, right = seen + true, right + found
+        for q, node in g.hits(queries.astype(np.float32), cosine - MARGIN, width):
+            i, j = (node, q) if turned else (q, node)
+            for s in range(0, len(i), 1 << 16):
+                r, c = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+                ok = np.einsum("ij,ij->i", x[r], y[c]) >= cosine
+                out[r[ok], c[ok]] = True
     if own:
-        out[v, u] = True
+        out |= out.T
         np.fill_diagonal(out, False)
-    return out, len(u), found
+    return out, seen, right
+
+
+def all_links(x: np.ndarray, y: np.ndarray | None, cosine: float = COSINE) -> np.ndarray:
+    """The same by comparing all rows."""
+    own = y is None
+    y = x if own else y
+    out = np.zeros((len(x), len(y)), bool)
+    for s in range(0, len(x), TOGETHER):
+        a, b = linked(x[s : s + TOGETHER], y, cosine)
+        out[s + a, b] = True
+    if own:
+        np.fill_diagonal(out, False)
+    return out
 
 
 def forest(links: np.ndarray, square: bool) -> list[tuple[int, int]]:
@@ -289,15 +317,15 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple,
         yield now, held
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, shard: int = SHARD, keep: Durable | None = None, report: dict | None = None) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, shard: int = SHARD, keep: Durable | None = None, report: dict | None = None, exact: bool = False) -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
     key: an integer column. Rows link only when their labels are equal and not null and their vectors have one length; null
     and empty vectors, zero vectors and those with null or non-finite components link with nothing. Rows that repeat a key
     are vectors of their own, but are one node for the components. Rows with a null key have no component and aren't kept.
-    Equal vectors of a label (ties) link. An empty table gives no rows, other columns are not read. report: takes what the
-    audits saw: `true` links of the audited queries, of which `found` by the searches themselves, and their ratio `recall`
-    (None without a true link).
+    Equal vectors of a label (ties) link. An empty table gives no rows; other columns, of whatever name, are not read. report: takes
+    what the audits saw: `true` links of the audited queries, of which `found` by the searches, and their ratio `recall` (None
+    without an audit). exact: all vectors of a label are compared, in the place of the searches and their audits.
     """
     spark, keep = vectors.sparkSession, keep or Durable(vectors.sparkSession)
     small_batches(spark)
@@ -337,10 +365,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
             f, f2, rep, m, x, graph = opened(blobs[i])
             if i == j:
                 g, g2, other_rep, other_m = f, f2, rep, m
-                found, seen, right = found_links(x, graph, None, None, cosine)
+                found, seen, right = (all_links(x, None, cosine), 0, 0) if exact else found_links(x, graph, None, None, cosine)
             else:
                 g, g2, other_rep, other_m, y, other = opened(blobs[j])
-                found, seen, right = found_links(x, graph, y, other, cosine)
+                found, seen, right = (all_links(x, y, cosine), 0, 0) if exact else found_links(x, graph, y, other, cosine)
             count = np.concatenate([found[r : r + 512] @ other_m for r in range(0, len(f), 512)])
             edges = np.array([(rep[a], other_rep[b]) for a, b in forest(found, i == j)], np.int64).reshape(-1, 2)
             kind = [np.zeros(len(f)), np.ones(len(edges)), [2]]

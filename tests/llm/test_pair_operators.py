@@ -393,7 +393,7 @@ def test_recall_of_graphs():
     again = vector_dedup.Graph.load(graph.x, graph.dump())
     assert again.entry == graph.entry and all((a == b).all() for a, b in zip(again.levels, graph.levels, strict=True))
     found, seen, right = vector_dedup.found_links(u, again, None, None)
-    assert seen >= vector_dedup.LINKS and right >= vector_dedup.TARGET * seen
+    assert seen >= vector_dedup.AUDIT and right >= vector_dedup.TARGET * seen
     true = u @ u.T >= 0.98
     np.fill_diagonal(true, False)
     assert not (found & ~true).any() and (found & true).sum() >= 0.99 * true.sum()
