@@ -1,7 +1,8 @@
 """Facts of source files: imports, exports, classes with methods, functions.
 
-TypeScript, JavaScript and Java go through one token scanner, Python through the standard library's `ast`. A file that can't
-be parsed gives a row with an error instead of facts, so a bad file never stops a scan.
+TypeScript, JavaScript and Java go through one token scanner, which for scripts follows the parser's state, Python through the
+standard library's `ast`. A bad file never stops a scan: its row has an error, and the facts that can be made out (of a script or
+Java file that is not balanced; a Python file that can't be parsed has none).
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from datetime import UTC, datetime
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,18 +38,75 @@ _TOKEN = re.compile(
     r"(?P<skip>//[^\n]*|/\*.*?(?:\*/|\Z)|\s+)|(?P<string>\"\"\".*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?)|(?P<word>[\w$@#]+)|(?P<mark>=>|\?\.|\.\.\.|.)", re.S
 )
 _REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
-_TAG = re.compile(r"<(?:>|[A-Za-z_$][\w$.:-]*(?=[\s/>]))")
+_TAG = re.compile(r"<(?:>|[A-Za-z_$][\w$.:-]*(?=[\s/><]))")
+#: A list of type parameters where an element may begin as well: it has a comma, a default, or a bound that is no attribute.
+_TYPE_LIST = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|=\s*[^\s\"'{>]|extends\s+[^=>/\s])")
 #: Words behind which an operand follows.
-_BEFORE_OPERAND = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "await", "yield", "default", "extends"}
+_BEFORE_OPERAND = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "await", "yield", "default", "extends", "keyof", "as", "satisfies"}
+#: Words whose brackets hold a condition, so a statement follows; words and marks before a brace that opens a block.
+_CONDITION, _BLOCK = {"if", "while", "for", "with", "switch", "catch"}, {"else", "do", "try", "finally", ";", "=>", ">"}
 
 
 class Unbalanced(ValueError):
     """A bracket, template or element that is not closed, or closes nothing."""
 
 
+class State:
+    """Where a script's parser stands: whether an operand is due (so a slash begins a regular expression and an angle bracket an
+    element), and for each open bracket what follows when it closes."""
+
+    def __init__(self, in_expression: bool) -> None:
+        self.due, self.last, self.stack = True, None, []
+        #: the first brace is that of an expression within a template or element
+        self.in_expression = in_expression
+
+    def _opens_block(self) -> bool:
+        """Whether a brace that comes next opens a block (or a class, or an interface), and no object."""
+        if self.last is None:
+            return not self.in_expression
+        if not self.due or self.last.text in _BLOCK or self.last.text in "{}" or self.last.text == ")":
+            return True
+        return self.last.text == ":" and (not self.stack or self.stack[-1][0] == "block")
+
+    def take(self, t: Token, source: str) -> None:
+        after_dot = self.last is not None and self.last.kind == "mark" and self.last.text in (".", "?.")
+        if t.kind == "string":
+            self.due = False
+        elif t.kind == "word":
+            # a key of an object, a property or a method may have any name
+            self.due = t.text in _BEFORE_OPERAND and not after_dot and not (t.text in ("of", "as", "in") and self.due)
+        elif t.text == "(":
+            word = self.last.text if self.last is not None and self.last.kind == "word" and not self.before_last_dot else ""
+            self.stack.append(("condition" if word in _CONDITION or (word == "await" and self.second_last == "for") else "group", self.due))
+            self.due = True
+        elif t.text == "[":
+            self.stack.append(("list", self.due))
+            self.due = True
+        elif t.text == "{":
+            self.stack.append(("block" if self._opens_block() else "object", self.due))
+            self.due = True
+        elif t.text in (")", "]", "}"):
+            kind = self.stack.pop()[0] if self.stack else "group"
+            self.due = kind in ("condition", "block")
+        elif t.text in "+-" and self.last is not None and self.last.kind == "mark" and self.last.text == t.text and self.last.end == t.at:
+            self.due = self.due_before  # after an operand the pair is a suffix
+        elif t.text == "!" and not self.due and not source.startswith("=", t.end):
+            pass  # says that an operand is not null
+        else:
+            self.due = t.text not in (".", "?.")
+        if t.text not in "+-" or t.kind != "mark":
+            self.due_before = self.due
+        self.before_last_dot = after_dot
+        self.second_last = self.last.text if self.last is not None else ""
+        self.last = t
+
+    due_before, before_last_dot, second_last = True, False, ""
+
+
 class Lexer:
     """Tokens of a source. expressions: a slash may begin a regular expression and a backquote a template (which may hold
-    expressions, and these templates); jsx: an angle bracket where an operand is due begins an element, which is one token."""
+    expressions, and these templates); jsx: an angle bracket where an operand is due begins an element, which is one token, or
+    else, if it can't be one, a list of type parameters."""
 
     def __init__(self, source: str, expressions: bool, jsx: bool) -> None:
         self.source, self.expressions, self.jsx = source, expressions, jsx
@@ -65,30 +123,46 @@ class Lexer:
         try:
             return "string", self._template(at) if self.source[at] == "`" else self._element(at)
         except (Unbalanced, RecursionError) as e:
+            if self.source[at] == "<" and self._type_list_end(at):
+                return "mark", at + 1
             if inside:
                 raise
             self.problem = self.problem or f"{type(e).__name__}: {e}"
             return ("string", len(self.source)) if self.source[at] == "`" else ("mark", at + 1)
 
+    def _type_list_end(self, at: int) -> int | None:
+        """Behind a list of type parameters at a place, if the parameters of a function follow it."""
+        depth = 0
+        for m in re.compile(r"=>|[<>(){}\[\];]").finditer(self.source, at):
+            depth += {"<": 1, ">": -1}.get(m[0], 0)
+            if not depth:
+                return m.end() if re.compile(r"\s*\(").match(self.source, m.end()) else None
+            if m[0] == ";":
+                return None
+        return None
+
     def _line(self, at: int) -> int:
         return self.source.count("\n", 0, at) + 1
 
     def _run(self, at: int, one_block: bool) -> tuple[list[Token], int]:
         """Tokens from a place to the end; or, if a brace opens there, to behind the one that closes it."""
         source, out, line, depth, begun = self.source, [], 1, 0, at
+        state = State(one_block)
         while at < len(source):
             c, kind = source[at], "string"
             if c == "`" and self.expressions:
                 kind, end = self._whole(at, one_block)
-            elif c == "/" and self.expressions and self._operand_due(out) and (m := _REGEX.match(source, at)):
+            elif c == "/" and self.expressions and state.due and (m := _REGEX.match(source, at)):
                 end = m.end()
-            elif c == "<" and self.jsx and self._operand_due(out) and _TAG.match(source, at):
+            elif c == "<" and self.jsx and state.due and _TAG.match(source, at) and not _TYPE_LIST.match(source, at):
                 kind, end = self._whole(at, one_block)
             else:
                 m = _TOKEN.match(source, at)
                 kind, end = m.lastgroup, m.end()
             if kind != "skip":
                 out.append(Token(kind, source[at:end], line, at, end))
+                if self.expressions:
+                    state.take(out[-1], source)
             line += source.count("\n", at, end)
             at = end
             if one_block and kind == "mark":
@@ -99,13 +173,6 @@ class Lexer:
             raise Unbalanced(f"line {self._line(begun)}: a brace stays open")
         return out, at
 
-    @staticmethod
-    def _operand_due(before: list[Token]) -> bool:
-        if not before:
-            return True
-        last = before[-1]
-        return last.text in _BEFORE_OPERAND if last.kind == "word" else last.kind == "mark" and last.text not in {")", "]", "<"}
-
     def _template(self, at: int) -> int:
         begun, at = at, at + 1
         while at < len(self.source):
@@ -120,11 +187,22 @@ class Lexer:
     def _element(self, at: int) -> int:
         source, begun, at = self.source, at, _TAG.match(self.source, at).end()
         if source[at - 1] != ">":
+            if source.startswith("<", at):  # type arguments of the component
+                depth = 0
+                while at < len(source):
+                    depth += {"<": 1, ">": -1}.get(source[at], 0) if source[at - 1 : at + 1] != "=>" else 0
+                    at += 1
+                    if not depth:
+                        break
             while not source.startswith((">", "/>"), at):  # attributes
                 if at >= len(source):
                     raise Unbalanced(f"line {self._line(begun)}: a tag stays open")
                 if source[at] in "\"'":
                     at = source.find(source[at], at + 1) + 1 or len(source)
+                elif source.startswith(("//", "/*"), at):
+                    at = _TOKEN.match(source, at).end()
+                elif source[at] == "<" and _TAG.match(source, at):
+                    at = self._element(at)
                 else:
                     at = self._run(at, True)[1] if source[at] == "{" else at + 1
             if source.startswith("/>", at):
@@ -430,11 +508,16 @@ def facts_and_problem(language: str, source: str, path: str) -> tuple[dict, str
     return file.facts(), file.problem
 
 
+def has_facts() -> Column:
+    """Whether a parsed row belongs in a graph: it has no error, or facts in spite of one."""
+    return F.col("error").isNull() | (F.size("imports") + F.size("exports") + F.size("classes") + F.size("functions") > 0)
+
+
 def parse(files: DataFrame) -> DataFrame:
     """(repositoryId, path, content, contentHash, ...) -> PARSED_FILE, for supported extensions only.
 
-    content: decoded text. Null content and files that can't be parsed give a row with error and empty facts; select them
-    by `error is not null`.
+    content: decoded text. Files that are not balanced give a row with an error and the facts that can be made out; null content
+    and Python files that can't be parsed one without facts. Select them by `error is not null`.
     """
     schema = T._parse_datatype_string(PARSED_FILE)
     arrow = to_arrow_schema(schema)
@@ -446,7 +529,6 @@ def parse(files: DataFrame) -> DataFrame:
                 begun, empty, error = time.perf_counter(), {"imports": [], "exports": [], "classes": [], "functions": []}, None
                 try:
                     found, error = facts_and_problem(row["language"], row["content"], row["path"])
-                    found = empty if error else found
                 except Exception as e:  # noqa: BLE001  any file may be malformed; the row says how
                     found, error = empty, f"{type(e).__name__}: {e}"[:300]
                 meta = {"parserVersion": PARSER_VERSION, "parsedAt": datetime.now(UTC), "parseDurationMs": int((time.perf_counter() - begun) * 1000)}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloam.functions import text
+from graphloam.operators.extract import has_facts
 
 _NODE = ["id", "type", "label", "repositoryId", "filePath", "metadataJson"]
 
@@ -124,7 +125,7 @@ def build_graph(parsed: DataFrame, repository: str, resolve: bool = False, by_re
     by_repository: external nodes are kept for each repository; False keeps one for all (the last writer's).
     resolve: also follows parents by name and imports by extension.
     """
-    good = parsed.where(F.col("error").isNull()) if "error" in parsed.columns else parsed
+    good = parsed.where(has_facts()) if "error" in parsed.columns else parsed
     count = good.agg(F.count(F.lit(1)).alias("n"))
     root = count.select(F.lit(repository).alias("id"), F.lit("repository").alias("type"), F.lit(repository).alias("label"), F.lit(repository).alias("repositoryId"), F.lit("").alias("filePath"), F.to_json(F.struct(F.col("n").alias("fileCount"))).alias("metadataJson"))
     nodes = root.unionByName(last_wins(to_nodes(good), ("repositoryId", "id") if by_repository else ("id",)))

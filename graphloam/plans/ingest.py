@@ -141,7 +141,7 @@ def ingest(state: State, files: DataFrame, repository: str, embed: Callable[[lis
         kept_nodes, kept_edges = mutate.delete_for_files(state.nodes, state.edges, stale, repository, prune_externals=False)
         parsed = tables.write(mutate.delete_by_keys(state.parsed, stale.withColumn("repositoryId", F.lit(repository)))[0].unionByName(fresh))
         built, _, _ = graph_build.build_graph(fresh, repository)
-        whole, edges_all, _ = graph_build.build_graph(parsed.where(own & F.col("error").isNull()), repository)
+        whole, edges_all, _ = graph_build.build_graph(parsed.where(own), repository)
         nodes = mutate.merge_nodes(mutate.merge_nodes(kept_nodes, built), whole.where(F.col("type") == "repository"))
         other = kept_edges.join(nodes.where(~own).select(F.col("id").alias("sourceId")), "sourceId", "left_semi").select(*kept_edges.columns)
         edges = tables.write(mutate.merge_edges(other, edges_all, nodes))
@@ -151,7 +151,7 @@ def ingest(state: State, files: DataFrame, repository: str, embed: Callable[[lis
     chunks, failed = state.chunks, None
     with watch.stage("embed"):
         progress("indexing", PROGRESS["indexing"])
-        new = chunking.chunk(fresh.where(F.col("error").isNull()), files)
+        new = chunking.chunk(fresh.where(extract.has_facts()), files)
         try:
             new = tables.write(vectors.embed_chunks(new, embed, dimension) if embed else new)
             gone = stale.select(F.lit(repository).alias("repositoryId"), F.col("path").alias("filePath"))

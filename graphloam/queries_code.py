@@ -12,7 +12,7 @@ from graphloam.functions import text
 from graphloam.operators import chunks as chunking
 from graphloam.operators import extract, graph_build, layout, metrics, vectors
 from graphloam.plans.durable import Tables
-from graphloam.plans.rendered import SOURCES_SQL, sources
+from graphloam.plans.rendered import PIECES_SQL, SOURCES_SQL, pieces, sources
 from graphloam.queries import _read, query
 from graphloam.sources import pr_files, tree
 
@@ -44,27 +44,34 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(FACTS_SQL + """ SELECT repo AS "repositoryId", path, what, owner, name, detail, first, last FROM fact""")
 def parsed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fact of every file, flattened."""
-    p = _parsed(spark, sf_dir).where("error is null")
+    return _flat(_parsed(spark, sf_dir).where("error is null"))
+
+
+def _flat(p: DataFrame) -> DataFrame:
+    """A row for every fact, from one pass over the files."""
     none, zero = F.lit(""), F.lit(0)
-    call = lambda f: F.concat_ws("|", F.array_join(f["params"], ","), F.coalesce(f["returnType"], none), f["isAsync"].cast("string"), f["isExported"].cast("string"))
-
-    def rows(df: DataFrame, what: str, owner, name, detail, first=zero, last=zero) -> DataFrame:  # noqa: ANN001
-        return df.select("repositoryId", "path", F.lit(what).alias("what"), owner.alias("owner"), name.alias("name"), detail.alias("detail"), first.cast("int").alias("first"), last.cast("int").alias("last"))
-
-    each = lambda column: p.select("repositoryId", "path", F.explode(column).alias("x"))
-    x, classes = F.col("x"), each("classes")
-    methods = classes.select("repositoryId", "path", F.col("x.name").alias("owner"), F.explode("x.methods").alias("x"))
-    place = x["location"]
-    parts = [
-        rows(each("imports"), "import", none, x["source"], F.array_join(x["specifiers"], ",")), rows(each("exports"), "export", none, x["name"], x["isDefault"].cast("string")),
-        rows(classes, "class", none, x["name"], F.concat_ws("|", F.coalesce(x["extends"], none), F.array_join(x["implements"], ","), x["isAbstract"].cast("string")), place["startLine"], place["endLine"]),
-        rows(methods, "method", F.col("owner"), x["name"], call(x), place["startLine"], place["endLine"]), rows(each("functions"), "function", none, x["name"], call(x), place["startLine"], place["endLine"]),
-        rows(each("frameworkHints"), "hint", none, x["framework"], x["hint"]),
-    ]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+
+    def row(what: str, owner, name, detail, place=None):  # noqa: ANN001, ANN202
+        first, last = (zero, zero) if place is None else (place["startLine"], place["endLine"])
+        return F.struct(F.lit(what).alias("what"), owner.alias("owner"), name.alias("name"), F.coalesce(detail, none).alias("detail"), first.cast("int").alias("first"), last.cast("int").alias("last"))
+
+    def call(what: str, owner, f):  # noqa: ANN001, ANN202
+        return row(what, owner, f["name"], F.concat_ws("|", F.array_join(f["params"], ","), F.coalesce(f["returnType"], none), f["isAsync"].cast("string"), f["isExported"].cast("string")), f["location"])
+
+    facts = F.concat(
+        F.transform("imports", lambda x: row("import", none, x["source"], F.array_join(x["specifiers"], ","))), F.transform("exports", lambda x: row("export", none, x["name"], x["isDefault"].cast("string"))),
+        F.transform("classes", lambda x: row("class", none, x["name"], F.concat_ws("|", F.coalesce(x["extends"], none), F.array_join(x["implements"], ","), x["isAbstract"].cast("string")), x["location"])),
+        F.flatten(F.transform("classes", lambda c: F.transform(c["methods"], lambda x: call("method", c["name"], x)))), F.transform("functions", lambda x: call("function", none, x)),
+        F.transform("frameworkHints", lambda x: row("hint", none, x["framework"], x["hint"])),
+    )
+    return p.select("repositoryId", "path", F.inline(facts))
+
+
+@query(PIECES_SQL)
+def scanned_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands in files that are made of pieces: regular expressions after conditions and blocks, divisions, nested
+    templates, type lists and elements, in a thousand combinations."""
+    return _flat(extract.parse(pieces(spark, sf_dir))).select("path", "what", "owner", "name", "first", "last")
 
 
 @query(

@@ -1,6 +1,6 @@
 import re
 
-from graphloam.operators import extract
+from graphloam.operators import extract, graph_build
 from graphloam.sources import tree
 
 TS = """import { Injectable } from '@nestjs/common'
@@ -139,9 +139,47 @@ def test_elements_in_expressions():
     assert [i["source"] for i in f["imports"]] == ["react"]
 
 
-def test_unbalanced_files_are_errors(spark):
-    bad = ["class A { m() {", "const a = `open ${b", "f(]", "}", "const x = <p>never closed"]
-    rows = [("r", f"f{i}.tsx", t, "h") for i, t in enumerate(bad)] + [("r", "good.tsx", "class B {}", "h")]
-    out = {r["path"]: r for r in extract.parse(spark.createDataFrame(rows, "repositoryId string, path string, content string, contentHash string")).collect()}
-    assert all("Unbalanced" in out[f"f{i}.tsx"]["error"] and not out[f"f{i}.tsx"]["classes"] for i in range(len(bad)))
+def test_unbalanced_files_have_an_error_and_the_facts_that_can_be_made_out(spark):
+    bad = ["class A { m() {", "const a = `open ${b", "f(]", "}", "const x = <p>never closed", "import a from 'a'\nclass C { n() {} }\nfunction f() {"]
+    rows = [("r", f"f{i}.tsx", t, "h") for i, t in enumerate(bad)] + [("r", "good.tsx", "class B {}", "h"), ("r", "bad.py", "def (", "h")]
+    parsed = extract.parse(spark.createDataFrame(rows, "repositoryId string, path string, content string, contentHash string"))
+    out = {r["path"]: r for r in parsed.collect()}
+    assert all("Unbalanced" in out[f"f{i}.tsx"]["error"] for i in range(len(bad)))
+    assert [c["name"] for c in out["f0.tsx"]["classes"]] == ["A"] and not out["f1.tsx"]["classes"]
+    last = out["f5.tsx"]
+    assert [i["source"] for i in last["imports"]] == ["a"] and [(c["name"], [m["name"] for m in c["methods"]]) for c in last["classes"]] == [("C", ["n"])] and [x["name"] for x in last["functions"]] == ["f"]
     assert out["good.tsx"]["error"] is None and out["good.tsx"]["classes"][0]["name"] == "B"
+    # they are in the graph by what they have; a file that can't be parsed at all is not
+    ids = {r["id"] for r in graph_build.build_graph(parsed, "r")[0].collect()}
+    assert {"r:f0.tsx#A", "r:f5.tsx#C#n", "r:f5.tsx#f", "r:good.tsx"} <= ids and "r:bad.py" not in ids and "r:f1.tsx" not in ids
+
+
+def seen(source: str, path: str = "a.ts") -> tuple:
+    f, problem = extract.facts_and_problem("typescript", source, path)
+    return [(c["name"], [m["name"] for m in c["methods"]]) for c in f["classes"]], [x["name"] for x in f["functions"]], [e["name"] for e in f["exports"]], problem
+
+
+def test_a_slash_after_a_condition_begins_a_regular_expression():
+    assert seen("class K { m() {} }\nfunction a(x) { if (x) /`/.test(x) }\nclass Z {}\nfunction b(x) { while (f(x)) /`/.test(x) }\n") == ([("K", ["m"]), ("Z", [])], ["a", "b"], [], None)
+    assert seen("for (const k of /[\"]/g.exec(s)) /'/.exec(k)\nclass Q { static n = (1) / 2; get v() { return this.a / this.b } }\nfunction ok() {}") == ([("Q", ["v"])], ["ok"], [], None)
+
+
+def test_a_slash_after_an_operand_divides():
+    assert seen("let a = b++ / 2 / c, d = x! / 2, e = f() / 2, g = h[1] / `/`.length\nx.if(a) / 2 / `/`\nconst o = { a: 1 } / `/`.length\nclass T {}") == ([("T", [])], [], [], None)
+    assert seen("const o = { return: /`/, of: 1 / 2 }; i = ++/`/.lastIndex\nclass T {}") == ([("T", [])], [], [], None)
+
+
+def test_a_slash_after_a_block_begins_a_statement():
+    assert seen("switch (x) { case 1: { a() } /'/.test(z); default: /\"/.exec(q) }\nif (a) { } else { } /`/.test(b)\nlabel: { } /`/g\ntry { } finally { } /`/.test(c)\nfunction after() {}") == ([], ["after"], [], None)
+    assert seen("const f = () => { }\n/`/.test(a)\nclass W<T> extends V<T> { p = /'/; q() {} }\n/`/.test(b)\nfunction end() {}") == ([("W", ["q"])], ["end"], [], None)
+
+
+def test_type_lists_are_no_elements():
+    assert seen("export const f = <T extends unknown>(x: T) => x\nexport class A { m() {} }\nfunction g() { return <p>hi</p> }", "a.tsx") == ([("A", ["m"])], ["g"], ["f", "A"], None)
+    assert seen("const c = <T extends { a: string }>(x: T): T => { return x }\nconst d = <const T,>(x: T) => x\nconst e = async <T, U = string>(x: T) => x\nfunction z() {}", "a.tsx") == ([], ["z"], [], None)
+    assert seen("const f = <T>(x: T) => x\nfunction z() {}", "a.tsx")[1] == ["z"]  # an element by the language's rules, but none that ends
+    assert seen("const a = <any>b / 2; type M = Array<Map<string, { x: number }>>\nfunction z() {}") == ([], ["z"], [], None)
+
+
+def test_elements_with_types_elements_and_comments_in_attributes():
+    assert seen("const e = <Foo<Map<string, () => void>> a={1} icon=<B x='>'/> /* > */ // />\n>x</Foo>\nexport function End() { return <a.b-c extends={1} /> }", "a.tsx") == ([], ["End"], ["End"], None)
