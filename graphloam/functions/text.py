@@ -29,16 +29,16 @@ LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx":
 
 # Framework hints as (language, substrings of which one must occur, framework, hint).
 HINTS = [
-    ("typescript", ["@nestjs/"], "nestjs", "@nestjs import"),
-    ("typescript", ["@angular/"], "angular", "@angular import"),
-    ("typescript", ["from 'react'", 'from "react"'], "react", "react import"),
-    ("typescript", ["express"], "express", "express reference"),
-    ("python", ["fastapi", "FastAPI"], "fastapi", "fastapi reference"),
-    ("python", ["flask", "Flask"], "flask", "flask reference"),
-    ("python", ["django"], "django", "django reference"),
-    ("java", ["springframework"], "spring", "springframework import"),
-    ("java", ["@Controller", "@RestController"], "spring", "controller annotation"),
-    ("java", ["@Service"], "spring", "service annotation"),
+    ("typescript", ["@nestjs/"], "nestjs", "@nestjs import detected"),
+    ("typescript", ["@angular/"], "angular", "@angular import detected"),
+    ("typescript", ["from 'react'", 'from "react"'], "react", "react import detected"),
+    ("typescript", ["express"], "express", "express import detected"),
+    ("python", ["fastapi", "FastAPI"], "fastapi", "FastAPI detected"),
+    ("python", ["flask", "Flask"], "flask", "Flask detected"),
+    ("python", ["django"], "django", "Django detected"),
+    ("java", ["springframework"], "spring", "Spring import detected"),
+    ("java", ["@Controller", "@RestController"], "spring", "Spring Controller"),
+    ("java", ["@Service"], "spring", "Spring Service"),
 ]
 
 MAX_CONTENT, PREVIEW_LINES, CLASS_PREVIEW = 2000, 50, 10

@@ -76,11 +76,11 @@ def to_edges(parsed: DataFrame) -> DataFrame:
     return out
 
 
-def number_edges(edges: DataFrame) -> DataFrame:
-    """Edge ids `type:source->target:ordinal`: the ordinal tells equal triples apart, in source order, so that building the
+def number_edges(edges: DataFrame, *more: str) -> DataFrame:
+    """Edges, with the columns `more` besides. Edge ids `type:source->target:ordinal`: the ordinal tells equal triples apart, in source order, so that building the
     graph again gives the same ids."""
     same = Window.partitionBy("type", "sourceId", "targetId").orderBy("path", "position")
-    return edges.select(F.concat(text.edge_id(F.col("type"), F.col("sourceId"), F.col("targetId")), F.lit(":"), F.row_number().over(same).cast("string")).alias("id"), "sourceId", "targetId", "type", "properties")
+    return edges.select(F.concat(text.edge_id(F.col("type"), F.col("sourceId"), F.col("targetId")), F.lit(":"), F.row_number().over(same).cast("string")).alias("id"), "sourceId", "targetId", "type", "properties", *more)
 
 
 def last_wins(nodes: DataFrame, keys: tuple[str, ...] = ("id",), ordinal: str = "ordinal") -> DataFrame:
@@ -119,6 +119,18 @@ def resolve_extensions(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(hit, "id", "left").withColumn("targetId", F.coalesce("found", "targetId")).select(*edges.columns)
 
 
+def root_node(count: DataFrame, repository: str) -> DataFrame:
+    """The repository's node; count: one row (n: its files)."""
+    name = F.lit(repository)
+    return count.select(name.alias("id"), F.lit("repository").alias("type"), name.alias("label"), name.alias("repositoryId"), F.lit("").alias("filePath"), F.to_json(F.struct(F.col("n").alias("fileCount"))).alias("metadataJson"))
+
+
+def root_edges(parsed: DataFrame, repository: str, *more: str) -> DataFrame:
+    """An edge from the repository to each file."""
+    name = F.lit(repository)
+    return parsed.select(F.concat(F.lit("CONTAINS:"), name, F.lit("->"), F.col("id")).alias("id"), name.alias("sourceId"), F.col("id").alias("targetId"), F.lit("CONTAINS").alias("type"), F.create_map().cast("map<string,string>").alias("properties"), *more).dropDuplicates(["id"])
+
+
 def build_graph(parsed: DataFrame, repository: str, resolve: bool = False, by_repository: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, warnings) of one repository.
 
@@ -126,11 +138,9 @@ def build_graph(parsed: DataFrame, repository: str, resolve: bool = False, by_re
     resolve: also follows parents by name and imports by extension.
     """
     good = parsed.where(has_facts()) if "error" in parsed.columns else parsed
-    count = good.agg(F.count(F.lit(1)).alias("n"))
-    root = count.select(F.lit(repository).alias("id"), F.lit("repository").alias("type"), F.lit(repository).alias("label"), F.lit(repository).alias("repositoryId"), F.lit("").alias("filePath"), F.to_json(F.struct(F.col("n").alias("fileCount"))).alias("metadataJson"))
+    root = root_node(good.agg(F.count(F.lit(1)).alias("n")), repository)
     nodes = root.unionByName(last_wins(to_nodes(good), ("repositoryId", "id") if by_repository else ("id",)))
-    top = good.select(F.concat(F.lit("CONTAINS:"), F.lit(repository), F.lit("->"), F.col("id")).alias("id"), F.lit(repository).alias("sourceId"), F.col("id").alias("targetId"), F.lit("CONTAINS").alias("type"), F.create_map().cast("map<string,string>").alias("properties")).dropDuplicates(["id"])
-    edges = top.unionByName(number_edges(to_edges(good)))
+    edges = root_edges(good, repository).unionByName(number_edges(to_edges(good)))
     if resolve:
         edges = resolve_extensions(resolve_parents(edges, nodes), nodes)
     return nodes.select(*_NODE), resolve_endpoints(edges, nodes), dangling(edges, nodes)

@@ -10,8 +10,6 @@ from graphloam.plans.durable import Tables
 
 # Fixed values.
 MAX_IMPACTED, TWO_HOP_BELOW, CONTEXT_IDS, REFERENCES, PR_FILES = 50, 30, 20, 5, 100
-#: Paths and labels of a text that is embedded; an embedding model cuts longer ones anyway.
-QUERY_WORDS = 10_000
 
 
 def changed_files(pr_files: DataFrame) -> DataFrame:
@@ -44,10 +42,10 @@ def context_ids(direct: DataFrame, impacted: DataFrame, most: int = CONTEXT_IDS)
 
 
 def query_text(paths: DataFrame, direct: DataFrame) -> DataFrame:
-    """one row: the paths and the direct nodes' labels, joined by spaces. A model reads no more than the first QUERY_WORDS
-    of each, in order, so that one row never holds a whole repository."""
-    p = paths.orderBy("path").limit(QUERY_WORDS).agg(F.array_join(F.sort_array(F.collect_list("path")), " ").alias("p"))
-    d = direct.orderBy("label").limit(QUERY_WORDS).agg(F.array_join(F.sort_array(F.collect_list("label")), " ").alias("d"))
+    """one row: all paths and the direct nodes' labels, in order, joined by spaces. It is one text and so one row; a source
+    of pull requests gives PR_FILES files at most, so it holds the nodes of that many files."""
+    p = paths.agg(F.array_join(F.sort_array(F.collect_list("path")), " ").alias("p"))
+    d = direct.agg(F.array_join(F.sort_array(F.collect_list("label")), " ").alias("d"))
     return p.crossJoin(d).select(F.concat_ws(" ", "p", "d").alias("text"))  # one row each
 
 

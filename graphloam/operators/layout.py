@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the force model.
@@ -59,11 +59,14 @@ def relax(n: int, links: list[tuple[int, int]], ticks: int = TICKS) -> np.ndarra
 
 
 def force_layout(nodes: DataFrame, edges: DataFrame, ticks: int = TICKS) -> DataFrame:
-    """(repositoryId, id, x, y), a layout for each repository: of its first MOST_NODES nodes by id by force, as a page shows
-    them; the others follow on the spiral, so every node has a place. Self loops and dangling edges have no effect."""
+    """(repositoryId, id, x, y), a layout by force for each repository. A repository is one task's work, so the job fails where
+    one has more than MOST_NODES nodes: lay out the page that is shown. Self loops and dangling edges have no effect."""
     schema = "repositoryId string, id string, x double, y double"
-    every = nodes.select("repositoryId", "id").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("repositoryId").orderBy("id")) - 1)
-    own, rest = every.where(F.col("rank") < MOST_NODES).drop("rank"), every.where(F.col("rank") >= MOST_NODES)
+    every = nodes.select("repositoryId", "id").distinct()
+    sizes = every.groupBy("repositoryId").agg(F.count(F.lit(1)).alias("n"))
+    too_many = F.raise_error(F.concat(F.lit("repository "), "repositoryId", F.lit(f" has more than {MOST_NODES} nodes; lay out a page of them")))
+    small = sizes.select("repositoryId", F.when(F.col("n") > MOST_NODES, too_many.cast("boolean")).otherwise(True).alias("small")).where("small")
+    own = every.join(small, "repositoryId", "left_semi")  # fails before a task gets such a repository
     inside = edges.join(own.select(F.col("repositoryId").alias("repo"), F.col("id").alias("sourceId")), "sourceId").join(own.select(F.col("repositoryId").alias("repo"), F.col("id").alias("targetId")), ["repo", "targetId"], "left_semi").select("repo", "sourceId", "targetId")
 
     def run(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
@@ -73,5 +76,4 @@ def force_layout(nodes: DataFrame, edges: DataFrame, ticks: int = TICKS) -> Data
         at = relax(len(ids), links, ticks)
         return pd.DataFrame({"repositoryId": key[0], "id": ids, "x": at[:, 0], "y": at[:, 1]})
 
-    far = spiral(F.col("rank"))
-    return own.groupBy("repositoryId").cogroup(inside.groupBy("repo")).applyInPandas(run, schema).unionByName(rest.select("repositoryId", "id", far["x"].alias("x"), far["y"].alias("y")))
+    return own.groupBy("repositoryId").cogroup(inside.groupBy("repo")).applyInPandas(run, schema)

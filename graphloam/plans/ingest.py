@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from graphloam.operators import chunks as chunking
 from graphloam.operators import diff as diffing
 from graphloam.operators import extract, graph_build, metrics, mutate, vectors
 from graphloam.plans.durable import Tables
+from graphloam.plans.versions import Versions
 
 TABLES = {"parsed": schemas.PARSED_FILE, "nodes": schemas.NODES, "edges": schemas.EDGES, "chunks": schemas.CHUNKS}
 LOG = "jobId string, step int, stage string, percent int"
@@ -32,6 +34,12 @@ class IngestionError(RuntimeError):
         self.code = code
 
 
+def reason(e: Exception) -> str:
+    """What went wrong, in a line: of an exception in a worker, its own message."""
+    own = re.findall(r"(?m)^\s*(?:[\w.]+\.)?\w*(?:Error|Exception): (.+)$", str(e)) if "Traceback" in str(e) else []
+    return (own[-1] if own else str(e)).strip()[:300]
+
+
 @dataclass
 class State:
     """The tables of a workspace; every ingestion gives a new state."""
@@ -43,35 +51,41 @@ class State:
 
 
 class Workspace:
-    """The tables of all repositories in a folder, each repository in a directory of its own, so that an ingestion reads and
-    replaces its repository's rows only."""
+    """The tables of all repositories in a folder, each repository in a directory and with versions of its own: an ingestion
+    reads and replaces its repository's rows only, and its four tables change together."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def _at(self, table: str, repository: str) -> str:
-        return f"{self.path}/{table}/repository={quote(repository, safe='')}"
+    def versions(self, repository: str) -> Versions:
+        return Versions(self.spark, f"{self.path}/repository={quote(repository, safe='')}", TABLES)
 
     def state(self, repository: str) -> State:
-        """A repository's tables; empty ones if it is new."""
-        return State(**{t: self._read(t, self._at(t, repository)) for t in TABLES})
+        """A repository's tables, all of one version; empty ones if it is new."""
+        at = self.versions(repository)
+        number = at.latest()
+        return State(**{t: at.read(t, number) for t in TABLES})
 
     def whole(self, table: str) -> DataFrame:
         """A table's rows of all repositories."""
-        return self._read(table, f"{self.path}/{table}")
-
-    def _read(self, table: str, path: str) -> DataFrame:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-        rows = self.spark.read.schema(TABLES[table]).option("recursiveFileLookup", True)
-        return rows.parquet(path) if there else self.spark.createDataFrame([], TABLES[table])
+        out = self.spark.createDataFrame([], TABLES[table])
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [unquote(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(root)] if fs.exists(root) else []
+        found = [f"{at.path}/{d}" for at in map(self.versions, names) for d in at.manifest()["tables"].get(table, [])]
+        return self.spark.read.schema(TABLES[table]).parquet(*found) if found else out
 
     def put(self, repository: str, state: State) -> None:
+        """state in the place of what the repository had: written first, then made the next version by one rename."""
+        at = self.versions(repository)
+        change = at.begin()
         for t in TABLES:
-            mutate.swap_in(self.spark, getattr(state, t), self._at(t, repository))
+            change.replace(t, getattr(state, t))
+        change.commit()
+        at.vacuum()
 
     def ingest(self, files: DataFrame, repository: str, **options) -> dict:  # noqa: ANN003
-        """ingest() on the stored state; the new one takes its place table by table. The row of metrics."""
+        """ingest() on the stored state; the new one takes its place. The row of metrics."""
         with Tables(self.spark) as tables:
             new, row = ingest(self.state(repository), files, repository, tables=tables, **options)
             self.put(repository, new)
@@ -157,7 +171,7 @@ def ingest(state: State, files: DataFrame, repository: str, embed: Callable[[lis
             gone = stale.select(F.lit(repository).alias("repositoryId"), F.col("path").alias("filePath"))
             chunks = tables.write(mutate.delete_by_keys(state.chunks, gone)[0].unionByName(new))
         except Exception as e:  # noqa: BLE001  without embeddings the repository is still usable
-            failed = str(e)[:300]
+            failed = reason(e)
     counts = metrics.metric_row(diffing.bucket_counts(diff) if again else None, fresh.count())
     row = counts | {
         "repositoryId": repository, "parseDurationMs": watch.ms["parse"], "graphBuildDurationMs": watch.ms["graph"], "embedDurationMs": watch.ms["embed"], "totalDurationMs": watch.total,

@@ -12,6 +12,7 @@ from graphloam.functions import text
 from graphloam.operators import chunks as chunking
 from graphloam.operators import extract, graph_build, layout, metrics, vectors
 from graphloam.plans.durable import Tables
+from graphloam.plans.incremental import GraphStore
 from graphloam.plans.rendered import PIECES_SQL, SOURCES_SQL, pieces, sources
 from graphloam.queries import _read, query
 from graphloam.sources import pr_files, tree
@@ -23,11 +24,11 @@ FACTS_SQL = (
 shape(kind, what, owner, name, detail, first, last) AS (VALUES
   (0, 'import', '', '@nestjs/common', 'Injectable', 0, 0), (0, 'import', '', './base@b.ts', 'Base', 0, 0), (0, 'export', '', 'Part@k', 'false', 0, 0), (0, 'export', '', 'make@k', 'false', 0, 0),
   (0, 'class', '', 'Part@k', 'Base|Kind,Sized|false', 4, 9), (0, 'method', 'Part@k', 'price', 'q: number|Promise<number>|true|false', 5, 7), (0, 'method', 'Part@k', 'size', '||false|false', 8, 8),
-  (0, 'function', '', 'make@k', 'x: number|Part@k|false|true', 10, 12), (0, 'hint', '', 'nestjs', '@nestjs import', 0, 0),
+  (0, 'function', '', 'make@k', 'x: number|Part@k|false|true', 10, 12), (0, 'hint', '', 'nestjs', '@nestjs import detected', 0, 0),
   (1, 'import', '', 'express', 'express', 0, 0), (1, 'import', '', '../src/base@b.ts', 'shared', 0, 0), (1, 'export', '', 'main@k', 'true', 0, 0),
-  (1, 'function', '', 'helper@k', 'a,b||false|false', 3, 5), (1, 'function', '', 'main@k', '||false|true', 6, 8), (1, 'hint', '', 'express', 'express reference', 0, 0),
+  (1, 'function', '', 'helper@k', 'a,b||false|false', 3, 5), (1, 'function', '', 'main@k', '||false|true', 6, 8), (1, 'hint', '', 'express', 'express import detected', 0, 0),
   (2, 'import', '', 'org.springframework.stereotype.Service', 'Service', 0, 0), (2, 'class', '', 'Part@k', 'Base|Kind|true', 4, 8), (2, 'method', 'Part@k', 'price', 'int q,String s|int|false|true', 5, 7),
-  (2, 'hint', '', 'spring', 'springframework import', 0, 0), (2, 'hint', '', 'spring', 'service annotation', 0, 0),
+  (2, 'hint', '', 'spring', 'Spring import detected', 0, 0), (2, 'hint', '', 'spring', 'Spring Service', 0, 0),
   (3, 'import', '', 'os', 'os', 0, 0), (3, 'import', '', '.base@b', 'Base', 0, 0), (3, 'class', '', 'Part@k', 'Base|Kind|false', 3, 5), (3, 'method', 'Part@k', 'price', 'self,q|int|false|true', 4, 5),
   (3, 'function', '', 'make@k', 'x,*rest||true|true', 7, 8), (4, 'export', '', 'base@b', 'false', 0, 0), (4, 'export', '', 'other', 'false', 0, 0)),
 fact AS (SELECT repo, kind, fid, path, content, what, replace(replace(owner, '@k', k::VARCHAR), '@b', b::VARCHAR) AS owner, replace(replace(name, '@k', k::VARCHAR), '@b', b::VARCHAR) AS name,
@@ -136,6 +137,33 @@ def built_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir)[1].withColumn("properties", F.to_json("properties"))
 
 
+@query(
+    _BUILT_SQL
+    + f""", fresh AS (SELECT fid, (kind = 4 AND b = 3) OR (kind <> 4 AND k % 11 = 0) AS new, kind <> 4 AND k % 13 = 0 AS changed, kind IN (0, 1) AND b = 3 AS importer FROM s0),
+own AS (SELECT *, split_part(CASE WHEN s = 'r0' THEN t ELSE s END, '#', 1) AS fid FROM edge0)
+SELECT 'node' AS what, id AS name, 1 AS n FROM node UNION ALL SELECT 'edge', id, 1 FROM edge WHERE there
+UNION ALL SELECT 'written', 'parsed', count(*) FILTER (new OR changed)::INTEGER FROM fresh
+UNION ALL SELECT 'written', 'nodes', count(*)::INTEGER FROM node JOIN fresh ON split_part(id, '#', 1) = fid WHERE new OR changed
+UNION ALL SELECT 'written', 'edges', count(*)::INTEGER FROM own JOIN fresh USING (fid) WHERE new OR changed OR importer"""
+)
+def incremental_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository's graph after an ingestion that meets new and changed files, one of which others import already; and the
+    rows that this delta wrote: those of these files, and the edges of the importers."""
+    with Tables(spark) as work:
+        keep = Tables(spark)
+        store = GraphStore(spark, work.folder(), "r0")
+        now = work.write(sources(spark, sf_dir).where("repositoryId = 'r0'"))
+        k = F.regexp_extract("path", "(?i)part([0-9]+)", 1)
+        number = F.when(k != "", k.cast("long"))
+        before = now.where((F.coalesce(number, F.lit(1)) % 11 != 0) & (F.col("path") != "src/base3.ts"))
+        body = F.when(number % 13 == 0, F.concat("content", F.lit("\n"))).otherwise(F.col("content"))
+        store.ingest(before.withColumn("content", body).withColumn("contentHash", text.content_hash(F.col("content"))))
+        written = store.ingest(now)["written"]
+        rows = [("written", t, written[t]) for t in ("parsed", "nodes", "edges")]
+        parts = (store.nodes().select(F.lit("node").alias("what"), F.col("id").alias("name"), F.lit(1).alias("n")), store.edges().select(F.lit("edge").alias("what"), F.col("id").alias("name"), F.lit(1).alias("n")))
+        return keep.write(parts[0].unionByName(parts[1]).unionByName(spark.createDataFrame(rows, "what string, name string, n int")))
+
+
 @query(_BUILT_SQL + """ SELECT id, "sourceId", "targetId", type, properties, true AS "targetMissing" FROM edge WHERE NOT there""")
 def dropped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges that were left out."""
@@ -152,8 +180,8 @@ def node_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'nestjs:@nestjs import' WHEN 1 THEN 'angular:@angular import' WHEN 2 THEN 'react:react import' WHEN 3 THEN 'express:express reference'
-  WHEN 4 THEN 'fastapi:fastapi reference,flask:flask reference,django:django reference' WHEN 5 THEN 'spring:springframework import,spring:controller annotation,spring:service annotation' WHEN 6 THEN 'react:react import' ELSE '' END AS hints FROM part"""
+    """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'nestjs:@nestjs import detected' WHEN 1 THEN 'angular:@angular import detected' WHEN 2 THEN 'react:react import detected' WHEN 3 THEN 'express:express import detected'
+  WHEN 4 THEN 'fastapi:FastAPI detected,flask:Flask detected,django:Django detected' WHEN 5 THEN 'spring:Spring import detected,spring:Spring Controller,spring:Spring Service' WHEN 6 THEN 'react:react import detected' ELSE '' END AS hints FROM part"""
 )
 def framework_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F24."""

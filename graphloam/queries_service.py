@@ -160,11 +160,14 @@ def file_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workspace.registry(sources(spark, sf_dir), "r2")
 
 
-@query("SELECT 'workspace' AS kind, 'local-workspace' AS id, 'Local workspace' AS name UNION ALL SELECT 'user', 'local-user', 'Local user'")
+@query("SELECT s_suppkey, 'local-workspace' AS \"workspaceId\", 'Local workspace' AS workspace, 'local-user' AS \"userId\", 'Local user' AS \"user\" FROM supplier")
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S21."""
+    """Every repository belongs to the seeded workspace, and that to the seeded user."""
     w, u = workspace.seed(spark)
-    return w.select(F.lit("workspace").alias("kind"), "id", "name").unionByName(u.select(F.lit("user").alias("kind"), "id", "name"))
+    repositories = _read(spark, sf_dir, "supplier").select("s_suppkey", F.lit("local-workspace").alias("workspaceId"))
+    owned = repositories.join(F.broadcast(w.select(F.col("id").alias("workspaceId"), F.col("name").alias("workspace"))), "workspaceId")
+    users = u.select("workspaceId", F.col("id").alias("userId"), F.col("name").alias("user"))
+    return owned.join(F.broadcast(users), "workspaceId").select("s_suppkey", "workspaceId", "workspace", "userId", "user")  # one row each
 
 
 # -------------------------------------------------------------------------------------------------------------- writes
@@ -224,12 +227,17 @@ def paths_to_do(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     SOURCES_SQL
     + """, one AS (SELECT * FROM src WHERE repo = 'r1'), n AS (SELECT count(*) AS files, count(*) FILTER (k % 3 = 1 AND kind <> 4) AS changed, count(*) FILTER (k % 3 = 2 AND kind <> 4) AS gone FROM one)
-SELECT 'first' AS run, files::BIGINT AS "newFiles", 0::BIGINT AS "changedFiles", 0::BIGINT AS "deletedFiles", 0::BIGINT AS "unchangedFiles", 'indexing' AS stage, 80 AS percent FROM n
-UNION ALL SELECT 'second', 1, changed, gone, files - changed - gone, 'indexing', 80 FROM n"""
+SELECT 'first' AS run, files::BIGINT AS "newFiles", 0::BIGINT AS "changedFiles", 0::BIGINT AS "deletedFiles", 0::BIGINT AS "unchangedFiles", true AS timed, NULL AS error, 'indexing' AS stage, 80 AS percent FROM n
+UNION ALL SELECT 'second', 1, changed, gone, files - changed - gone, true, NULL, 'indexing', 80 FROM n
+UNION ALL SELECT 'third', 0, 1, 0, files - gone, true, 'EMBEDDING: no model', 'indexing', 80 FROM n"""
 )
 def ingested_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A repository ingested into a stored workspace, and again after files changed, went and came; with
-    the stages of both jobs in a table."""
+    """A repository ingested into a stored workspace, again after files changed, went and came, and once more
+    without a model; with the durations of each job in order, its failure, and its last stage from the log."""
+
+    def no_model(texts: list[str]) -> list[list[float]]:
+        raise ingest.IngestionError("EMBEDDING", "no model")
+
     base = Tables(spark).folder()
     place = ingest.Workspace(spark, f"{base}/workspace")
     files = sources(spark, sf_dir).where("repositoryId = 'r1'")
@@ -238,19 +246,26 @@ def ingested_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = files.where(number.isNull() | (number % 3 != 2)).withColumn("content", F.when(number % 3 == 1, F.concat("content", F.lit("\n"))).otherwise(F.col("content"))).withColumn("contentHash", text.content_hash(F.col("content")))
     more = spark.createDataFrame([("r1", "src/more.py", "def more():\n    pass\n")], "repositoryId string, path string, content string").withColumn("contentHash", text.content_hash(F.col("content")))
     out = None
-    for run, now in (("first", files), ("second", later.unionByName(more))):
-        row = place.ingest(now, "r1", embed=measured, dimension=3, progress=ingest.JobLog(spark, f"{base}/log", run))
-        one = spark.createDataFrame([(run, *(row[f"{b}Files"] for b in ("new", "changed", "deleted", "unchanged")))], "run string, newFiles long, changedFiles long, deletedFiles long, unchangedFiles long")
+    last = later.unionByName(more.withColumn("content", F.lit("x = 1\n")).withColumn("contentHash", text.content_hash(F.lit("x = 1\n"))))
+    for run, now, embed in (("first", files, measured), ("second", later.unionByName(more), measured), ("third", last, no_model)):
+        row = place.ingest(now, "r1", embed=embed, dimension=3, progress=ingest.JobLog(spark, f"{base}/log", run))
+        took = [row[f"{stage}DurationMs"] for stage in ("parse", "graphBuild", "embed")]
+        timed = min(took) > 0 and sum(took) <= row["totalDurationMs"]
+        one = spark.createDataFrame([(run, *(row[f"{b}Files"] for b in ("new", "changed", "deleted", "unchanged")), timed, row["errorMessage"])], "run string, newFiles long, changedFiles long, deletedFiles long, unchangedFiles long, timed boolean, error string")
         out = one if out is None else out.unionByName(one)
     log = ingest.JobLog.latest(spark, f"{base}/log").select(F.col("jobId").alias("run"), "stage", "percent")
     return out.join(log, "run")
 
 
-@query("SELECT 'first' AS run, 7 AS new, 0 AS changed, 0 AS deleted, 0 AS unchanged UNION ALL SELECT 'later', 1, 2, 3, 4")
+@query(
+    f"""SELECT 'first' AS run, count(*) FILTER (bucket <> 'deleted')::INTEGER AS new, 0 AS changed, 0 AS deleted, 0 AS unchanged FROM ({_DIFF})
+UNION ALL SELECT 'later', {", ".join(f"count(*) FILTER (bucket = '{b}')::INTEGER" for b in ("new", "changed", "deleted", "unchanged"))} FROM ({_DIFF})"""
+)
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a diff all parsed files are new."""
-    counts = spark.createDataFrame([(1, 2, 3, 4)], "new int, changed int, deleted int, unchanged int")
-    rows = [(run, *(m[f"{b}Files"] for b in ("new", "changed", "deleted", "unchanged"))) for run, m in (("first", metrics.metric_row(None, 7)), ("later", metrics.metric_row(counts, 7)))]
+    disk, registry = _snapshots(spark, sf_dir)
+    counts = diff.bucket_counts(diff.snapshot_diff(disk, registry))
+    rows = [(run, *(m[f"{b}Files"] for b in ("new", "changed", "deleted", "unchanged"))) for run, m in (("first", metrics.metric_row(None, disk.count())), ("later", metrics.metric_row(counts, 0)))]
     return spark.createDataFrame(rows, "run string, new int, changed int, deleted int, unchanged int")
 
 
@@ -287,8 +302,8 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """, n8 AS (SELECT * FROM nodes WHERE type = 'module' ORDER BY id LIMIT 40), p AS (SELECT string_agg('[' || upper(type) || '] ' || label || ' → ' || "filePath", chr(10) ORDER BY id) AS t FROM (SELECT * FROM n8 ORDER BY id LIMIT 30)),
-c AS (SELECT string_agg(b || ':1-2 (' || b || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY s DESC, b) AS t FROM (SELECT 'd' || doc_id AS b, left(text, 20) AS t, doc_id % 17 AS s FROM documents WHERE doc_id < 60 ORDER BY doc_id % 17 DESC, 'd' || doc_id LIMIT 8))
+    """, n8 AS (SELECT * FROM nodes WHERE type = 'module'), p AS (SELECT string_agg('[' || upper(type) || '] ' || label || ' → ' || "filePath", chr(10) ORDER BY id) AS t FROM (SELECT * FROM n8 ORDER BY id LIMIT 30)),
+c AS (SELECT string_agg(b || ':1-2 (' || b || ')' || chr(10) || t, chr(10) || chr(10) ORDER BY s DESC, b) AS t FROM (SELECT 'd' || doc_id AS b, coalesce(text, '') AS t, doc_id % 17 AS s FROM documents ORDER BY doc_id % 17 DESC, 'd' || doc_id LIMIT 8))
 SELECT 'full' AS kind, '{0}' || chr(10) || chr(10) || 'Nodes:' || chr(10) || p.t || chr(10) || chr(10) || 'Excerpts:' || chr(10) || c.t || chr(10) || chr(10) || 'Question: why?' AS prompt FROM p, c
 UNION ALL SELECT 'empty', '{0}' || chr(10) || chr(10) || 'Nodes:' || chr(10) || '(no nodes)' || chr(10) || chr(10) || 'Excerpts:' || chr(10) || '(no excerpts)' || chr(10) || chr(10) || 'Question: why?'""".replace("{0}", copilot.INSTRUCTION),
     graph=True,
@@ -297,7 +312,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt of a question, with more nodes and excerpts than it takes, and with none."""
     nodes = stored_graph(spark, sf_dir)[0].where("type = 'module'").select("id", F.col("label").alias("name"), "type", "filePath")
     b = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
-    chunks = _read(spark, sf_dir, "documents").where("doc_id < 60").select(b.alias("id"), b.alias("filePath"), b.alias("name"), F.lit(1).alias("startLine"), F.lit(2).alias("endLine"), F.substring("text", 1, 20).alias("content"), (F.col("doc_id") % 17).alias("similarity"))
+    chunks = _read(spark, sf_dir, "documents").select(b.alias("id"), b.alias("filePath"), b.alias("name"), F.lit(1).alias("startLine"), F.lit(2).alias("endLine"), F.coalesce("text", F.lit("")).alias("content"), (F.col("doc_id") % 17).alias("similarity"))
     full = copilot.build_prompt("why?", nodes, chunks).select(F.lit("full").alias("kind"), "prompt")
     return full.unionByName(copilot.build_prompt("why?", nodes.limit(0), chunks.limit(0)).select(F.lit("empty").alias("kind"), "prompt"))
 
