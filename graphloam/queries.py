@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from graphloam.functions import text
 from graphloam.operators import diff, graph_build, graph_query, impact, layout, metrics, mutate, retrieval, vectors
+from graphloam.operators.vector_index import VectorIndex
+from graphloam.plans.durable import Tables
 from graphloam.plans.star_graph import STAR_SQL, stored_graph
 from graphloam.streaming import webhooks, windows
 
@@ -431,6 +433,39 @@ def graph_filtered_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_near(spark, sf_dir, _read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFrame]:
+    """An index of all embeddings, and the queries: all rows whose id 50 divides."""
+    e = _read(spark, sf_dir, "embeddings")
+    index = VectorIndex(spark, Tables(spark).folder())
+    index.build(e, key="vec_id", node="vec_id", dimension=e.select(F.max(F.size("embedding"))).first()[0])
+    return index, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query(_ALL_NEAR.format("true"))
+def index_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4 through the stored index: lists that cannot hold a nearer row are left out."""
+    index, asked = _index(spark, sf_dir)
+    return index.search(asked, exact=True).select("query_id", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(_ALL_NEAR.format("e.vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)"))
+def index_filtered_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10 through the stored index."""
+    index, asked = _index(spark, sf_dir)
+    nodes = _read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    return index.search(asked, nodes=nodes, exact=True).select("query_id", F.col("key").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT count(*) AS queries, true AS recalled FROM embeddings WHERE vec_id % 50 = 0")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L4 by the lists that the index's audit asked for: whether the ten nearest of all queries are recalled to 0.95."""
+    index, asked = _index(spark, sf_dir)
+    found, true = index.search(asked), _all_near(spark, sf_dir)
+    hit = found.join(true, (found["query_id"] == true["query_id"]) & (found["key"] == true["vec_id"]), "left_semi").agg(F.count(F.lit(1)).alias("hit"))
+    counts = true.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("n"))
+    return counts.crossJoin(hit).select("queries", (F.col("hit") >= 0.95 * F.col("n")).alias("recalled"))  # one row each
+
+
 # -------------------------------------------------------------------------------------------------------- streams
 
 _ROUTE = """CASE WHEN event_type = 'view' THEN 'ping' WHEN event_type <> 'click' THEN 'not a push'
