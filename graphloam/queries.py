@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloam.functions import text
 from graphloam.operators import diff, graph_build, graph_query, impact, layout, metrics, mutate, retrieval, vectors
+from graphloam.operators.anchor_index import AnchorIndex
 from graphloam.operators.vector_index import VectorIndex
 from graphloam.plans.durable import Tables
 from graphloam.plans.star_graph import STAR_SQL, stored_graph
@@ -190,6 +191,22 @@ def anchor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.find_anchors(_graph(spark, sf_dir)[0], ["widget", "machinery"]).select(*NODE)
 
 
+@query(
+    f"""SELECT {_NODE_SQL}, w AS word FROM (VALUES ('machinery'), ('der 1'), ('th'), ('"'), ('nothing such')) AS words(w), nodes WHERE label IS NOT NULL AND (contains(lower(label), w) OR contains(lower("metadataJson"), w))
+QUALIFY row_number() OVER (PARTITION BY w ORDER BY id) <= 5""",
+    graph=True,
+)
+def anchor_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5, L2 through stored postings: the anchors of long and short keywords, the scan's rows."""
+    index = AnchorIndex(spark, Tables(spark).folder())
+    index.build(_graph(spark, sf_dir)[0])
+    out = None
+    for word in ("machinery", "der 1", "th", '"', "nothing such"):
+        found = index.find([word]).withColumn("word", F.lit(word))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(
     """SELECT id, label AS name, type, "filePath" FROM nodes WHERE type IN ('repository', 'file', 'module', 'service', 'controller', 'class') AND label IS NOT NULL AND "repositoryId" = 'r3' ORDER BY id LIMIT 50""",
     graph=True,
