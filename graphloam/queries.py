@@ -13,7 +13,7 @@ from graphloam.operators.anchor_index import AnchorIndex
 from graphloam.operators.vector_index import VectorIndex
 from graphloam.plans.durable import Tables
 from graphloam.plans.star_graph import STAR_SQL, stored_graph
-from graphloam.streaming import webhooks, windows
+from graphloam.streaming import status, webhooks, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -512,6 +512,43 @@ def events_status_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutate.latest_by_key(e, "user_id", "ts", "event_id").select("user_id", "event_type", "event_id")
 
 
+_STATUSES = ["PENDING", "ACCEPTED", "PROCESSED", "FAILED", "SKIPPED", "PENDING", "ACCEPTED"]
+_STEPS = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY ts, st) AS rn FROM (SELECT event_id // 4 AS d, ts, ({_STATUSES!r})[((event_id * 11 + user_id) % 7 + 1)::INTEGER] AS st FROM events)),
+m AS (SELECT d, ts, st, rn, '' AS was, st = 'PENDING' AS ok FROM e WHERE rn = 1
+  UNION ALL SELECT d, ts, st, rn, now, (now = '' AND st = 'PENDING') OR (now = 'PENDING' AND st IN ('SKIPPED', 'ACCEPTED', 'FAILED')) OR (now = 'ACCEPTED' AND st IN ('PROCESSED', 'FAILED'))
+  FROM (SELECT e.*, CASE WHEN m.ok THEN m.st ELSE m.was END AS now FROM m JOIN e ON e.d = m.d AND e.rn = m.rn + 1))
+SELECT 'd' || d AS "deliveryId", ts AS at, st AS status, was AS before, ok AS accepted FROM m"""
+
+
+def _delivery_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, _STATUSES)), ((F.col("event_id") * 11 + F.col("user_id")) % 7 + 1).cast("int"))
+    number = F.floor(F.col("event_id") / 4).cast("string")
+    return _read(spark, sf_dir, "events").select(F.concat(F.lit("d"), number).alias("deliveryId"), F.col("ts").cast("timestamp").alias("at"), kind.alias("status"), "event_id")
+
+
+@query(_STEPS)
+def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5: which events change a delivery's status, and which are refused."""
+    return status.transitions(_delivery_events(spark, sf_dir)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+@query(_STEPS)
+def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 as a stream, whose events come in another order than they happened: by their numbers' last digits, then two later ones
+    that let the watermark pass all others."""
+    base, rows = Tables(spark).folder(), _delivery_events(spark, sf_dir)
+    for part in range(3):
+        rows.where(F.col("event_id") % 3 == 2 - part).drop("event_id").write.mode("append").parquet(f"{base}/in/part={part}")
+    last = rows.agg(F.max("at").alias("at"))
+    for days in (1000, 1001):
+        last.select(F.lit("end").alias("deliveryId"), (F.col("at") + F.make_dt_interval(F.lit(days))).alias("at"), F.lit("PENDING").alias("status")).write.parquet(f"{base}/in/part={days}")
+    schema = "deliveryId string, at timestamp, status string"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    found = status.transition_stream(stream, "400 days").writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+    found.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(status.OUT).parquet(f"{base}/out").where("deliveryId <> 'end'").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.tumbling(_read(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

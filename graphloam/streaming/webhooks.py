@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloam.functions import crypto, text
 from graphloam.schemas import PUSH
+from graphloam.streaming.seen import SeenIds
 
 WATERMARK = "7 days"
-#: Ids of a batch up to this many are broadcast.
-BROADCAST_IDS = 100_000
 
 
 def dedup_stream(deliveries: DataFrame, watermark: str = WATERMARK, time_column: str = "receivedAt", key: str = "deliveryId") -> DataFrame:
@@ -70,26 +69,20 @@ def start(deliveries: DataFrame, repositories: DataFrame, audit_path: str, jobs_
     """The running query. A batch is written under its number, so a repeated batch replaces its own files: the
     sinks are exactly-once."""
     spark = deliveries.sparkSession
+    seen = SeenIds(spark, f"{audit_path}/_seen")
 
     def batch(rows: DataFrame, number: int) -> None:
         from graphloam.plans.durable import Tables
-        from graphloam.schemas import WEBHOOK_EVENTS
 
-        before = spark.read.schema(WEBHOOK_EVENTS).option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
-        path = spark._jvm.org.apache.hadoop.fs.Path(audit_path)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
         with Tables(spark) as tables:
-            rows = tables.write(rows)
-            known = spark.createDataFrame([], WEBHOOK_EVENTS)
-            if there:
-                # of the history, only what may repeat a delivery of this batch: its ids, pruned by their hashes' range
-                ids = rows.select(F.sha2("deliveryId", 256).alias("id")).distinct()
-                ends = ids.agg(F.min("id").alias("a"), F.max("id").alias("z")).first()
-                past = before.parquet(audit_path).where(~F.contains(F.input_file_name(), F.lit(f"/batch={number}/")))
-                known = past.where(F.col("id").between(ends["a"], ends["z"])).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").select(*known.columns)
-            routed = tables.write(route(rows, repositories, known))
-            audit_rows(routed).sort("id").write.mode("overwrite").parquet(f"{audit_path}/batch={number}")
+            rows = tables.write(rows.withColumn("id", F.sha2("deliveryId", 256)))
+            # of the history, only the buckets of this batch's ids
+            known = seen.among(rows.select("id"), number).join(rows.select("id", "deliveryId"), "id").select("deliveryId")
+            routed = tables.write(route(rows.drop("id"), repositories, known))
+            audited = audit_rows(routed)
+            audited.write.mode("overwrite").parquet(f"{audit_path}/batch={number}")
             job_rows(routed).write.mode("overwrite").parquet(f"{jobs_path}/batch={number}")
+            seen.add(audited.select("id"), number)
 
     writer = dedup_stream(deliveries, watermark).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()
