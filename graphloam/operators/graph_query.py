@@ -75,40 +75,74 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
     """(position, nodeId, edgeId) of a shortest directed path of 1 to max_hops edges, the source at 0 without an edge; no
     rows if there is none, or for equal ends.
 
-    A breadth-first search by levels: the frontier joins the edges and leaves out what was visited. Ties go to the smallest
-    predecessor and edge. Each level is written to the shared folder; walking back looks up one row a level.
+    A breadth-first search from both ends: the smaller frontier goes on, and leaves out what its side has visited, one stored
+    table a side. The first level that meets the other side gives the length, so each side goes some half of it. The
+    nodes between are then found forwards within the other side's levels. Ties go to the smallest predecessor and edge.
     """
     spark = edges.sparkSession
     from graphloam.plans.durable import Tables
 
     empty = spark.createDataFrame([], "position int, nodeId string, edgeId string")
-    if source == target:
+    if source == target or max_hops < 1:
         return empty
     with Tables(spark) as tables:
-        return _walk(tables, nodes, edges, source, target, max_hops, empty)
+        return _meet(tables, nodes, edges, source, target, max_hops, empty)
 
 
-def _walk(tables, nodes: DataFrame, edges: DataFrame, source: str, target: str, max_hops: int, empty: DataFrame) -> DataFrame:  # noqa: ANN001
+class _Side:
+    """A side's levels in one folder: (id, via: the smallest neighbour and edge towards this side's end, level)."""
+
+    SCHEMA = "id string, via struct<s:string,e:string>, level int"
+
+    def __init__(self, spark, folder: str, end: str, steps: DataFrame, near: str, far: str) -> None:  # noqa: ANN001
+        self.spark, self.folder, self.steps, self.near, self.far = spark, folder, steps, near, far
+        self.depth, self.size = 0, 1
+        spark.createDataFrame([(end, None)], "id string, via struct<s:string,e:string>").write.parquet(f"{folder}/level=0")
+
+    def level(self, number: int) -> DataFrame:
+        return self.visited().where(F.col("level") == number).select("id", "via")
+
+    def visited(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder)
+
+    def go_on(self) -> None:
+        """One level more."""
+        frontier = self.level(self.depth).select(F.col("id").alias(self.near))
+        reached = self.steps.join(F.broadcast(frontier) if self.size <= BROADCAST_IDS else frontier, self.near).groupBy(self.far).agg(F.min(F.struct(F.col(self.near).alias("s"), "e")).alias("via"))
+        new = reached.select(F.col(self.far).alias("id"), "via").join(self.visited().select("id"), "id", "left_anti")
+        self.depth += 1
+        new.write.parquet(f"{self.folder}/level={self.depth}")
+        self.size = self.level(self.depth).count()
+
+
+def _meet(tables, nodes: DataFrame, edges: DataFrame, source: str, target: str, max_hops: int, empty: DataFrame) -> DataFrame:  # noqa: ANN001
     spark = edges.sparkSession
-    visited = spark.createDataFrame([(source,)], "id string")
-    frontier, levels = visited, []
-    steps = edges.join(nodes.select(F.col("id").alias("targetId")), "targetId", "left_semi").select(F.col("sourceId").alias("s"), F.col("targetId").alias("t"), F.col("id").alias("e"))
-    for _ in range(max_hops):
-        reached = frontier.join(steps, frontier["id"] == steps["s"]).groupBy("t").agg(F.min(F.struct("s", "e")).alias("via"))
-        level = tables.write(reached.join(visited.withColumnRenamed("id", "t"), "t", "left_anti").select(F.col("t").alias("id"), "via"))
-        levels.append(level)
-        if level.where(F.col("id") == target).limit(1).count():
-            rows, at = [], target
-            for k in range(len(levels), 0, -1):
-                via = levels[k - 1].where(F.col("id") == at).first()["via"]
-                rows.append((k, at, via["e"]))
-                at = via["s"]
-            return spark.createDataFrame([(0, source, None), *reversed(rows)], "position int, nodeId string, edgeId string")
-        if not level.limit(1).count():
+    steps = edges.join(nodes.select(F.col("id").alias("targetId")).distinct(), "targetId", "left_semi").select(F.col("sourceId").alias("s"), F.col("targetId").alias("t"), F.col("id").alias("e"))
+    ahead, back = _Side(spark, tables.folder(), source, steps, "s", "t"), _Side(spark, tables.folder(), target, steps, "t", "s")
+    while True:
+        if ahead.depth + back.depth >= max_hops:
+            return empty
+        side = ahead if ahead.size <= back.size else back
+        side.go_on()
+        if not side.size:
+            return empty
+        met = ahead.level(ahead.depth).select("id").join(back.level(back.depth).select("id"), "id", "left_semi")
+        if met.limit(1).count():
             break
-        frontier = level.select("id")
-        visited = visited.unionByName(frontier)
-    return empty
+    # forwards from where the sides meet, within the levels of the target's side
+    between, layer = [], tables.write(met)
+    for level in range(back.depth - 1, -1, -1):
+        near = steps.join(layer.withColumnRenamed("id", "s"), "s").groupBy("t").agg(F.min(F.struct("s", "e")).alias("via"))
+        layer = tables.write(near.select(F.col("t").alias("id"), "via").join(back.level(level).select("id"), "id", "left_semi"))
+        between.append(layer)
+        layer = layer.select("id")
+    levels = [*(ahead.level(n) for n in range(1, ahead.depth + 1)), *between]
+    rows, at = [], target
+    for k in range(len(levels), 0, -1):
+        via = levels[k - 1].where(F.col("id") == at).first()["via"]
+        rows.append((k, at, via["e"]))
+        at = via["s"]
+    return spark.createDataFrame([(0, source, None), *reversed(rows)], "position int, nodeId string, edgeId string")
 
 
 def hop_counts(edges: DataFrame, source: str, max_hops: int = MAX_HOPS) -> DataFrame:

@@ -16,6 +16,7 @@ from graphloam.plans.incremental import GraphStore
 from graphloam.plans.rendered import PIECES_SQL, SOURCES_SQL, pieces, sources
 from graphloam.queries import _read, query
 from graphloam.sources import pr_files, tree
+from graphloam.sources.paged import SCHEMA, PagedFiles
 
 #: What stands in the rendered sources: (kind of file, what, owner, name, detail, first line, last line).
 FACTS_SQL = (
@@ -309,6 +310,22 @@ def parsed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.read_parsed(spark, path, "r1").select("path", "language", F.size("exports").alias("exports")).join(json, "path")
 
 
+@query("""SELECT c_nationkey + 1 AS page, 'c' || c_custkey AS filename, CASE WHEN c_custkey % 3 = 0 THEN 'removed' ELSE 'added' END AS status, c_nationkey < 12 AS batch FROM customer""")
+def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of files through the data source: the first twelve as a batch, the others as a stream that begins behind
+    them."""
+    spark.dataSource.register(PagedFiles)
+    base = Tables(spark).folder()
+    status = F.when(F.col("c_custkey") % 3 == 0, "removed").otherwise("added")
+    pages = _read(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") + 1).alias("page")).agg(F.to_json(F.collect_list(F.struct(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("filename"), status.alias("status")))).alias("value"))
+    pages.repartition("page").write.partitionBy("page").text(f"{base}/pages")
+    url = f"{base}/pages/page={{page}}/part-*"
+    first = spark.read.format("paged_files").option("url", url).option("pages", 12).load().withColumn("batch", F.lit(True))
+    stream = spark.readStream.format("paged_files").option("url", url).option("from", 13).load()
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return first.unionByName(spark.read.schema(SCHEMA).parquet(f"{base}/out").withColumn("batch", F.lit(False)))
+
+
 @query(
     """SELECT filename, min(status) AS status, filename NOT LIKE '%removed%' AS changed FROM (SELECT 'c/' || CASE WHEN c_custkey % 3 = 0 THEN 'removed' ELSE 'kept' END || c_custkey AS filename, CASE WHEN c_custkey % 3 = 0 THEN 'removed' WHEN c_custkey % 3 = 1 THEN 'added' ELSE 'modified' END AS status FROM customer WHERE c_custkey % 7 <> 0) GROUP BY filename"""
 )

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from graphloam.operators import chunks, diff, extract, graph_build, graph_query, impact, layout, mutate, retrieval, vectors
@@ -60,6 +62,34 @@ def graph(spark, pairs, types=None):
     return nodes, edges
 
 
+def test_shortest_paths_against_a_plain_search(spark):
+    """Length and, of equal ones, the path whose predecessors are smallest; from both ends, in half the levels."""
+    rng = random.Random(6)
+    names = [f"n{i:02}" for i in range(40)]
+    links = sorted({(a, b) for a, b in ((rng.choice(names), rng.choice(names)) for _ in range(75))} | {(names[i], names[i + 1]) for i in range(8)})
+    edges = spark.createDataFrame([(f"e:{a}:{b}", a, b, "X") for a, b in links], "id string, sourceId string, targetId string, type string")
+    nodes = spark.createDataFrame([(n, "file", n, "r", "", "{}") for n in names], "id string, type string, label string, repositoryId string, filePath string, metadataJson string")
+
+    def plain(source: str, target: str, most: int) -> list[str]:
+        before, layer, steps = {source: None}, [source], 0
+        while layer and target not in before and steps < most:
+            found: dict[str, str] = {}
+            for a, b in links:
+                if a in layer and b not in before:
+                    found[b] = min(a, found.get(b, a))
+            before |= found
+            layer, steps = list(found), steps + 1
+        path = [target]
+        while target in before and path[-1] != source:
+            path.append(before[path[-1]])
+        return path[::-1] if target in before and source != target else []
+
+    for source, target, most in [(names[0], names[8], 10), (names[0], names[8], 2), *((rng.choice(names), rng.choice(names), 10) for _ in range(4))]:
+        got = graph_query.shortest_path(nodes, edges, source, target, most).orderBy("position").collect()
+        assert [r["nodeId"] for r in got] == plain(source, target, most)
+        assert [r["edgeId"] for r in got[1:]] == [f"e:{a['nodeId']}:{b['nodeId']}" for a, b in zip(got, got[1:], strict=False)]
+
+
 def test_shortest_path_in_a_cycle(spark):
     nodes, edges = graph(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "c"), ("d", "d")])
     assert [r["nodeId"] for r in graph_query.shortest_path(nodes, edges, "a", "d").orderBy("position").collect()] == ["a", "c", "d"]
