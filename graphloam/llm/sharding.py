@@ -12,19 +12,22 @@ purpose: a group may hold a third of all rows, and kept together it would break
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
-import uuid
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloam.llm.common import documents, shared_dir
+from graphloam.llm.common import Durable, documents, shared_dir
 
 #: Virtual slots; a slot's share of the input is what a rebalancing can move at least.
 SLOTS, SHARDS = 8192, 16
+#: A shard's excess over the mean, as a part of it, that moves nothing; equal rows that are numbered at once.
+NEAR, AT_ONCE = 1e-3, 1 << 16
 LAW = "bytes"
 NAMES = {"size", "text_crc32", "virtual_slot", "shard", "slot", "map_version"}
 
@@ -50,30 +53,52 @@ class SlotMap:
         return SlotMap(shard_of, shards, 1, [(1, len(weights))])
 
     def rebalance(self, weights: list[int], shards: int | None = None) -> SlotMap:
-        """A new version for other weights or another number of shards; moves slots only from shards above the mean to
-        shards below it, and all slots of shards that go."""
+        """A new version for other weights or another number of shards; moves slots from shards above the mean to shards below
+        it, and all slots of shards that go. The heaviest slots that fit the excess go first and are placed first; slots of
+        the heaviest and the lightest shard are then exchanged while that brings the two nearer to each other."""
         shards = self.shards if shards is None else shards
-        load, held = [0] * shards, [[] for _ in range(shards)]
-        loose: list[int] = []
-        for slot, shard in enumerate(self.shard_of):
-            if shard < shards:
-                held[shard].append(slot)
-                load[shard] += weights[slot]
-            else:
-                loose.append(slot)
-        mean = sum(weights) / shards
-        for shard in range(shards):
-            for slot in sorted(held[shard], key=lambda s: (weights[s], s)):
-                if weights[slot] and load[shard] - weights[slot] / 2 > mean:
-                    load[shard] -= weights[slot]
-                    loose.append(slot)
-        out = list(self.shard_of)
-        heap = [(load[s], s) for s in range(shards)]
+        w = np.array(weights, np.int64)
+        out = np.array(self.shard_of)
+        out[out >= shards] = -1
+        load = np.bincount(out[out >= 0], w[out >= 0], shards).astype(np.int64)
+        mean = int(w.sum()) / shards
+        for shard in np.flatnonzero(load > mean * (1 + NEAR)).tolist():
+            own = np.flatnonzero((out == shard) & (w > 0))
+            for slot in own[np.argsort(-w[own], kind="stable")].tolist():
+                if load[shard] - w[slot] >= mean:
+                    load[shard] -= w[slot]
+                    out[slot] = -1
+        heap = [(int(x), s) for s, x in enumerate(load)]
         heapq.heapify(heap)
-        for slot in sorted(loose, key=lambda s: (-weights[s], s)):
+        loose = np.flatnonzero(out < 0)
+        for slot in loose[np.argsort(-w[loose], kind="stable")].tolist():
             x, shard = heapq.heappop(heap)
             out[slot] = shard
-            heapq.heappush(heap, (x + weights[slot], shard))
+            heapq.heappush(heap, (x + int(w[slot]), shard))
+        load = np.bincount(out, w, shards).astype(np.int64)
+        for _ in range(64 * shards):
+            high, low = int(load.argmax()), int(load.argmin())
+            gap = int(load[high] - load[low])
+            if load[high] <= mean * (1 + NEAR):
+                break
+            mine, others = np.flatnonzero(out == high), np.append(np.flatnonzero(out == low), -1)  # -1: nothing in exchange
+            theirs = np.where(others >= 0, w[others], 0)
+            order = np.argsort(theirs, kind="stable")
+            others, theirs = others[order], theirs[order]
+            want = w[mine] - gap / 2  # what would make the two equal
+            at = np.searchsorted(theirs, want).clip(0, len(theirs) - 1)
+            at = np.where((at > 0) & (np.abs(theirs[at - 1] - want) < np.abs(theirs[at] - want)), at - 1, at)
+            step = w[mine] - theirs[at]
+            good = (step > 0) & (step < gap)
+            if not good.any():
+                break
+            best = int(np.where(good, np.abs(step - gap / 2), np.inf).argmin())
+            out[mine[best]] = low
+            if others[at[best]] >= 0:
+                out[others[at[best]]] = high
+            load[high] -= step[best]
+            load[low] += step[best]
+        out = out.tolist()
         moved = sum(a != b for a, b in zip(self.shard_of, out, strict=True))
         return SlotMap(out, shards, self.version + 1, [*self.history, (self.version + 1, moved)])
 
@@ -102,7 +127,8 @@ def with_slots(docs: DataFrame, key: str = "doc_id", text: str = "text", slots:
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(key).alias("__key"), (F.length(body).cast("long") + 1).alias("size"), F.crc32(body).alias("text_crc32"))
     counted = rows.groupBy("__key", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    numbered = counted.withColumn("__number", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+    lots = counted.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / AT_ONCE))))
+    numbered = lots.withColumn("__number", F.explode(F.sequence(F.col("lot") * AT_ONCE + 1, F.least("n", (F.col("lot") + 1) * AT_ONCE)))).drop("n", "lot")
     return numbered.withColumn("virtual_slot", F.pmod(F.xxhash64("__key", "text_crc32", "__number"), F.lit(slots)).cast("int"))
 
 
@@ -114,17 +140,15 @@ def slot_table(slotted: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[
     return weights, rows
 
 
-def deal(docs: DataFrame, shards: int, path: str, key: str = "doc_id", text: str = "text") -> SlotMap:
-    """Brings the stored map at path to the present sizes, and returns the version in force.
+def deal(spark: SparkSession, weights: list[int], shards: int, path: str) -> SlotMap:
+    """Brings the stored map at path to the present sizes of the slots, and returns the version in force.
 
-    Where none is stored, version 1 gives every shard the same number of slots. The slots' bytes are then measured, and if
-    slots have to move a further version is stored. A second call on the same rows moves nothing.
+    Where none is stored, version 1 is built from the sizes. Else slots move while a shard is above the mean, and a further
+    version is stored if any has to. A second call for the same rows moves nothing.
     """
-    spark = docs.sparkSession
-    weights, _ = slot_table(with_slots(docs, key, text))
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        SlotMap([s % shards for s in range(SLOTS)], shards, 1, [(1, SLOTS)]).save(spark, path)
+        SlotMap.build(weights, shards).save(spark, path)
     now = SlotMap.load(spark, path)
     new = now.rebalance(weights, shards)
     if new.shard_of != now.shard_of or new.shards != now.shards:
@@ -132,18 +156,19 @@ def deal(docs: DataFrame, shards: int, path: str, key: str = "doc_id", text: str
     return SlotMap.load(spark, path)
 
 
-def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
+def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", slot_map: SlotMap | None = None, path: str | None = None, keep: Durable | None = None) -> tuple[DataFrame, SlotMap]:
     """(key, size, text_crc32, virtual_slot, shard, slot, map_version) and the map in force.
 
-    With a stored slot_map its shards hold; else one is built from the slots' bytes. slot: the row's place in its shard,
+    With a slot_map its shards hold; with the path of a stored one, that is brought to the present sizes (see deal()); else one is
+    built from the slots' bytes. The texts are read once: sizes and checksums are written to the shared folder. slot: the row's place in its shard,
     from 0 and without gaps: the slot's offset plus the rank in the slot, so that no task ranks a whole shard. Rows that agree
     in key, size and checksum (ties) get places of their own in different slots. Keys may be null and repeat; a key column
     that has the name of one of the others (size, shard, slot ...) is returned as `key`. Very long texts count whole; other
     columns are not read. An empty table gives no rows.
     """
-    slotted = with_slots(docs, key, text)
+    slotted = (keep or Durable(docs.sparkSession)).keep(with_slots(docs, key, text))
     weights, rows = slot_table(slotted)
-    slot_map = slot_map or SlotMap.build(weights, shards)
+    slot_map = slot_map or (deal(docs.sparkSession, weights, shards, path) if path else SlotMap.build(weights, shards))
     at, table = [0] * slot_map.shards, []
     for slot, s in enumerate(slot_map.shard_of):
         if rows[slot]:
@@ -159,9 +184,8 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16 shards of documents of near equal bytes, by a map that is stored in the shared folder, brought to the sizes there
-    and read again; see deal() and shard()."""
-    docs = documents(spark, sf_dir)
-    path = f"{shared_dir(spark)}/graphloam/slot_maps/{uuid.uuid4().hex}"
-    out, _ = shard(docs, slot_map=deal(docs, SHARDS, path))
+    """16 shards of documents of near equal bytes, by the table's map: it is stored in the shared folder under the table's name,
+    brought to the sizes there and read again by every call; see shard() and deal()."""
+    path = f"{shared_dir(spark)}/graphloam/slot_maps/{hashlib.sha256(sf_dir.encode()).hexdigest()[:32]}"
+    out, _ = shard(documents(spark, sf_dir), SHARDS, path=path)
     return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
