@@ -5,7 +5,7 @@ for each language: the AND of an n-gram's slots is the mask of all languages tha
 each language a popcount, which is corrected once for the filter's false positives, and the largest corrected count decides.
 
 The sets come from a bounded sample: PER_LANGUAGE training documents of each language in expectation, chosen by a hash of
-their key, with whole texts; of each language the FREQUENT most frequent n-grams. An n-gram that a language has much more
+their key, with whole texts, and all of their n-grams; the filter's size follows from their number. An n-gram that a language has much more
 seldom than another one is left out of its set, as quotations and wrong labels bring such n-grams.
 """
 
@@ -15,14 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloam.llm.common import PASS_BYTES, documents, mix, small_batches, spread
 
-PER_LANGUAGE, FREQUENT, SELDOM = 2000, 20_000, 0.05
-#: Slots of the filter (a power of two) and probes for an n-gram.
-SLOTS, PROBES = 1 << 18, 3
+PER_LANGUAGE, SELDOM = 2000, 0.05
+#: Slots of the filter at least, and for each n-gram of the language that has most (rounded up to a power of two); probes.
+SLOTS, ROOM, PROBES = 1 << 18, 8, 3
 UNDETERMINED = "und"
 
 
@@ -52,7 +52,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Filters:
     """languages[b] is the language of bit b; languages beyond 64 take further words of a slot."""
 
-    def __init__(self, grams: dict[str, np.ndarray], slots: int = SLOTS, probes: int = PROBES) -> None:
+    def __init__(self, grams: dict[str, np.ndarray], slots: int | None = None, probes: int = PROBES) -> None:
+        slots = slots or max(SLOTS, 1 << (ROOM * max(map(len, grams.values()), default=0)).bit_length())
         self.languages, self.slots, self.probes = sorted(grams), slots, probes
         self.table = np.zeros((max(1, -(-len(grams) // 64)), slots), np.uint64)
         fill = np.zeros(len(self.languages))
@@ -138,7 +139,7 @@ def _piece_grams(pieces: list[tuple[int, str, bool, bool]]) -> tuple[np.ndarray,
     return np.array([i for i, *_ in pieces]), hashes[~drop], np.concatenate(([0], np.cumsum(own)))
 
 
-def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE, frequent: int = FREQUENT, seldom: float = SELDOM) -> Filters:
+def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int = PER_LANGUAGE, seldom: float = SELDOM) -> Filters:
     """Filters from rows with text and language. Without such rows there are no languages, and every text is undetermined.
     Rows that repeat a key are in the sample together or not at all."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
@@ -164,8 +165,7 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, per_language: int =
 
     small_batches(labelled.sparkSession)
     counts = sample.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))).where(F.col("r") <= frequent)
-    table = ranked.select("l", "g", "n").toPandas()  # at most `frequent` rows for each language
+    table = counts.select("l", "g", "n").toPandas()  # of the sample's texts, whose number is bounded
     table["p"] = table.n / table.groupby("l").n.transform("sum")
     table = table[table.p >= seldom * table.groupby("g").p.transform("max")]
     return Filters({language: x.g.to_numpy(np.int64).view(np.uint64) for language, x in table.groupby("l")} | {language: np.zeros(0, np.uint64) for language in share if language not in set(table.l)})
@@ -175,7 +175,7 @@ def predict(docs: DataFrame, filters: Filters, key: str = "doc_id", text: str =
     """(key, lang_pred, score) for every row, from the text alone, without a shuffle. Null texts and those without a letter
     get `und` and 0; keys may repeat or be null. Very long texts are counted whole, a million characters at a time. Ties go to
     the first language in alphabetical order. Other columns, of whatever name, are not read; an empty table gives no rows. The
-    filters have a fixed size."""
+    filters' size follows from the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
