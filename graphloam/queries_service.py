@@ -116,6 +116,33 @@ def job_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(jobs.DONE).parquet(f"{base}/done").join(told, "jobId")
 
 
+@query(
+    """SELECT 'j' || o_orderkey AS "jobId", CASE o_orderkey % 5 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 1 END AS attempts, CASE WHEN o_orderkey % 5 IN (0, 2) THEN 'FAILED' ELSE 'DONE' END AS status,
+  CASE WHEN o_orderkey % 5 NOT IN (0, 2) THEN 'r' || o_custkey END AS result, CASE o_orderkey % 5 WHEN 0 THEN 'Unrecoverable: never' WHEN 2 THEN 'RuntimeError: not yet' END AS error FROM orders"""
+)
+def job_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job for every order, on the executors: those that succeed at once, at the second attempt, never, or are not
+    worth another one; two pools over one queue, of which the second has nothing left to do."""
+    work = Tables(spark)
+    base, o = work.folder(), _read(spark, sf_dir, "orders")
+    text_of = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    o.select(text_of("r", "o_custkey").alias("repositoryId"), text_of("j", "o_orderkey").alias("jobId"), F.lit("manual").alias("triggeredBy"), F.lit(None).cast("string").alias("webhookEventId")).repartition(4).write.parquet(f"{base}/jobs")
+
+    def run(job: dict, attempt: int) -> str:
+        k = int(job["jobId"][1:]) % 5
+        if k == 0:
+            raise jobs.Unrecoverable("never")
+        if k == 2 or (k == 1 and attempt == 1):
+            raise RuntimeError("not yet")
+        return job["repositoryId"]
+
+    for pool in ("one", "two"):
+        query = jobs.start_pool(jobs.job_stream(spark, f"{base}/jobs", 2), run, f"{base}/{pool}", f"{base}/done", pause_ms=0)
+        query.awaitTermination()
+        assert not jobs.progress(query)["active"]
+    return spark.read.schema(jobs.RESULT).parquet(f"{base}/done").select("jobId", "attempts", "status", "result", "error")
+
+
 # --------------------------------------------------------------------------------------------------------- repositories
 
 

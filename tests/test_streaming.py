@@ -94,6 +94,30 @@ def test_worker_goes_on_after_a_failure(spark, tmp_path):
     assert done == ["j2"] and bad == ["j1"]
 
 
+def test_pool_runs_each_job_once(spark, tmp_path):
+    schema = "repositoryId string, jobId string, triggeredBy string, webhookEventId string"
+    path, runs = f"file://{tmp_path}/q", tmp_path / "runs"
+    runs.mkdir()
+    put = lambda *names: spark.createDataFrame([("r", n, "t", "w") for n in names], schema).coalesce(1).write.mode("append").parquet(path)
+
+    def work(job, attempt):
+        (runs / f"{job['jobId']}-{attempt}-{len(list(runs.iterdir()))}").touch()
+        if job["jobId"] == "bad" or attempt < 2:
+            raise jobs.Unrecoverable("no") if job["jobId"] == "bad" else ValueError("again")
+        return job["jobId"].upper()
+
+    def pool(name):
+        jobs.start_pool(spark.readStream.schema(schema).parquet(path), work, f"file://{tmp_path}/{name}", f"file://{tmp_path}/done", 3, pause_ms=0).awaitTermination()
+        return sorted(map(tuple, spark.read.schema(jobs.RESULT).parquet(f"file://{tmp_path}/done").select("jobId", "status", "attempts", "result", "error").collect()))
+
+    put("a", "bad", "b", "a")
+    first = [("a", "DONE", 2, "A", None), ("b", "DONE", 2, "B", None), ("bad", "FAILED", 1, None, "Unrecoverable: no")]
+    assert pool("one") == first and len(list(runs.iterdir())) == 5
+    put("c")
+    assert pool("two") == sorted([*first, ("c", "DONE", 2, "C", None)]) and len(list(runs.iterdir())) == 7  # another checkpoint, only what is left
+    assert len(pool("one")) == 4 and len(list(runs.iterdir())) == 7
+
+
 def test_windows(spark):
     rows = spark.createDataFrame([(1, "a", 1.0, NOW), (1, "a", 2.0, NOW + dt.timedelta(minutes=20)), (1, "b", 4.0, NOW + dt.timedelta(minutes=70))], "user_id long, event_type string, value double, ts timestamp_ntz")
     assert sorted((r["event_type"], r["n"], r["total"]) for r in windows.tumbling(rows).collect()) == [("a", 2, 3.0), ("b", 1, 4.0)]
