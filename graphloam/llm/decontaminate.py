@@ -124,7 +124,10 @@ def contained_items(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
 
 def without_contained(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, that contain no item: contained_items() as a filter, row by row, without a
-    shuffle and whatever their keys are."""
+    shuffle and whatever their keys are. Null and empty texts contain nothing and stay; repeated rows stay or go alike; very long
+    texts are looked through whole, a megabyte of them or one row at a time. Null, empty and wordless items are in no document, and
+    repeated items count once. Ties (several items in a document) make no difference. Empty tables give no rows, or all rows. Other
+    columns, of whatever name, pass through."""
     small_batches(docs.sparkSession)
     at, columns = docs.columns.index(text), docs.columns
     for shared in _blocks(items, item_text, F.lit(0), k, threshold):

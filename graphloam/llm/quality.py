@@ -240,7 +240,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     keep: both posteriors are at most `reject`. Null texts count as empty, null sources as one site. Without labelled rows
     of a kind nothing tells, and every document is kept. Repeated keys are scored row by row, and count for their site each; a
-    label holds for all rows of its key, and of several labels of one key the worst; rows without a key have none. label_key:
+    label holds for all rows of its key, and of several labels of one key the worst; rows without a key have none. Ties (a posterior of just `reject`) are kept. label_key:
     the column that tells which label is whose, in docs and labels, if it is not the key. Very long texts are read whole. Other columns, of
     whatever name, are not read. An empty table gives no rows.
     """

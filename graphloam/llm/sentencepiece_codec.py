@@ -334,7 +334,9 @@ def encode(docs: DataFrame, model_file: str, key: str = "doc_id", text: str = "t
 
 
 def decode(encoded: DataFrame, model_file: str, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:
-    """(key, text) of encoded rows. Null ids give null, ids outside the vocabulary nothing."""
+    """(key, text) of encoded rows. Null ids give null, no ids an empty text, ids outside the vocabulary and nulls among the ids
+    nothing. Keys may repeat or be null; very long lists are decoded whole. An empty table gives no rows; other columns, of
+    whatever name, are not read. There are no ties."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)

@@ -266,7 +266,8 @@ def transducer(tokenizer_file: str) -> Transducer:
 def token_counts(docs: DataFrame, tokenizer_file: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for every row, without a shuffle. Null and empty texts have no tokens; keys may
     repeat or be null; other columns, of whatever name, are not read. Very long texts and pretokens are counted whole, chunk by
-    chunk, in time in proportion to their length and within one task. An empty table gives no rows."""
+    chunk, in time in proportion to their length and within one task. An empty table gives no rows. There are no ties: a text has
+    one count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(tokenizer_file)
