@@ -16,6 +16,7 @@ from graphloam.schemas import ANALYSES
 
 # Fixed values.
 CONTEXT_CHARS, SUMMARY_TOKENS = 2000, 400
+TASK = "Describe what this change can affect, by file names, in a few sentences."
 
 
 def prompt(changed: list[str], direct: list, impacted: list, excerpts: list) -> str:
@@ -27,7 +28,21 @@ def prompt(changed: list[str], direct: list, impacted: list, excerpts: list) ->
         ("Nodes that depend on them", "\n".join(f"{n['name']}, {n['file']}, by {n['relationship']}" for n in impacted)),
         ("Code", code),
     ]
-    return "Describe what this change can affect, by file names, in a few sentences.\n\n" + "\n\n".join(f"{title}:\n{body or '(none)'}" for title, body in parts)
+    return TASK + "\n\n" + "\n\n".join(f"{title}:\n{body or '(none)'}" for title, body in parts)
+
+
+def prompts(rows: DataFrame) -> DataFrame:
+    """F27 for a table of analyses: rows with prompt, the same text as prompt(), from the columns changed (array of paths), direct
+    (array of label, type, filePath), impacted (array of name, file, relationship) and excerpts (array of filePath, content)."""
+    lines = lambda column, line, joiner="\n": F.array_join(F.transform(column, line), joiner)
+    parts = [
+        ("Changed files", F.array_join("changed", "\n")),
+        ("Nodes in them", lines("direct", lambda n: F.concat(n["label"], F.lit(" ("), n["type"], F.lit("), "), F.when(n["filePath"] != "", n["filePath"]).otherwise("unknown file")))),
+        ("Nodes that depend on them", lines("impacted", lambda n: F.concat(n["name"], F.lit(", "), n["file"], F.lit(", by "), n["relationship"]))),
+        ("Code", F.substring(lines("excerpts", lambda c: F.concat(c["filePath"], F.lit("\n"), c["content"]), "\n\n"), 1, CONTEXT_CHARS)),
+    ]
+    body = [F.concat(F.lit(f"{title}:\n"), F.when(text != "", text).otherwise("(none)")) for title, text in parts]
+    return rows.withColumn("prompt", F.concat_ws("\n\n", F.lit(TASK), *body))
 
 
 def store_analysis(spark: SparkSession, path: str, url: str, result: dict, at: datetime) -> None:

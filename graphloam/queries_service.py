@@ -403,6 +403,34 @@ def analysis_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("full", full), ("empty", pr_analysis.prompt([], [], [], []))], "kind string, prompt string")
 
 
+@query(
+    f"""WITH c AS (SELECT c_nationkey AS k, string_agg('c/' || c_custkey, chr(10) ORDER BY c_custkey) FILTER (c_custkey % 10 = 0) AS changed,
+  left(string_agg('c/' || c_custkey || chr(10) || c_name || repeat('x', 300), chr(10) || chr(10) ORDER BY c_custkey) FILTER (c_nationkey % 3 <> 0), 2000) AS code FROM customer GROUP BY c_nationkey),
+s AS (SELECT s_nationkey AS k, string_agg(s_name || ' (service), ' || CASE WHEN s_suppkey % 2 = 0 THEN 'unknown file' ELSE 's/' || s_suppkey END, chr(10) ORDER BY s_suppkey) AS direct,
+  string_agg(s_name || ', s/' || s_suppkey || ', by CALLS', chr(10) ORDER BY s_suppkey) FILTER (s_suppkey % 3 = 0) AS impacted FROM supplier GROUP BY s_nationkey)
+SELECT n_nationkey, '{pr_analysis.TASK}' || chr(10) || chr(10) || 'Changed files:' || chr(10) || coalesce(changed, '(none)') || chr(10) || chr(10) || 'Nodes in them:' || chr(10) || coalesce(direct, '(none)') || chr(10) || chr(10)
+  || 'Nodes that depend on them:' || chr(10) || coalesce(impacted, '(none)') || chr(10) || chr(10) || 'Code:' || chr(10) || coalesce(code, '(none)') AS prompt
+FROM nation LEFT JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey"""
+)
+def analysis_prompts_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F27 over whole tables: an analysis for each nation, of its customers as files and its suppliers as nodes."""
+    path = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    in_order = lambda key, when, *fields: F.transform(F.sort_array(F.collect_list(F.when(when, F.struct(F.col(key).alias("at"), F.struct(*fields).alias("x"))))), lambda r: r["x"])
+    c = _read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+        in_order("c_custkey", F.col("c_custkey") % 10 == 0, path("c/", "c_custkey").alias("path")).alias("changed"),
+        in_order("c_custkey", F.col("c_nationkey") % 3 != 0, path("c/", "c_custkey").alias("filePath"), F.concat("c_name", F.repeat(F.lit("x"), F.lit(300))).alias("content")).alias("excerpts"),
+    )
+    file = F.when(F.col("s_suppkey") % 2 != 0, path("s/", "s_suppkey"))
+    s = _read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+        in_order("s_suppkey", F.lit(True), F.col("s_name").alias("label"), F.lit("service").alias("type"), file.alias("filePath")).alias("direct"),
+        in_order("s_suppkey", F.col("s_suppkey") % 3 == 0, F.col("s_name").alias("name"), path("s/", "s_suppkey").alias("file"), F.lit("CALLS").alias("relationship")).alias("impacted"),
+    )
+    rows = _read(spark, sf_dir, "nation").select("n_nationkey").join(c, "n_nationkey", "left").join(s, "n_nationkey", "left")
+    empty = [F.coalesce(F.col(x), F.array().cast(kind)).alias(x) for x, kind in (("changed", "array<struct<path:string>>"), ("direct", "array<struct<label:string,type:string,filePath:string>>"), ("impacted", "array<struct<name:string,file:string,relationship:string>>"), ("excerpts", "array<struct<filePath:string,content:string>>"))]
+    flat = rows.select("n_nationkey", *empty).withColumn("changed", F.col("changed.path"))
+    return pr_analysis.prompts(flat).select("n_nationkey", "prompt")
+
+
 @query(f"SELECT {_NODE_SQL} FROM nodes WHERE id = 'n3'", graph=True)
 def cited_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J17."""

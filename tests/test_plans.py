@@ -87,3 +87,15 @@ def test_empty_prompt_sections(spark):
     chunks = spark.createDataFrame([], "id string, filePath string, startLine int, endLine int, name string, content string, similarity double")
     text = copilot.build_prompt("why?", nodes, chunks).first()["prompt"]
     assert "(no nodes)" in text and "(no excerpts)" in text and text.endswith("Question: why?")
+
+
+def test_prompts_of_a_table_equal_those_of_lists(spark):
+    cases = [
+        (1, ["a", "b"], [("A", "class", None), ("B", "file", "b.ts")], [("C", "c.ts", "CALLS")], [("f", "x" * 3000), ("g", "y")]),
+        (2, [], [], [], []),
+    ]
+    rows = spark.createDataFrame(cases, "k int, changed array<string>, direct array<struct<label:string,type:string,filePath:string>>, impacted array<struct<name:string,file:string,relationship:string>>, excerpts array<struct<filePath:string,content:string>>")
+    got = {r["k"]: r["prompt"] for r in pr_analysis.prompts(rows).collect()}
+    for k, changed, direct, impacted, excerpts in cases:
+        dicts = [[dict(zip(names, x, strict=True)) for x in part] for names, part in ((("label", "type", "filePath"), direct), (("name", "file", "relationship"), impacted), (("filePath", "content"), excerpts))]
+        assert got[k] == pr_analysis.prompt(changed, *dicts)
