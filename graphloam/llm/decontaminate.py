@@ -47,11 +47,11 @@ class ItemIndex:
                 self.shingles.append(frozenset())
                 self.need.append(1)
                 continue
-            of = {int(h): b" ".join(w.word(i + j) for j in range(size)) for i, h in enumerate(grams(w.hash, size).tolist())}
+            of = {b" ".join(w.word(i + j) for j in range(size)): int(h) for i, h in enumerate(grams(w.hash, size).tolist())}
             need = math.ceil(threshold * len(of))
-            self.shingles.append(frozenset(of.values()))
+            self.shingles.append(frozenset(of))
             self.need.append(need)
-            bottom = sorted(of)[: len(of) - need + 1]
+            bottom = sorted(of.values())[: len(of) - need + 1]
             sketch.setdefault((size, len(of).bit_length()), []).extend((h, number) for h in bottom)
         #: by shingle size, for each size partition: the bound of the documents' sketch, sorted hashes, and the items of each
         self.sketch: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
