@@ -20,23 +20,35 @@ def _node(rows: DataFrame, node_id: Column, kind: str, label: Column, repository
     return out.withColumn("metadataJson", F.concat(F.lit('{"path":"'), "filePath", F.lit('"}')))
 
 
-_stored: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+_stored: dict[tuple[str, str], tuple[tuple, DataFrame, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the tables were written, and how long they are."""
+    out = []
+    for name in _TABLES:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        s = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append((s.getModificationTime(), s.getLen()))
+    return tuple(out)
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The graph's nodes and edges as tables, which are derived once for a session and a directory and then read: filters on
-    type, repository and path reach the scan."""
+    """The graph's nodes and edges as tables, which are derived once for a session and a directory, and again when its tables have
+    changed, and then read: filters on type, repository and path reach the scan."""
     from graphloam.plans.durable import Tables
 
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _stored:
+    state = _state(spark, sf_dir)
+    if key not in _stored or _stored[key][0] != state:
         tables = Tables(spark)
-        _stored[key] = tables.write(star_nodes(spark, sf_dir)), tables.write(star_edges(spark, sf_dir))
-    return _stored[key]
+        _stored[key] = state, tables.write(star_nodes(spark, sf_dir)), tables.write(star_edges(spark, sf_dir))
+    return _stored[key][1:]
 
 
 def star_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = {n: _table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    t = {n: _table(spark, sf_dir, n) for n in _TABLES}
     region_of = t["nation"].select("n_nationkey", "n_regionkey", "n_name")
     customers = t["customer"].join(region_of, F.col("c_nationkey") == F.col("n_nationkey"))
     suppliers = t["supplier"].join(region_of, F.col("s_nationkey") == F.col("n_nationkey"))

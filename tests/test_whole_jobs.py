@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphloam import queries as core
 from graphloam.functions import crypto
 from graphloam.operators import vectors
+from graphloam.plans import star_graph
 
 LONG = "tökën " * 40_000
 
@@ -57,3 +58,16 @@ def test_all_lines_of_a_text(spark, texts):
         got.setdefault(r["doc_id"], []).append(r["line"])
         assert r["position"] == len(got[r["doc_id"]])
     assert {i: "\n".join(lines) for i, lines in got.items()} == want
+
+
+def test_the_stored_graph_follows_its_tables(spark, tmp_path):
+    from pathlib import Path
+
+    for f in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        (tmp_path / f.name).write_bytes(f.read_bytes())
+    before = star_graph.stored_graph(spark, str(tmp_path))[0].count()
+    assert star_graph.stored_graph(spark, str(tmp_path))[0].count() == before
+    regions = spark.read.parquet(str(tmp_path / "region.parquet")).collect()
+    (tmp_path / "region.parquet").unlink()
+    spark.createDataFrame(regions[:-1], "r_regionkey int, r_name string" if len(regions[0]) == 2 else None).coalesce(1).write.parquet(str(tmp_path / "region.parquet"))
+    assert star_graph.stored_graph(spark, str(tmp_path))[0].count() == before - 1
