@@ -137,3 +137,16 @@ def test_versions(spark, tmp_path):
     three.commit()
     at.vacuum(1)
     assert at.numbers() == [3] and list(map(tuple, at.read("t").collect())) == [(7, 7)] and not (tmp_path / "v/u").exists() or not list((tmp_path / "v/u").iterdir())
+
+
+def test_many_deltas_are_put_together(spark, tmp_path, monkeypatch):
+    from graphloam.plans import incremental
+
+    monkeypatch.setattr(incremental, "DELTAS", 1)
+    store, files = GraphStore(spark, f"file://{tmp_path}/g", "r"), {}
+    for n in range(3):
+        files[f"src/f{n}.ts"] = f"import a from './f{n + 1}.ts'\nimport r from 'react'\nexport function g{n}() {{}}\n"
+        store.ingest(frame(spark, files))
+    manifest = store.versions.manifest()
+    assert len(manifest["tables"]["nodes"]) == 1 and store.versions.latest() > 3
+    assert (rows(store.nodes()), rows(store.edges()), rows(store.chunks().drop("embedding"))) == full(spark, files)
