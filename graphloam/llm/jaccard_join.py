@@ -167,7 +167,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     that repeat a key and its text share their component, other rows that repeat a key get the component of their own set.
     Rows with a null key link with nothing and have no component. Very long texts are hashed whole, a megabyte or one row at a
     time. Ties (equal sets) collapse before they are compared. Other columns are not read. Equal sets are told by 128 bits of
-    two independent hashes; a set so small that it links with equal ones only is never compared by anything else.
+    two independent hashes.
     """
     spark, keep = docs.sparkSession, keep or Durable(docs.sparkSession)
     small_batches(spark)
@@ -271,7 +271,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 often = np.where(known[at] == tokens, df[at], 1) if len(known) else np.ones(n, np.int64)
                 lacks = int(miss(np.array([n]), num, den)[0])
                 alone = int((often == 1).sum())
-                if not lacks or alone > lacks:  # links with equal sets only, or has too few tokens that any other set has
+                if alone > lacks:  # too few tokens that any other set has; a set that may lack none can still lie within a larger one
                     continue
                 prefix = np.lexsort((tokens, often))[alone : lacks + 1]
                 state["tokens"].append(tokens[prefix])
