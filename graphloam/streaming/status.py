@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # The statuses that may follow a status; a delivery begins with none.
@@ -32,14 +33,31 @@ def _frame(key: str, rows: list[tuple]) -> pd.DataFrame:
     return out.astype({"at": "datetime64[us]", "accepted": bool})
 
 
-def transitions(events: DataFrame) -> DataFrame:
-    """T5 over a table (deliveryId, at, status): each event with the status before it and whether it was accepted. Repeated events
-    are steps of their own; null keys, times and statuses are left out. A delivery's events meet in one task."""
+def _accepts(before: Column, wanted: Column) -> Column:
+    """Whether a status follows another one; false for statuses without followers, and null for none."""
+    out = F.lit(False)
+    for status, followers in LEGAL.items():
+        if followers:
+            out = F.when(before == status, wanted.isin(followers)).otherwise(out)
+    return out
+
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _frame(key[0], steps("", list(zip(rows["at"], rows["status"], strict=True)))[1])
+def _depth(status: str = "") -> int:
+    """The longest run of legal transitions."""
+    return max((1 + _depth(s) for s in LEGAL.get(status, [])), default=0)
 
-    return events.select("deliveryId", "at", "status").dropna().groupBy("deliveryId").applyInPandas(run, OUT)
+
+def transitions(events: DataFrame) -> DataFrame:
+    """T5 over a table (deliveryId, at, status): each event with the status before it and whether it was accepted. Repeated events
+    are steps of their own; null keys, times and statuses are left out. A delivery's events meet in one task, which sorts
+    them and passes over them once for each step of the machine: the first event that may follow a step's status is the next."""
+    earlier = Window.partitionBy("deliveryId").orderBy("at", "status").rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.select("deliveryId", "at", "status").dropna().withColumn("s0", F.lit(""))
+    for n in range(_depth()):
+        rows = rows.withColumn(f"s{n + 1}", F.first(F.when(_accepts(F.col(f"s{n}"), F.col("status")), F.col("status")), ignorenulls=True).over(earlier))
+    before = F.coalesce(*(F.col(f"s{n}") for n in reversed(range(_depth() + 1))))
+    rows = rows.select("deliveryId", "at", "status", before.alias("before"))
+    return rows.withColumn("accepted", F.coalesce(_accepts(F.col("before"), F.col("status")), F.lit(False)))
 
 
 def transition_stream(events: DataFrame, watermark: str = WATERMARK) -> DataFrame:
