@@ -90,14 +90,15 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, source: str, target: str,
 
 
 class _Side:
-    """A side's levels in one folder: (id, via: the smallest neighbour and edge towards this side's end, level)."""
+    """A side's levels in one folder: (id, via: the smallest neighbour and edge towards this side's end, level). An edge counts if
+    its target is a node, which is looked up for the ids of a level only, so that no step shuffles all edges for it."""
 
     SCHEMA = "id string, via struct<s:string,e:string>, level int"
 
-    def __init__(self, spark, folder: str, end: str, steps: DataFrame, near: str, far: str) -> None:  # noqa: ANN001
-        self.spark, self.folder, self.steps, self.near, self.far = spark, folder, steps, near, far
+    def __init__(self, tables, nodes: DataFrame, end: str, steps: DataFrame, near: str, far: str) -> None:  # noqa: ANN001
+        self.spark, self.tables, self.folder, self.nodes, self.steps, self.near, self.far = steps.sparkSession, tables, tables.folder(), nodes, steps, near, far
         self.depth, self.size = 0, 1
-        spark.createDataFrame([(end, None)], "id string, via struct<s:string,e:string>").write.parquet(f"{folder}/level=0")
+        self.spark.createDataFrame([(end, None)], "id string, via struct<s:string,e:string>").write.parquet(f"{self.folder}/level=0")
 
     def level(self, number: int) -> DataFrame:
         return self.visited().where(F.col("level") == number).select("id", "via")
@@ -108,17 +109,36 @@ class _Side:
     def go_on(self) -> None:
         """One level more."""
         frontier = self.level(self.depth).select(F.col("id").alias(self.near))
-        reached = self.steps.join(F.broadcast(frontier) if self.size <= BROADCAST_IDS else frontier, self.near).groupBy(self.far).agg(F.min(F.struct(F.col(self.near).alias("s"), "e")).alias("via"))
-        new = reached.select(F.col(self.far).alias("id"), "via").join(self.visited().select("id"), "id", "left_anti")
+        if self.near == "t":
+            frontier = frontier.join(_found(self.nodes, frontier.select(F.col("t").alias("id")), self.size).withColumnRenamed("id", "t"), "t")
+        reached = _behind(self.steps, frontier, self.near, self.far, self.size)
+        new = reached.join(self.visited().select("id"), "id", "left_anti")
+        if self.far == "t":
+            new = self.tables.write(new)
+            new = new.join(_found(self.nodes, new.select("id"), new.count()), "id")
         self.depth += 1
-        new.write.parquet(f"{self.folder}/level={self.depth}")
+        new.select("id", "via").write.parquet(f"{self.folder}/level={self.depth}")
         self.size = self.level(self.depth).count()
 
 
+def _few(ids: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(ids) if size <= BROADCAST_IDS else ids
+
+
+def _found(nodes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id) of the ids, of which there are `size`, that are nodes."""
+    return nodes.select("id").join(_few(ids, size), "id", "left_semi").distinct()
+
+
+def _behind(steps: DataFrame, frontier: DataFrame, near: str, far: str, size: int) -> DataFrame:
+    """(id, via) of what the edges of a frontier of `size` ids lead to."""
+    return steps.join(_few(frontier, size), near).groupBy(F.col(far).alias("id")).agg(F.min(F.struct(F.col(near).alias("s"), "e")).alias("via")).where("id is not null")
+
+
 def _meet(tables, nodes: DataFrame, edges: DataFrame, source: str, target: str, max_hops: int, empty: DataFrame) -> DataFrame:  # noqa: ANN001
     spark = edges.sparkSession
-    steps = edges.join(nodes.select(F.col("id").alias("targetId")).distinct(), "targetId", "left_semi").select(F.col("sourceId").alias("s"), F.col("targetId").alias("t"), F.col("id").alias("e"))
-    ahead, back = _Side(spark, tables.folder(), source, steps, "s", "t"), _Side(spark, tables.folder(), target, steps, "t", "s")
+    steps = edges.select(F.col("sourceId").alias("s"), F.col("targetId").alias("t"), F.col("id").alias("e"))
+    ahead, back = _Side(tables, nodes, source, steps, "s", "t"), _Side(tables, nodes, target, steps, "t", "s")
     while True:
         if ahead.depth + back.depth >= max_hops:
             return empty
@@ -132,8 +152,9 @@ def _meet(tables, nodes: DataFrame, edges: DataFrame, source: str, target: str,
     # forwards from where the sides meet, within the levels of the target's side
     between, layer = [], tables.write(met)
     for level in range(back.depth - 1, -1, -1):
-        near = steps.join(layer.withColumnRenamed("id", "s"), "s").groupBy("t").agg(F.min(F.struct("s", "e")).alias("via"))
-        layer = tables.write(near.select(F.col("t").alias("id"), "via").join(back.level(level).select("id"), "id", "left_semi"))
+        near = _behind(steps, layer.withColumnRenamed("id", "s"), "s", "t", layer.count())
+        near = tables.write(near.join(back.level(level).select("id"), "id", "left_semi"))
+        layer = tables.write(near.join(_found(nodes, near.select("id"), near.count()), "id"))
         between.append(layer)
         layer = layer.select("id")
     levels = [*(ahead.level(n) for n in range(1, ahead.depth + 1)), *between]
