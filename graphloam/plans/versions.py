@@ -84,7 +84,7 @@ class Change:
     def _write(self, table: str, rows: DataFrame, by: str | None) -> str:
         directory = f"{table}/written={uuid.uuid4().hex}"
         columns = self.versions.spark.createDataFrame([], self.versions.schemas[table]).columns
-        writer = rows.select(*columns).write
+        writer = rows.select(*columns).write.option("compression", "zstd")
         (writer.partitionBy(by) if by else writer).parquet(f"{self.versions.path}/{directory}")
         return directory
 
