@@ -15,8 +15,9 @@ from graphloam.functions import text
 DIMENSION, EMBED_BATCH, TOP_K = 768, 10, 10
 #: Ids up to this many are broadcast; more are joined.
 BROADCAST_IDS = 100_000
-#: Query vectors that are broadcast at once, and that meet a batch of rows at once; the matrix product may be off by MARGIN.
-QUERY_BLOCK, TOGETHER, MARGIN = 4096, 512, 1e-9
+#: Query vectors that are broadcast at once; similarities that are computed at once, and rows of which exact ones are; the matrix
+#: product may be off by MARGIN.
+QUERY_BLOCK, CELLS, EXACT, MARGIN = 4096, 1 << 20, 8192, 1e-9
 
 
 class EmbeddingError(RuntimeError):
@@ -113,13 +114,14 @@ def _nearest(keys: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int) ->
     asked = np.flatnonzero((norm_q > 0) & (norm_q < np.inf))
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     unit_r = rows / norm_r[:, None]
-    for s in range(0, len(asked) if len(rows) else 0, TOGETHER):
-        part = asked[s : s + TOGETHER]
+    together = max(1, CELLS // max(1, len(rows)))  # a long batch of rows meets fewer queries at once
+    for s in range(0, len(asked) if len(rows) else 0, together):
+        part = asked[s : s + together]
         near = (queries[part] / norm_q[part][:, None]) @ unit_r.T
         least = np.partition(near, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(near), -2.0)
         q, r = np.nonzero(near >= least[:, None] - MARGIN)
         q = part[q]
-        sims = np.concatenate([_dots(rows[r[i : i + 65536]], queries[q[i : i + 65536]]) for i in range(0, len(r), 65536)]) / (norm_r[r] * norm_q[q])
+        sims = np.concatenate([_dots(rows[r[i : i + EXACT]], queries[q[i : i + EXACT]]) for i in range(0, len(r), EXACT)]) / (norm_r[r] * norm_q[q])
         out.append(_best(q, keys[r], sims, k))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
